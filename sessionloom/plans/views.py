@@ -132,11 +132,13 @@ CUST_ORDER = ("o_orderdate", "o_orderkey")
 
 
 def words0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as spellings of commands: the label is the command id."""
+    """Vectors as spellings of commands: the label is the command id; some spellings are the
+    only one of their command."""
     name = F.concat(F.lit("m"), F.format_string("%06d", "vec_id"))
+    alone = F.concat(F.lit("x"), F.col("vec_id").cast("string"))
     return table(spark, sf_dir, "embeddings").select(
-        F.col("label").cast("string").alias("id"), name.alias("message"),
-        F.concat(F.lit("en "), name).alias("translated_message"),
+        F.when(F.col("vec_id") % 97 == 0, alone).otherwise(F.col("label").cast("string")).alias("id"),
+        name.alias("message"), F.concat(F.lit("en "), name).alias("translated_message"),
         F.when(F.col("vec_id") % 50 == 0, "en").otherwise("de").alias("message_language"),
         F.col("embedding"))
 
@@ -148,3 +150,28 @@ def preds0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(F.col("l_orderkey").alias("session"), F.col("l_partkey").alias("item")).agg(
         F.max(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("score"),
         F.max(F.when(F.col("l_returnflag") == "N", 1).otherwise(0)).alias("relevant"))
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as lists of parts and of line numbers, in basket order."""
+    from sessionloom.operators.sessions import groupby_lists
+
+    lists = groupby_lists(basket0(spark, sf_dir), order=BASKET_ORDER, lists=["item", "l_linenumber"])
+    return lists.select("session", F.col("item-list").alias("items"),
+                        F.col("l_linenumber-list").cast("array<bigint>").alias("lines"))
+
+
+def exploded(df: DataFrame, key: str, *lists: str) -> DataFrame:
+    """Lists as rows (key, pos, one column per list)."""
+    zipped = F.arrays_zip(*[F.col(c).alias(f"c{i}") for i, c in enumerate(lists)])
+    return df.select(key, F.posexplode(zipped).alias("pos", "z")).select(
+        key, "pos", *[F.col(f"z.c{i}").alias(c) for i, c in enumerate(lists)])
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder, for write-and-read queries."""
+    import uuid
+
+    from sessionloom.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
