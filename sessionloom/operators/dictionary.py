@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from sessionloom.constants import GROUP_SIMILARITY
 from sessionloom.functions.vectors import l2_distance, l2_norm
-from sessionloom.operators.ordered import Timeline, sessionwise
 from sessionloom.operators.pairs import TILE, matrix, number_points, tile_pairs
 from sessionloom.operators.scale import broadcast_if_small, materialize, same_keys, small_table
 
@@ -178,15 +177,14 @@ def near_edges(points: DataFrame, group: str, key: str, vector: str, longest: fl
 
 
 def components(nodes: DataFrame, edges: DataFrame, group: str, key: str) -> DataFrame:
-    """Smallest connected key of every node, by hooking and pointer jumping.
+    """Smallest connected key of every node.
 
-    Labels shrink along edges and chains of labels are halved, so the number of rounds
-    grows with the logarithm of the longest chain.
+    Each round gives all nodes of a label the smallest label across their edges, then lets
+    labels follow their own label twice, so long chains shrink fast.  Labels only fall and
+    never leave the component; when no edge joins two labels they are the smallest keys.
     """
     label = materialize(nodes.select(group, key, F.col(key).alias("root")))
     edges = materialize(edges.select(group, "a", "b"))
-    if edges.isEmpty():
-        return label
     while True:
         ends = (edges.join(label.select(group, F.col(key).alias("a"), F.col("root").alias("ra")), [group, "a"])
                 .join(label.select(group, F.col(key).alias("b"), F.col("root").alias("rb")), [group, "b"])
@@ -195,16 +193,12 @@ def components(nodes: DataFrame, edges: DataFrame, group: str, key: str) -> Data
             F.min(F.least("ra", "rb")).alias("_to")))
         if hooks.isEmpty():
             return label
-        label = materialize(label.join(hooks, [group, "root"], "left").select(
-            group, key, F.coalesce("_to", "root").alias("root")))
-        while True:
-            up = label.select(group, F.col(key).alias("root"), F.col("root").alias("_up"))
-            jumped = materialize(label.join(up, [group, "root"]).select(
-                group, key, "root", F.col("_up")))
-            moved = jumped.filter(F.col("root") != F.col("_up"))
-            label = jumped.select(group, key, F.col("_up").alias("root"))
-            if moved.isEmpty():
-                break
+        moved = label.join(hooks, [group, "root"], "left").select(
+            group, key, F.coalesce("_to", "root").alias("root"))
+        up = moved.select(group, F.col(key).alias("root"), F.col("root").alias("_up"))
+        for _ in range(2):
+            moved = moved.join(up, [group, "root"]).select(group, key, F.col("_up").alias("root"))
+        label = materialize(moved)
 
 
 def cluster_group(words: DataFrame, eps: float, group: str = "id", key: str = "message",

@@ -48,10 +48,19 @@ def tile_pairs(points: DataFrame, group: str, compute: Callable, schema: str,
         if key[1] != key[2]:
             right = pdf[pdf["_right"]]
             right = right.sort_values("_n") if "_n" in right else right
-        return compute(key[0], left, right)
+        return plain_strings(compute(key[0], left, right))
 
     return spread.groupBy(group, "_i", "_j").applyInPandas(run, schema)
 
 
+def plain_strings(frame: pd.DataFrame) -> pd.DataFrame:
+    """Text columns, and all columns of an empty frame, as Python objects: Arrow then takes
+    the type from the schema alone."""
+    if frame.empty:
+        return frame.astype(object)
+    text = [c for c in frame.columns if pd.api.types.is_string_dtype(frame[c].dtype)]
+    return frame.astype({c: object for c in text})
+
+
 def matrix(series: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in series])

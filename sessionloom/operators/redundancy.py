@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sessionloom import constants as C
 from sessionloom.operators.ordered import sessionwise, with_halo
+from sessionloom.operators.pairs import plain_strings
 from sessionloom.operators.scale import broadcast_if_small, materialize, same_keys, small_table
 
 TILE = 20_000
@@ -112,8 +113,9 @@ def _scan_tile(before: int | None, after: int | None, n_next: int, n_prev: int):
                 else:
                     gone[match] = True
                     dropped.append(int(e_label[match]))
-        return pd.DataFrame({"_s": [key[0]] * len(dropped), "_tile": [int(key[1])] * len(dropped),
-                             "label": dropped}).astype({"_tile": "int64", "label": "int64"})
+        return plain_strings(pd.DataFrame({
+            "_s": [key[0]] * len(dropped), "_tile": [int(key[1])] * len(dropped), "label": dropped}
+        ).astype({"_tile": "int64", "label": "int64"}))
 
     return scan
 

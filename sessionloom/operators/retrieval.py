@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.operators.ordered import Timeline, global_number, sessionwise
-from sessionloom.operators.pairs import matrix
+from sessionloom.operators.pairs import matrix, plain_strings
 from sessionloom.operators.scale import is_small, materialize, same_keys
 from sessionloom.operators.ranking import topk
 
@@ -30,7 +30,7 @@ def _best(ids: np.ndarray, items: np.ndarray, scores: np.ndarray, k: int, skip_s
     best = np.argsort(-scores, axis=1, kind="stable")[:, :cut]
     out = pd.DataFrame({"session": np.repeat(ids, cut), "item": items[best].ravel(),
                         "score": np.take_along_axis(scores, best, axis=1).ravel()})
-    return out[np.isfinite(out["score"])]
+    return plain_strings(out[np.isfinite(out["score"])])
 
 
 def score_by_vectors(sessions: DataFrame, items: DataFrame, k: int, session: str = "session",

@@ -127,6 +127,13 @@ def generate_sessions(rows: DataFrame, key: str, schema: Sequence[Feature] = ECO
                               ("row",), maximum_length, minimum_length)
 
 
+def _drawn(f: Feature, row: Column, seed: int):
+    def value(i):
+        return (uniform_int(1, f.max_int - 1, row, i, f.name, seed) if f.max_int
+                else uniform(row, i, f.name, seed))
+    return value
+
+
 def random_from_schema(rows: DataFrame, key: str, schema: Sequence[Feature] = ECOMMERCE,
                        min_length: int = 5, max_length: int | None = None, seed: int = 0) -> DataFrame:
     """Random row per row of ``rows``: integers in [1, max), floats in [0, 1), lists of one
@@ -138,9 +145,7 @@ def random_from_schema(rows: DataFrame, key: str, schema: Sequence[Feature] = EC
     if length is not None:
         out = rows.select(k.alias("row"), length.cast("int").alias("_length"))
     for f in schema:
-        def value(i, f=f):
-            return (uniform_int(1, f.max_int - 1, row, i, f.name, seed) if f.max_int
-                    else uniform(row, i, f.name, seed))
+        value = _drawn(f, row, seed)
         if f.is_list:
             n = F.col("_length") if length is not None else F.lit(f.max_length)
             out = out.withColumn(f.name, F.transform(F.sequence(F.lit(1), n), value))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +24,15 @@ def setting(spark: SparkSession, key: str, default: int) -> int:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage; the copy lies in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once and cut the lineage: a table in the shared checkpoint folder.
+
+    Unlike ``checkpoint()`` this runs the plan once, not twice, and later reads prune columns
+    and know the size of the table.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _row_bytes(df: DataFrame):

@@ -375,13 +375,13 @@ def _(spark, sf):
 
 @query("log_uniform_probs", """
 WITH m AS (SELECT max(p_partkey) + 1 AS n FROM part)
-SELECT item_id, round(p, 12) AS probability, round(1 - pow(1 - p, 100), 9) AS sampled_once FROM (
+SELECT item_id, round(p, 10) AS probability, round(1 - pow(1 - p, 100), 9) AS sampled_once FROM (
   SELECT p_partkey AS item_id, (ln(p_partkey + 2.0) - ln(p_partkey + 1.0)) / ln(n + 1.0) AS p FROM part, m) x""")
 def _(spark, sf):
     parts = V.table(spark, sf, "part")
     most = parts.agg(F.max("p_partkey") + 1).scalar()
     out = sampling.log_uniform_probs(parts.select(F.col("p_partkey").alias("item_id")), most, 0, 100)
-    return out.select("item_id", F.round("probability", 12).alias("probability"), F.round("sampled_once", 9).alias("sampled_once"))
+    return out.select("item_id", F.round("probability", 10).alias("probability"), F.round("sampled_once", 9).alias("sampled_once"))
 
 
 @query("log_uniform_sample", f"""
