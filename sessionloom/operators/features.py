@@ -63,9 +63,9 @@ def normalize(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def prepare_interactions(df: DataFrame, session: str = "session_anonymized", ts: str = "ts",
                          item: str = "message_content", order: Sequence[str] = ("ts", "seq"),
-                         keep: Sequence[str] = ("seq",)) -> DataFrame:
+                         keep: Sequence[str] = ("seq",), source: DataFrame | None = None) -> DataFrame:
     """Interaction table: renamed columns, time since the previous row, no null rows."""
-    timed = time_intervals(df, ts=ts, session=session, order=order)
+    timed = time_intervals(df, ts=ts, session=session, order=order, source=source)
     renamed = timed.select(
         F.col(session).alias("session_id"), F.col(item).alias("item_id"), F.col(ts).alias("timestamp"),
         "merge_count", "cat", "timestamp_interval", *keep)

@@ -129,10 +129,15 @@ class Timeline:
 
 
 def sessionwise(df: DataFrame, step: Callable[[Timeline], Timeline], session: str = "session",
-                order: Sequence[str] = ("ts", "seq"), limit: int | None = None) -> DataFrame:
-    """Apply ``step`` to every session: one window per normal session, blocks for hot ones."""
+                order: Sequence[str] = ("ts", "seq"), limit: int | None = None,
+                source: DataFrame | None = None) -> DataFrame:
+    """Apply ``step`` to every session: one window per normal session, blocks for hot ones.
+
+    Hot sessions are looked up in ``source`` if given: a table that ``df`` was made from by
+    dropping rows, such as the raw log, in which counting is a scan of one column.
+    """
     limit = limit or setting(df.sparkSession, HOT_ROWS, HOT_ROWS_DEFAULT)
-    hot = hot_groups(df, [session], limit)
+    hot = hot_groups(df if source is None else source, [session], limit)
     if hot is None:
         return step(Timeline(df, session, order)).df
     keys = broadcast_if_small(hot.select(session)).alias("h")

@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from sessionloom import constants as C
 from sessionloom.operators.ordered import sessionwise, with_halo
 from sessionloom.operators.pairs import plain_strings
-from sessionloom.operators.scale import broadcast_if_small, materialize, same_keys, small_table
+from sessionloom.operators.scale import broadcast_if_small, hot_groups, materialize, same_keys, small_table
 
 TILE = 20_000
 
 
 def label_rows(df: DataFrame, session: str = "session", order=("ts", "seq"), out: str = "label",
-               limit: int | None = None) -> DataFrame:
+               limit: int | None = None, source: DataFrame | None = None) -> DataFrame:
     """0-based position in the session, taken before later filters leave gaps."""
-    numbered = sessionwise(df, lambda t: t.numbered(out), session, order, limit)
+    numbered = sessionwise(df, lambda t: t.numbered(out), session, order, limit, source)
     return numbered.withColumn(out, F.col(out) - 1)
 
 
@@ -143,10 +143,8 @@ def dropped_labels(df: DataFrame, pairs: DataFrame, before: int | None = 10, aft
     schema = f"_s {rows.schema['_s'].dataType.simpleString()}, _tile bigint, label bigint"
     scan = _scan_tile(before, after, n_next, n_prev)
     if before is None or after is None:
-        # No label window: the whole session is in view and stays one group.
-        whole = rows.withColumns({"_tile": F.lit(0).cast("bigint"), "home": F.lit(True), "gone": F.lit(False)})
-        return whole.groupBy("_s", "_tile").applyInPandas(scan, schema).select(
-            F.col("_s").alias(session), F.col("label").alias(label))
+        gone = _dropped_without_window(materialize(rows), scan, schema, n_next, n_prev, tile)
+        return gone.select(F.col("_s").alias(session), F.col("label").alias(label))
     tiled = with_halo(rows, "label", tile, before, after, "_tile", "home")
 
     def decide(source: DataFrame, incoming: DataFrame | None) -> DataFrame:
@@ -169,6 +167,8 @@ def dropped_labels(df: DataFrame, pairs: DataFrame, before: int | None = 10, aft
     told = border(decisions).limit(0)
     while True:
         now = border(decisions)
+        if told.isEmpty() and now.isEmpty():
+            break  # no session reaches over one tile, or no drop lies near a border
         changed = materialize(
             now.exceptAll(told).unionByName(told.exceptAll(now)).select("_s", "_tile").distinct())
         if changed.isEmpty():
@@ -180,6 +180,53 @@ def dropped_labels(df: DataFrame, pairs: DataFrame, before: int | None = 10, aft
     return decisions.select(F.col("_s").alias(session), F.col("label").alias(label)).distinct()
 
 
+def _dropped_without_window(rows: DataFrame, scan, schema: str, n_next: int, n_prev: int,
+                            tile: int) -> DataFrame:
+    """Dropped labels if every command sees its whole session.
+
+    A session up to ``tile`` rows is one group.  A longer one is walked tile by tile from
+    its end, and a tile gets a bounded view: its own rows, and as many open events of the
+    three places commands can reach - the head of the session, the rows of the same second
+    before the tile, the rows after it - as the tile's commands could use up at most.
+    """
+    def whole(part: DataFrame) -> DataFrame:
+        flagged = part.withColumns({"_tile": F.lit(0).cast("bigint"), "home": F.lit(True), "gone": F.lit(False)})
+        return flagged.groupBy("_s", "_tile").applyInPandas(scan, schema).select("_s", "label")
+
+    long = hot_groups(rows, ["_s"], tile)
+    if long is None:
+        return whole(rows)
+    keys = broadcast_if_small(long.select("_s"))
+    normal = rows.alias("r").join(keys.alias("k"), same_keys("r", "k", ["_s"]), "left_anti")
+    tiled = materialize(rows.alias("r").join(keys.alias("k"), same_keys("r", "k", ["_s"]), "left_semi")
+                        .withColumn("_tile", F.floor(F.col("label") / tile)))
+    gone = materialize(tiled.select("_s", "label").limit(0))
+    by_label = Window.partitionBy("_s").orderBy("label")
+    for at in range(tiled.agg(F.max("_tile")).first()[0], -1, -1):
+        here = tiled.filter(F.col("_tile") == at)
+        open_events = tiled.filter(F.col("cat") == C.LOW_LEVEL).alias("e").join(
+            gone.alias("g"), same_keys("e", "g", ["_s", "label"]), "left_anti")
+        since = broadcast_if_small(materialize(here.groupBy("_s").agg(F.min("ts").alias("_since"))))
+        away = open_events.filter(F.col("_tile") != at).join(since, "_s").withColumn(
+            "_place", F.when(F.col("_tile") > at, "after").when(F.col("ts") >= F.col("_since"), "same"))
+
+        def first(part: DataFrame, n: int) -> DataFrame:
+            return part.withColumn("_nth", F.row_number().over(by_label)).filter(
+                F.col("_nth") <= n + tile).select("_s", "label", "ts", "cat", "text", "allowed")
+
+        view = (first(away.filter("_place = 'after'"), n_next)
+                .unionByName(first(away.filter("_place = 'same'"), n_next))
+                .unionByName(first(away, n_prev)).dropDuplicates(["_s", "label"])
+                .withColumns({"home": F.lit(False), "gone": F.lit(False)}))
+        mine = here.drop("_tile").alias("h").join(
+            gone.withColumn("gone", F.lit(True)).alias("g"), same_keys("h", "g", ["_s", "label"]), "left"
+        ).select("h.*", F.lit(True).alias("home"), F.coalesce(F.col("g.gone"), F.lit(False)).alias("gone"))
+        step = mine.unionByName(view).withColumn("_tile", F.lit(at).cast("bigint"))
+        found = step.groupBy("_s", "_tile").applyInPandas(scan, schema).select("_s", "label")
+        gone = materialize(gone.unionByName(found))
+    return whole(normal).unionByName(gone)
+
+
 def replace_low_level(df: DataFrame, pairs: DataFrame, before: int | None = 10,
                       after: int | None = 30, session: str = "session", label: str = "label",
                       ts: str = "ts", cat: str = "cat", message: str = "message_eng",

@@ -71,17 +71,27 @@ def small_table(df: DataFrame) -> DataFrame:
     return broadcast_if_small(materialize(df))
 
 
+_hot_seen: dict[tuple, DataFrame | None] = {}
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame | None:
     """The key values that hold more than ``limit`` rows, or None if there are none.
 
     Only the key columns are read, and counts are combined before the shuffle, so a key
     that holds most of the table costs no more than any other.  At most rows / limit
     values come back.
+
+    The answer is remembered per plan.  It only decides how rows are spread over tasks, so
+    an answer that has become old costs time, never a row.
     """
-    limit = limit or setting(df.sparkSession, HOT_ROWS, HOT_ROWS_DEFAULT)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
-    hot = materialize(hot)
-    return None if hot.isEmpty() else hot
+    spark = df.sparkSession
+    limit = limit or setting(spark, HOT_ROWS, HOT_ROWS_DEFAULT)
+    seen = (spark.sparkContext.applicationId, df.semanticHash(), tuple(keys), limit)
+    if seen not in _hot_seen:
+        hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
+        hot = materialize(hot)
+        _hot_seen[seen] = None if hot.isEmpty() else hot
+    return _hot_seen[seen]
 
 
 def same_keys(left: str, right: str, keys: Sequence[str]):

@@ -116,8 +116,9 @@ def split_fixed_step(rows: Timeline, min_items: int = 5, max_items: int = 200,
 
 def _runner(step):
     def run(df: DataFrame, *args, session: str = "session",
-            order: Sequence[str] = ("ts", "seq"), limit: int | None = None, **options) -> DataFrame:
-        return sessionwise(df, lambda rows: step(rows, *args, **options), session, order, limit)
+            order: Sequence[str] = ("ts", "seq"), limit: int | None = None,
+            source: DataFrame | None = None, **options) -> DataFrame:
+        return sessionwise(df, lambda rows: step(rows, *args, **options), session, order, limit, source)
     run.__doc__ = step.__doc__
     run.__name__ = step.__name__.removesuffix("_step")
     return run

@@ -251,24 +251,26 @@ def merge_first_match_step(rows: Timeline, item: str = "item",
 
 def merge_workflows(df: DataFrame, item: str = "item",
                     patterns: Sequence[Sequence[str]] | None = None, session: str = "session",
-                    order: Sequence[str] = ("ts", "seq"), limit: int | None = None) -> DataFrame:
+                    order: Sequence[str] = ("ts", "seq"), limit: int | None = None,
+                    source: DataFrame | None = None) -> DataFrame:
     """``merge_workflows_step`` on a DataFrame; the parts of a row are kept in ``parts``."""
     parts = df.withColumn("parts", F.array(F.col(item)))
     return sessionwise(parts, partial(merge_workflows_step, item=item, patterns=patterns),
-                       session, order, limit)
+                       session, order, limit, source)
 
 
 def workflow_rows(df: DataFrame, patterns: Sequence[Sequence[str]] | None = None,
                   session: str = "session", order: Sequence[str] = ("ts", "seq"),
-                  limit: int | None = None) -> DataFrame:
-    return sessionwise(df, partial(workflow_rows_step, patterns=patterns), session, order, limit)
+                  limit: int | None = None, source: DataFrame | None = None) -> DataFrame:
+    return sessionwise(df, partial(workflow_rows_step, patterns=patterns), session, order, limit, source)
 
 
 def merge_first_match(df: DataFrame, item: str = "item",
                       patterns: Sequence[Sequence[str]] | None = None, session: str = "session",
-                      order: Sequence[str] = ("ts", "seq"), limit: int | None = None) -> DataFrame:
+                      order: Sequence[str] = ("ts", "seq"), limit: int | None = None,
+                      source: DataFrame | None = None) -> DataFrame:
     return sessionwise(df, partial(merge_first_match_step, item=item, patterns=patterns),
-                       session, order, limit)
+                       session, order, limit, source)
 
 
 def learn_merges(df: DataFrame, rounds: int = 10, item: str = "item", min_count: int = 2,
@@ -279,10 +281,10 @@ def learn_merges(df: DataFrame, rounds: int = 10, item: str = "item", min_count:
     Each round counts neighbouring pairs, merges the most frequent one (ties by name) and
     goes on with the merged sequence.  Only the winning pair reaches the driver.
     """
-    current = materialize(df.select(session, *order, item))
+    first = current = materialize(df.select(session, *order, item))
     learned: list[tuple[list[str], int]] = []
     for _ in range(rounds):
-        paired = sessionwise(current, lambda t: t.neighbour(1, _next=F.col(item)), session, order, limit)
+        paired = sessionwise(current, lambda t: t.neighbour(1, _next=F.col(item)), session, order, limit, first)
         best = (paired.filter(F.col("_next").isNotNull())
                 .groupBy(F.col(item).alias("left"), F.col("_next").alias("right"))
                 .agg(F.count(F.lit(1)).alias("n"))
@@ -291,6 +293,6 @@ def learn_merges(df: DataFrame, rounds: int = 10, item: str = "item", min_count:
             break
         pair = [best["left"], best["right"]]
         learned.append((separator.join(pair).split(separator), best["n"]))
-        current = materialize(merge_workflows(current, item, [pair], session, order, limit)
+        current = materialize(merge_workflows(current, item, [pair], session, order, limit, first)
                               .select(session, *order, item))
     return learned

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from sessionloom.functions import messages as M
 from sessionloom.operators import filters, lookups, redundancy, sessions, stats, workflows
 from sessionloom.operators.features import build_vocabulary
+from sessionloom.operators.scale import materialize
 from sessionloom.plans import views as V
 from sessionloom.plans.registry import query
-from sessionloom.plans.sqltext import ALIGNED, DICT, ITEMS, KEPT, LOG, MERGED, NEAR, PRE, with_
+from sessionloom.plans.sqltext import ALIGNED, DICT, ITEMS, KEPT, LOG, MERGED, NEAR, PRE, replaced, with_
 
 # --- filters and message functions ----------------------------------------------------
 
@@ -152,10 +153,11 @@ SELECT cat, item, n, rank FROM (
   SELECT cat, item, count(*) AS n, row_number() OVER (PARTITION BY cat ORDER BY count(*) DESC, item) AS rank
   FROM merged GROUP BY cat, item) x WHERE rank <= 50"""))
 def flagship(spark, sf):
+    raw = V.log0(spark, sf)
     runs = sessions.sessionwise(
-        V.filtered(spark, sf),
+        filters.prefilter(raw),
         lambda t: sessions.collapse_runs_step(
-            sessions.undo_redo_step(t).with_columns(item=M.strip_command_ids("message"))))
+            sessions.undo_redo_step(t).with_columns(item=M.strip_command_ids("message"))), source=raw)
     return stats.top_commands(runs, 50, ["cat"], "item", strip_marker=False).withColumnRenamed("count", "n")
 
 
@@ -325,7 +327,7 @@ SELECT k.session, k.seq, coalesce(d.label, k.message) AS message_eng
 FROM kept k LEFT JOIN dict0 d ON d.message = k.message
 WHERE regexp_full_match(coalesce(d.label, k.message), '[\\x00-\\x7f]*')"""))
 def _(spark, sf):
-    log = V.modeling_log(spark, sf)
+    log = materialize(V.modeling_log(spark, sf))
     rows = lookups.translate(log, V.dict0(log), keep_unmapped=True).filter(M.is_ascii("message_eng"))
     return rows.select("session", "seq", "message_eng")
 
@@ -340,7 +342,7 @@ side0 AS (SELECT DISTINCT item AS message_content, 'about ' || item AS summary,
 SELECT i.session, i.seq, i.item, s.summary AS description, s.classification, s.target
 FROM items i LEFT JOIN side0 s ON s.message_content = i.item"""))
 def _(spark, sf):
-    rows = V.items(spark, sf)
+    rows = materialize(V.items(spark, sf))
     return lookups.attach_side_info(rows, V.side0(rows), "item").select(
         "session", "seq", "item", "description", "classification", "target")
 
@@ -349,7 +351,7 @@ def _(spark, sf):
 SELECT i.session, i.seq, i.item FROM items i LEFT JOIN side0 s ON s.message_content = i.item
 WHERE s.classification IS NULL OR s.target IS NULL"""))
 def _(spark, sf):
-    rows = V.items(spark, sf)
+    rows = materialize(V.items(spark, sf))
     return filters.find_missing(lookups.attach_side_info(rows, V.side0(rows), "item")).select("session", "seq", "item")
 
 
@@ -357,7 +359,7 @@ def _(spark, sf):
 SELECT i.session, i.seq, s.classification FROM items i JOIN side0 s ON s.message_content = i.item
 WHERE s.classification IS NOT NULL"""))
 def _(spark, sf):
-    rows = V.items(spark, sf)
+    rows = materialize(V.items(spark, sf))
     side = lookups.attach_side_info(rows, V.side0(rows), "item")
     return filters.drop_null_rows(side, ["classification", "target"]).select("session", "seq", "classification")
 
@@ -410,7 +412,8 @@ def _(spark, sf):
     return lookups.join_sums_back(lines, "l_partkey", "l_returnflag", "l_quantity", "quantity").drop("l_quantity")
 
 
-@query("replace_low_level")
+@query("replace_low_level", with_(ALIGNED + replaced("aligned", "e.label BETWEEN c.label - 10 AND c.label + 30"), """
+SELECT session, ts, seq, cat, label, message_eng FROM replaced"""))
 def _(spark, sf):
     rows = redundancy.replace_low_level(V.aligned(spark, sf), V.pairs0(spark))
     return rows.select("session", "ts", "seq", "cat", "label", "message_eng")
@@ -429,7 +432,7 @@ flows AS (SELECT session, replace(replace(t, '~Tool: T1~~End Event: E0~', '~Tool
 @query("merge_workflows", with_(_FLOW, """
 SELECT session, replace(substr(t, 2, length(t) - 2), '~~', '; ') AS sequence FROM flows"""))
 def _(spark, sf):
-    merged = workflows.merge_workflows(V.items(spark, sf), "item", V.PATTERNS)
+    merged = workflows.merge_workflows(V.items(spark, sf), "item", V.PATTERNS, source=V.log0(spark, sf))
     lists = sessions.groupby_lists(merged, lists=["item"])
     return lists.select("session", F.array_join("item-list", "; ").alias("sequence"))
 
@@ -456,7 +459,7 @@ flow_rows AS (SELECT session, coalesce(start, p) AS pos, max(ts) AS ts, CASE WHE
 @query("workflow_rows", with_(_MERGED_FLOW, """
 SELECT session, ts, cat, message, message_content, localization_id, merge_count FROM flow_rows"""))
 def _(spark, sf):
-    flows = workflows.workflow_rows(V.merged_log(spark, sf), V.PATTERNS)
+    flows = workflows.workflow_rows(V.merged_log(spark, sf), V.PATTERNS, source=V.log0(spark, sf))
     return flows.select("session", "ts", "cat", "message", "message_content", "localization_id", "merge_count")
 
 
@@ -467,7 +470,7 @@ SELECT session, replace(substr(u, 2, length(u) - 2), '~~', '; ') AS sequence FRO
   SELECT session, replace(replace(t, '<~Tool: T1~~End Event: E0~>', '~Tool: T1, End Event: E0~'),
     '<~Tool: T2~~End Event: E1~~Tool: T2~>', '~Tool: T2, End Event: E1, Tool: T2~') AS u FROM pass) x"""))
 def _(spark, sf):
-    merged = workflows.merge_first_match(V.items(spark, sf), "item", V.PATTERNS)
+    merged = workflows.merge_first_match(V.items(spark, sf), "item", V.PATTERNS, source=V.log0(spark, sf))
     lists = sessions.groupby_lists(merged, lists=["item"])
     return lists.select("session", F.array_join("item-list", "; ").alias("sequence"))
 
@@ -477,8 +480,8 @@ SELECT item, n, row_number() OVER (ORDER BY kind, n DESC, item) AS item_id FROM
   SELECT 0 AS kind, item, count(*) AS n FROM merged GROUP BY item
   UNION ALL SELECT 1, message_content, count(*) FROM flow_rows WHERE cat = 'workflow' GROUP BY 2) v"""))
 def _(spark, sf):
-    rows = V.merged_log(spark, sf)
-    return build_vocabulary(rows, workflows.workflow_rows(rows, V.PATTERNS))
+    rows = materialize(V.merged_log(spark, sf))
+    return build_vocabulary(rows, workflows.workflow_rows(rows, V.PATTERNS, source=rows))
 
 
 @query("learn_merges")

@@ -51,7 +51,7 @@ def _(spark, sf):
 SELECT session AS session_id, item AS item_id, ts AS timestamp, merge_count, cat,
   ts - coalesce(lag(ts) OVER (PARTITION BY session ORDER BY ts, seq), ts) AS timestamp_interval, seq FROM merged"""))
 def _(spark, sf):
-    return features.prepare_interactions(V.merged_log(spark, sf), session="session")
+    return features.prepare_interactions(V.merged_log(spark, sf), session="session", source=V.log0(spark, sf))
 
 
 @query("groupby_lists", f"""WITH {_ROWS}

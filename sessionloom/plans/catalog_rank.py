@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import messages as M
 from sessionloom.operators import features, lookups, ranking, retrieval
+from sessionloom.operators.scale import materialize
 from sessionloom.plans import views as V
 from sessionloom.plans.registry import query
-from sessionloom.plans.sqltext import ITEMS, MERGED, with_
+from sessionloom.plans.sqltext import ITEMS, LIVE_RESULT, MERGED, with_
 from sessionloom.streaming.live import LiveTable, live_filter, live_predict
 
 # --- lookups of item codes ------------------------------------------------------------
@@ -20,7 +21,7 @@ SELECT session, seq, coalesce(v.item_id, -1) AS item FROM merged m LEFT JOIN (
   SELECT item, row_number() OVER (ORDER BY count(*) DESC, item) AS item_id FROM merged WHERE item <> 'Tool: T0' GROUP BY item) v
 ON v.item = m.item"""))
 def _(spark, sf):
-    rows = V.merged_log(spark, sf).withColumnRenamed("message_content", "item")
+    rows = materialize(V.merged_log(spark, sf)).withColumnRenamed("message_content", "item")
     known = rows.filter("item <> 'Tool: T0'").withColumnRenamed("item", "message_content")
     words = features.build_vocabulary(known, known.withColumn("cat", F.lit("Tool")))
     return lookups.encode_items(rows, words, "item", -1).select("session", "seq", "item")
@@ -218,7 +219,7 @@ def _(spark, sf):
 
 def _live_inputs(spark, sf):
     log = V.log0(spark, sf).withColumn("ts", F.date_format("ts", "MM/dd/yyyy HH:mm:ss '0.'SSSSSS '+0000'"))
-    kept = V.modeling_log(spark, sf)
+    kept = materialize(V.modeling_log(spark, sf))
     item = kept.withColumn("item", M.strip_command_ids("message"))
     info = V.side0(item).select("message_content", "classification", "target")
     words = item.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
@@ -226,13 +227,13 @@ def _live_inputs(spark, sf):
     return log, V.dict0(kept), V.pairs0(spark), vocabulary, info
 
 
-@query("live_filter")
+@query("live_filter", with_(LIVE_RESULT, "SELECT * FROM live_result"))
 def _(spark, sf):
     return live_filter(*_live_inputs(spark, sf), patterns=V.PATTERNS).select(
         "session", "timestamp", "seq", "cat", "item_id", "merge_count", "timestamp_interval", "classification", "target")
 
 
-@query("live_table")
+@query("live_table", with_(LIVE_RESULT, "SELECT session, timestamp, seq, cat, item_id, merge_count FROM live_result"))
 def _(spark, sf):
     """The log in one micro-batch through the live table on disk."""
     log, dictionary, pairs, vocabulary, info = _live_inputs(spark, sf)

@@ -9,6 +9,7 @@ from sessionloom.functions import messages as M
 from sessionloom.operators.filters import prefilter
 from sessionloom.operators.lookups import last_wins, translate
 from sessionloom.operators.redundancy import label_rows
+from sessionloom.operators.scale import materialize
 from sessionloom.operators.sessions import undo_redo
 
 # The log view in SQL that Spark and DuckDB both understand: sessions are users, message
@@ -51,7 +52,8 @@ def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def modeling_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filtered log with undone work removed."""
-    return undo_redo(filtered(spark, sf_dir))
+    raw = log0(spark, sf_dir)
+    return undo_redo(prefilter(raw), source=raw)
 
 
 def dictionary_rows(log: DataFrame) -> DataFrame:
@@ -72,7 +74,8 @@ def dict0(log: DataFrame) -> DataFrame:
 
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled, translated rows with printable text."""
-    log = label_rows(modeling_log(spark, sf_dir))
+    # The log feeds the dictionary and is then translated by it: written once in between.
+    log = materialize(label_rows(modeling_log(spark, sf_dir), source=log0(spark, sf_dir)))
     return translate(log, dict0(log)).filter(M.is_printable("message_eng"))
 
 
@@ -95,7 +98,7 @@ def merged_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = modeling_log(spark, sf_dir).withColumns({
         "message_eng": F.col("message"), "message_content": M.strip_command_ids("message"),
         "localization_id": M.extract_command_ids("message")})
-    return collapse_runs(rows, "message_content")
+    return collapse_runs(rows, "message_content", source=log0(spark, sf_dir))
 
 
 def side0(log: DataFrame, item: str = "item") -> DataFrame:

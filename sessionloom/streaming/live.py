@@ -32,8 +32,8 @@ def live_filter(log: DataFrame, dictionary: DataFrame, pairs: DataFrame, vocabul
 
     ``log`` has ``ts`` (live text), ``session``, ``cat``, ``message`` and ``seq``.
     """
-    rows = prefilter_live(log).transform(undo_redo, session=session)
-    rows = label_rows(rows, session)
+    rows = prefilter_live(log).transform(undo_redo, session=session, source=log)
+    rows = label_rows(rows, session, source=log)
     rows = rows.withColumn("message", M.normalize_quotes("message"))
     rows = translate(rows, dictionary, keep_unmapped=True).filter(M.is_ascii("message_eng"))
     # No label window on the live path: all rows of the session are in view.
@@ -45,7 +45,7 @@ def live_filter(log: DataFrame, dictionary: DataFrame, pairs: DataFrame, vocabul
         partial(merge_first_match_step, item="item_id", patterns=patterns),
         partial(collapse_runs_step, item="item_id"),
         partial(time_intervals_step, ts="timestamp"))
-    rows = sessionwise(rows, steps, session, ("timestamp", "seq"))
+    rows = sessionwise(rows, steps, session, ("timestamp", "seq"), source=log)
     rows = drop_null_rows(rows)
     side = broadcast_if_small(info.select(
         F.col("message_content").alias("_key"), "classification", "target"))
