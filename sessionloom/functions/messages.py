@@ -19,15 +19,42 @@ def _col(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
+def _one_of(texts: Iterable[str]) -> str:
+    return "(?:" + "|".join(re.escape(t) for t in texts) + ")"
+
+
+def prefix_pattern(prefixes: Iterable[str]) -> str:
+    """Prefixes are patterns, not plain text."""
+    return "^(?:" + "|".join(prefixes) + ")"
+
+
+def suffix_pattern(suffixes: Iterable[str], spare_menu: bool = True) -> str:
+    """Plain-text suffixes at the end of the message, before at most one line feed.
+
+    With ``spare_menu`` the line is taken as a whole and its end is compared once, so the
+    pattern is not tried again at every place; menu rows and messages with a line feed
+    elsewhere then never match.
+    """
+    if spare_menu:
+        return "^(?!Menu:).*+(?<=" + _one_of(suffixes) + ")\\n?\\z"
+    return _one_of(suffixes) + "\\n?\\z"
+
+
 def has_prefix(message, prefixes: Iterable[str]) -> Column:
-    """The message starts with one of the prefixes, which are patterns, not plain text."""
-    return _col(message).rlike("^(?:" + "|".join(prefixes) + ")")
+    return _col(message).rlike(prefix_pattern(prefixes))
 
 
 def has_suffix(message, suffixes: Iterable[str], spare_menu: bool = True) -> Column:
-    """The message ends with one of the plain-text suffixes; menu rows may be spared."""
-    ends = "(?:" + "|".join(re.escape(s) for s in suffixes) + ")$"
-    return _col(message).rlike("(?d)^(?!Menu:).*" + ends if spare_menu else "(?d)" + ends)
+    return _col(message).rlike("(?d)" + suffix_pattern(suffixes, spare_menu))
+
+
+def is_noise(message, prefixes: Iterable[str], suffixes: Iterable[str], spare_menu: bool = True) -> Column:
+    """Prefix or suffix rule, as one pattern.
+
+    One pattern reads the message once.  Separate tests on a computed message would have
+    Spark push each of them down with its own copy of the computation.
+    """
+    return _col(message).rlike(f"(?d)(?:{prefix_pattern(prefixes)})|(?:{suffix_pattern(suffixes, spare_menu)})")
 
 
 def has_menu_suffix(message, suffixes: Iterable[str]) -> Column:

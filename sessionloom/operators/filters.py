@@ -29,8 +29,8 @@ def drop_prefixes(df: DataFrame, prefixes: Iterable[str] = C.NOISE_PREFIXES,
 
 def drop_suffixes(df: DataFrame, suffixes: Iterable[str] = C.NOISE_SUFFIXES,
                   message: str = "message", spare_menu: bool = True,
-                  menu_suffixes: Iterable[str] = C.MENU_NOISE_SUFFIXES) -> DataFrame:
-    kept = df.filter(~M.has_menu_suffix(message, menu_suffixes)) if spare_menu else df
+                  menu_suffixes: Sequence[str] = C.MENU_NOISE_SUFFIXES) -> DataFrame:
+    kept = df.filter(~M.has_menu_suffix(message, menu_suffixes)) if spare_menu and menu_suffixes else df
     return kept.filter(~M.has_suffix(message, suffixes, spare_menu))
 
 
@@ -41,8 +41,7 @@ def strip_max_marker(df: DataFrame, message: str = "message") -> DataFrame:
 def prefilter(df: DataFrame, message: str = "message", ts: str = "ts") -> DataFrame:
     """The batch noise filter; the order matters, since markers hide some suffixes."""
     return (df.transform(keep_categories)
-            .transform(drop_prefixes, message=message)
-            .transform(drop_suffixes, message=message)
+            .filter(~M.is_noise(message, C.NOISE_PREFIXES, C.NOISE_SUFFIXES))
             .transform(strip_max_marker, message=message)
             .withColumn(ts, M.to_unix_seconds(ts, df.schema[ts].dataType.typeName())))
 
@@ -51,8 +50,7 @@ def prefilter_live(df: DataFrame, message: str = "message", ts: str = "ts") -> D
     """The live noise filter: categories by substring, menu rows not spared, one suffix less."""
     suffixes = [s for s in C.NOISE_SUFFIXES if s != C.BATCH_ONLY_SUFFIX]
     return (df.transform(keep_categories, contains=True)
-            .transform(drop_prefixes, message=message)
-            .transform(drop_suffixes, suffixes=suffixes, message=message, spare_menu=False)
+            .filter(~M.is_noise(message, C.NOISE_PREFIXES, suffixes, spare_menu=False))
             .transform(strip_max_marker, message=message)
             .withColumn(ts, M.live_ts_to_unix(ts)))
 

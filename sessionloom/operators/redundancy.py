@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sessionloom import constants as C
 from sessionloom.operators.ordered import sessionwise, with_halo
 from sessionloom.operators.pairs import plain_strings
-from sessionloom.operators.scale import broadcast_if_small, hot_groups, materialize, same_keys, small_table
+from sessionloom.operators.scale import broadcast_if_small, hot_groups, materialize, once, same_keys, small_table
 
 TILE = 20_000
 
@@ -84,40 +84,74 @@ def pair_confidence(support: DataFrame, minimum: float = C.PAIR_MIN_CONFIDENCE,
             .filter((F.col("sup1_group_sum") >= rare_support) | (F.col("confidence") > rare_confidence)))
 
 
-def _scan_tile(before: int | None, after: int | None, n_next: int, n_prev: int):
-    """Backward scan of one tile: which rows do its commands drop?"""
-
-    def scan(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("label")
-        low = (pdf["cat"] == C.LOW_LEVEL).to_numpy()
-        e_label = pdf["label"].to_numpy()[low]
-        e_ts = pdf["ts"].to_numpy()[low]
-        e_text = pdf["text"].to_numpy()[low]
-        gone = pdf["gone"].to_numpy().astype(bool)[low]
-        home = pdf[pdf["home"] & pdf["cat"].isin(C.HIGH_LEVEL)]
-        dropped: list[int] = []
-        for label, ts, allowed in zip(home["label"].to_numpy()[::-1], home["ts"].to_numpy()[::-1],
-                                      home["allowed"].to_numpy()[::-1]):
-            lo = 0 if before is None else int(np.searchsorted(e_label, label - before, "left"))
-            hi = len(e_label) if after is None else int(np.searchsorted(e_label, label + after, "right"))
-            open_ = ~gone[lo:hi]
-            later = e_ts[lo:hi] >= ts
-            near = np.concatenate([np.flatnonzero(open_ & later)[:n_next],
-                                   np.flatnonzero(open_ & ~later)[:n_prev]])
-            if not len(near):
+def _dropped_in(rows: pd.DataFrame, before: int | None, after: int | None, n_next: int,
+                n_prev: int) -> list[int]:
+    """Backward scan over the commands of one tile: the labels they drop."""
+    cat = rows["cat"].to_numpy()
+    low = cat == C.LOW_LEVEL
+    labels, times = rows["label"].to_numpy(), rows["ts"].to_numpy()
+    e_label, e_ts, e_text = labels[low], times[low], rows["text"].to_numpy()[low]
+    gone = rows["gone"].to_numpy().astype(bool)[low]
+    known = rows["allowed"].to_numpy()
+    dropped: list[int] = []
+    for at in np.flatnonzero(rows["home"].to_numpy().astype(bool) & ~low)[::-1]:
+        label, ts, allowed = labels[at], times[at], known[at]
+        lo = 0 if before is None else int(np.searchsorted(e_label, label - before, "left"))
+        hi = len(e_label) if after is None else int(np.searchsorted(e_label, label + after, "right"))
+        open_ = ~gone[lo:hi]
+        later = e_ts[lo:hi] >= ts
+        near = [*np.flatnonzero(open_ & later)[:n_next], *np.flatnonzero(open_ & ~later)[:n_prev]]
+        if not near:
+            dropped.append(int(label))
+        elif allowed is not None:
+            match = next((lo + i for i in near if e_text[lo + i] in allowed), None)
+            if match is None:
                 dropped.append(int(label))
-            elif allowed is not None:
-                match = next((lo + i for i in near if e_text[lo + i] in set(allowed)), None)
-                if match is None:
-                    dropped.append(int(label))
-                else:
-                    gone[match] = True
-                    dropped.append(int(e_label[match]))
-        return plain_strings(pd.DataFrame({
-            "_s": [key[0]] * len(dropped), "_tile": [int(key[1])] * len(dropped), "label": dropped}
-        ).astype({"_tile": "int64", "label": "int64"}))
+            else:
+                gone[match] = True
+                dropped.append(int(e_label[match]))
+    return dropped
 
-    return scan
+
+def _scan_tiles(rows: DataFrame, schema: str, *view) -> DataFrame:
+    """``_dropped_in`` for every (session, tile).
+
+    Tiles are sorted inside the partitions and streamed, many to a batch, so short sessions
+    do not pay for a call each; at most one tile is held over from batch to batch.  The
+    number of partitions is fixed: the work per row is in Python, and sizing partitions by
+    bytes would put too much of it into one task.
+    """
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def done(frame: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            keys = list(zip(frame["_s"].to_numpy(), frame["_tile"].to_numpy()))
+            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            for start, stop in zip(starts, [*starts[1:], len(keys)]):
+                out += [(*keys[start], label) for label in _dropped_in(frame.iloc[start:stop], *view)]
+            return plain_strings(pd.DataFrame(out, columns=["_s", "_tile", "label"]))
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = (batch["_s"].iloc[-1], batch["_tile"].iloc[-1])
+            open_rows = ((batch["_s"] == last[0]) & (batch["_tile"] == last[1])).to_numpy()
+            if held and not open_rows.all():
+                yield done(pd.concat([*held, batch[~open_rows]]))
+                held = []
+            elif not open_rows.all():
+                yield done(batch[~open_rows])
+            elif held and (held[0]["_s"].iloc[0], held[0]["_tile"].iloc[0]) != last:
+                yield done(pd.concat(held))
+                held = []
+            held.append(batch[open_rows])
+        if held:
+            yield done(pd.concat(held))
+
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.repartition(partitions, "_s", "_tile").sortWithinPartitions("_s", "_tile", "label")
+            .mapInPandas(scan, schema))
 
 
 def dropped_labels(df: DataFrame, pairs: DataFrame, before: int | None = 10, after: int | None = 30,
@@ -141,9 +175,9 @@ def dropped_labels(df: DataFrame, pairs: DataFrame, before: int | None = 10, aft
         (F.col("text") == F.col("_command")) & F.col("cat").isin(list(C.HIGH_LEVEL)), "left"
     ).drop("_command")
     schema = f"_s {rows.schema['_s'].dataType.simpleString()}, _tile bigint, label bigint"
-    scan = _scan_tile(before, after, n_next, n_prev)
+    view = (before, after, n_next, n_prev)
     if before is None or after is None:
-        gone = _dropped_without_window(materialize(rows), scan, schema, n_next, n_prev, tile)
+        gone = _dropped_without_window(rows, schema, n_next, n_prev, tile)
         return gone.select(F.col("_s").alias(session), F.col("label").alias(label))
     tiled = with_halo(rows, "label", tile, before, after, "_tile", "home")
 
@@ -155,7 +189,7 @@ def dropped_labels(df: DataFrame, pairs: DataFrame, before: int | None = 10, aft
                 incoming.withColumn("gone", F.lit(True)).alias("g"),
                 same_keys("r", "g", ["_s", "_tile", "label"]), "left"
             ).select("r.*", F.coalesce(F.col("g.gone"), F.lit(False)).alias("gone"))
-        return materialize(marked.groupBy("_s", "_tile").applyInPandas(scan, schema))
+        return materialize(_scan_tiles(marked, schema, *view))
 
     def border(decisions: DataFrame) -> DataFrame:
         """What each tile is told by the next one: its drops close to the border."""
@@ -180,8 +214,7 @@ def dropped_labels(df: DataFrame, pairs: DataFrame, before: int | None = 10, aft
     return decisions.select(F.col("_s").alias(session), F.col("label").alias(label)).distinct()
 
 
-def _dropped_without_window(rows: DataFrame, scan, schema: str, n_next: int, n_prev: int,
-                            tile: int) -> DataFrame:
+def _dropped_without_window(rows: DataFrame, schema: str, n_next: int, n_prev: int, tile: int) -> DataFrame:
     """Dropped labels if every command sees its whole session.
 
     A session up to ``tile`` rows is one group.  A longer one is walked tile by tile from
@@ -191,7 +224,7 @@ def _dropped_without_window(rows: DataFrame, scan, schema: str, n_next: int, n_p
     """
     def whole(part: DataFrame) -> DataFrame:
         flagged = part.withColumns({"_tile": F.lit(0).cast("bigint"), "home": F.lit(True), "gone": F.lit(False)})
-        return flagged.groupBy("_s", "_tile").applyInPandas(scan, schema).select("_s", "label")
+        return _scan_tiles(flagged, schema, None, None, n_next, n_prev).select("_s", "label")
 
     long = hot_groups(rows, ["_s"], tile)
     if long is None:
@@ -222,7 +255,7 @@ def _dropped_without_window(rows: DataFrame, scan, schema: str, n_next: int, n_p
             gone.withColumn("gone", F.lit(True)).alias("g"), same_keys("h", "g", ["_s", "label"]), "left"
         ).select("h.*", F.lit(True).alias("home"), F.coalesce(F.col("g.gone"), F.lit(False)).alias("gone"))
         step = mine.unionByName(view).withColumn("_tile", F.lit(at).cast("bigint"))
-        found = step.groupBy("_s", "_tile").applyInPandas(scan, schema).select("_s", "label")
+        found = _scan_tiles(step, schema, None, None, n_next, n_prev).select("_s", "label")
         gone = materialize(gone.unionByName(found))
     return whole(normal).unionByName(gone)
 
@@ -238,6 +271,7 @@ def replace_low_level(df: DataFrame, pairs: DataFrame, before: int | None = 10,
     no known pairs: it stays.  One of the events is a known pair: the first such event goes.
     Otherwise the command goes.
     """
+    df = once(df)
     gone = dropped_labels(df, pairs, before, after, session=session, label=label, ts=ts, cat=cat,
                           message=message, tile=tile)
     return df.alias("d").join(gone.alias("g"), same_keys("d", "g", [session, label]), "left_anti")

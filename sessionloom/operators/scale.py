@@ -32,7 +32,19 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _tables.add((spark.sparkContext.applicationId, table.semanticHash()))
+    return table
+
+
+_tables: set[tuple[str, int]] = set()
+
+
+def once(df: DataFrame) -> DataFrame:
+    """For input that is read several times: materialized, unless it is such a table already."""
+    if (df.sparkSession.sparkContext.applicationId, df.semanticHash()) in _tables:
+        return df
+    return materialize(df)
 
 
 def _row_bytes(df: DataFrame):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.constants import WORKFLOW, workflow_patterns
 from sessionloom.operators.ordered import Timeline, sessionwise
-from sessionloom.operators.scale import materialize, same_keys
+from sessionloom.operators.scale import materialize, once, same_keys
 
 TILE = 2_000
 
@@ -43,9 +43,9 @@ def greedy_cover(rows: Timeline, length: str, longest: int, chosen: str = "_chos
     cut into tiles; each tile is folded once for every possible start state, the tiny
     per-tile maps are chained, and the tiles are folded again with their true start state.
     """
-    fits = materialize(rows.df.filter(F.col(length) > 0).select(
-        rows.session, "_pos", F.col(length).alias("_len"),
-        F.floor(F.col("_pos") / TILE).alias("_tile")))
+    rows = rows.of(once(rows.df))
+    fits = rows.df.filter(F.col(length) > 0).select(
+        rows.session, "_pos", F.col(length).alias("_len"), F.floor(F.col("_pos") / TILE).alias("_tile"))
     packed = fits.groupBy(rows.session, "_tile").agg(
         F.sort_array(F.collect_list(F.struct("_pos", "_len"))).alias("_fits"))
 

@@ -71,6 +71,18 @@ def _(spark, sf):
         F.length(M.normalize_quotes("text")).cast("bigint").alias("unquoted"))
 
 
+@query("drop_prefixes", with_(LOG, """
+SELECT seq, message FROM log0 WHERE NOT (starts_with(message, 'Event:') OR starts_with(message, 'Menu: Undo'))"""))
+def _(spark, sf):
+    return filters.drop_prefixes(V.log0(spark, sf)).select("seq", "message")
+
+
+@query("drop_suffixes", with_(LOG, """
+SELECT seq, message FROM log0 WHERE starts_with(message, 'Menu:') OR NOT ends_with(message, '(-242)')"""))
+def _(spark, sf):
+    return filters.drop_suffixes(V.log0(spark, sf)).select("seq", "message")
+
+
 @query("drop_exact", with_(PRE, """
 SELECT message, count(*) AS n FROM pre WHERE message NOT IN ('Tool: T1 (-21)', 'Menu: M0 - (30)') GROUP BY message"""))
 def _(spark, sf):

@@ -18,7 +18,7 @@ def any_of(texts) -> str:
     return "(" + ", ".join(quoted(t) for t in texts) + ")"
 
 
-LOG = "log0 AS (" + LOG_SELECT.format(events="events") + ")"
+LOG = "log0 AS (" + LOG_SELECT + ")"
 
 _PREFIX = " OR ".join(f"starts_with(message, {quoted(p)})" for p in C.NOISE_PREFIXES)
 _SUFFIX = " OR ".join(f"ends_with(message, {quoted(s)})" for s in C.NOISE_SUFFIXES)

@@ -12,13 +12,12 @@ from sessionloom.operators.redundancy import label_rows
 from sessionloom.operators.scale import materialize
 from sessionloom.operators.sessions import undo_redo
 
-# The log view in SQL that Spark and DuckDB both understand: sessions are users, message
-# kinds come from the event type, and ``k`` from the properties.
-LOG_SELECT = """
-SELECT CAST(user_id AS STRING) AS session, ts, event_id AS seq,
-  CASE WHEN event_type = 'click' THEN 'Tool' WHEN event_type = 'view' THEN 'Menu'
-       WHEN event_type = 'signup' AND k % 4 = 3 THEN 'System' ELSE 'UNDO' END AS cat,
-  CASE event_type
+# The log view, as expressions that Spark and DuckDB both understand: sessions are users,
+# message kinds come from the event type, and ``k`` from the properties.
+LOG_K = "CAST(substr(props, 7, length(props) - 7) AS INT)"
+LOG_CAT = """CASE WHEN event_type = 'click' THEN 'Tool' WHEN event_type = 'view' THEN 'Menu'
+       WHEN event_type = 'signup' AND k % 4 = 3 THEN 'System' ELSE 'UNDO' END"""
+LOG_MESSAGE = """CASE event_type
     WHEN 'click' THEN CASE WHEN k % 10 = 0 THEN 'Tool: Zoom (-242)'
       ELSE 'Tool: T' || CAST(k % 4 AS STRING) || ' (-' || CAST(20 + k % 4 AS STRING) || ')' END
     WHEN 'view' THEN CASE WHEN k % 10 = 0 THEN 'Menu: Undo (-26) (0)'
@@ -31,8 +30,10 @@ SELECT CAST(user_id AS STRING) AS session, ts, event_id AS seq,
     ELSE CASE k % 4 WHEN 0 THEN 'Redo Event: E' WHEN 1 THEN 'End Event: E'
                     WHEN 2 THEN 'Event: E' ELSE 'End Event: E' END
            || CAST(event_id % 3 AS STRING) || ' (' || CAST(50 + event_id % 3 AS STRING) || ')'
-  END AS message
-FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM {events}) e
+  END"""
+LOG_SELECT = f"""
+SELECT CAST(user_id AS STRING) AS session, ts, event_id AS seq, {LOG_CAT} AS cat, {LOG_MESSAGE} AS message
+FROM (SELECT *, {LOG_K} AS k FROM events) e
 """
 
 PATTERNS = [["Tool: T1", "End Event: E0"], ["Tool: T2", "End Event: E1", "Tool: T2"]]
@@ -43,7 +44,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def log0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LOG_SELECT.format(events="{events}"), events=table(spark, sf_dir, "events"))
+    """The raw log.  Category and message are computed once per row: behind ``inline`` no
+    later filter is pushed down with a copy of their long expressions."""
+    return table(spark, sf_dir, "events").selectExpr("*", f"{LOG_K} AS k").selectExpr(
+        "CAST(user_id AS STRING) AS session", "ts", "event_id AS seq",
+        f"inline(array(struct({LOG_CAT} AS cat, {LOG_MESSAGE} AS message)))")
 
 
 def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
