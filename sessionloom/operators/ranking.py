@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.operators.ordered import sessionwise
+
 
 def topk(scores: DataFrame, k: int, session: str = "session", item: str = "item",
          score: str = "score") -> DataFrame:
@@ -22,9 +23,10 @@ def topk(scores: DataFrame, k: int, session: str = "session", item: str = "item"
 
 def rank_display(predictions: DataFrame, session: str = "session", item: str = "item",
                  score: str = "score") -> DataFrame:
-    """Predictions in shown order, 1-based."""
-    order = Window.partitionBy(session).orderBy(F.desc(score), F.asc(item))
-    return predictions.withColumn("rank", F.row_number().over(order))
+    """All predictions in shown order, 1-based."""
+    ordered = predictions.withColumn("_falling", -F.col(score))
+    return sessionwise(ordered, lambda t: t.numbered("rank"), session, ("_falling", item)).withColumn(
+        "rank", F.col("rank").cast("int")).drop("_falling")
 
 
 def _hits(k: int) -> Column:
@@ -133,7 +135,3 @@ def binary_metrics(df: DataFrame, prediction: str, target: str) -> DataFrame:
 
 def mse(df: DataFrame, prediction: str, target: str) -> DataFrame:
     return df.agg(F.avg(F.pow(F.col(prediction) - F.col(target), 2)).alias("mse"))
-
-
-def log2_discount(rank: int) -> float:
-    return 1.0 / math.log2(rank + 1)

@@ -47,6 +47,10 @@ def undo_redo_step(rows: Timeline, message: str = "message") -> Timeline:
     undo = text.startswith(_UNDO)
     remove = text.startswith(_UNDO_REMOVE)
     rows = rows.filter(F.col(rows.session).isNotNull())
+    if not rows.block:
+        # One shuffle by session serves these windows and all session steps that follow;
+        # left alone, Spark would shuffle by (session, command) and then again by session.
+        rows = rows.of(rows.df.repartition(rows.session))
     rows = rows.with_columns(
         _cmd=F.when(redo | undo | remove | text.startswith("End Event:"),
                     F.trim(extract_command(text))),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.hashing import hashed_int, uniform
 from sessionloom.operators.ordered import global_number
-from sessionloom.operators.scale import materialize
+from sessionloom.operators.scale import materialize, small_table
 
 
 def split_random(df: DataFrame, key: str, test: float = 0.1, val: float = 0.1, seed: int = 1,
@@ -57,7 +57,7 @@ def split_balanced(df: DataFrame, session: str, item: str, train: float = 0.85,
     """
     pairs = df.select(session, item)
     draw = F.struct(hashed_int(F.col(item), F.col(session), "pick", seed).alias("h"), F.col(session).alias("s"))
-    best = pairs.groupBy(item).agg(F.min(draw).alias("_first"))
+    best = small_table(pairs.groupBy(item).agg(F.min(draw).alias("_first")))
     # The second pick is the minimum over the item's other sessions.
     rest = pairs.join(best, item).filter(F.col(session) != F.col("_first.s"))
     second = rest.groupBy(item).agg(F.min(draw).alias("_second"))

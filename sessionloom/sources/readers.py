@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionloom.operators.lookups import last_wins
-from sessionloom.operators.sessions import drop_repeats, session_text  # noqa: F401
+from sessionloom.operators.sessions import drop_repeats
+from sessionloom.operators.stats import first_seen
 
 LOG_COLUMNS = ("session_anonymized", "ts", "cat", "message")
 
@@ -54,8 +55,6 @@ def read_csv_logs(spark: SparkSession, path: str, schema: T.StructType | None =
 def read_clicks_csv(spark: SparkSession, path: str) -> DataFrame:
     """Click log without a header line; neighbouring repeats are dropped and the first time
     of every item is added."""
-    from sessionloom.operators.stats import first_seen
-
     clicks = spark.read.schema(CLICK_SCHEMA).csv(path)
     kept = drop_repeats(clicks, "item_id", session="session_id", order=("timestamp", "item_id", "category"))
     return first_seen(kept, "item_id", "timestamp")

@@ -39,7 +39,8 @@ def session_chunks(df: DataFrame, per_chunk: int = 10_000, session: str = "sessi
 def write_session_chunks(df: DataFrame, path: str, per_chunk: int = 10_000, session: str = "session") -> None:
     """One folder per chunk.  A folder holds whole sessions; a huge one may span several files."""
     chunked = session_chunks(df, per_chunk, session)
-    chunked.write.mode("overwrite").partitionBy("chunk").parquet(path)
+    # Rebalancing gives a chunk few files and still cuts a chunk that is far too large.
+    chunked.hint("rebalance", "chunk").write.mode("overwrite").partitionBy("chunk").parquet(path)
 
 
 def training_rows(df: DataFrame) -> DataFrame:
@@ -70,10 +71,10 @@ def write_stats_csv(stats: DataFrame, path: str) -> None:
 
 def partitioned_time_write(df: DataFrame, path: str, column: str = "day_idx") -> None:
     """One folder per value of the time column."""
-    df.write.mode("overwrite").partitionBy(column).parquet(path)
+    df.hint("rebalance", column).write.mode("overwrite").partitionBy(column).parquet(path)
 
 
 def write_splits(df: DataFrame, path: str, part: str | None = None, split: str = "split") -> None:
     """Folders ``[<part>=.../]split=...``."""
     columns = ([part] if part else []) + [split]
-    df.write.mode("overwrite").partitionBy(*columns).parquet(path)
+    df.hint("rebalance", *columns).write.mode("overwrite").partitionBy(*columns).parquet(path)
