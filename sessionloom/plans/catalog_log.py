@@ -496,7 +496,19 @@ def _(spark, sf):
     return build_vocabulary(rows, workflows.workflow_rows(rows, V.PATTERNS, source=rows))
 
 
-@query("learn_merges")
+def _round(n: int) -> str:
+    """One learning round on the wrapped item lists: count neighbours, merge the best pair."""
+    return f""",
+l{n} AS (SELECT session, string_split(substr(t, 2, length(t) - 2), '~~') AS l FROM t{n}),
+p{n} AS (SELECT unnest(l[1:len(l) - 1]) AS a, unnest(l[2:]) AS b FROM l{n} WHERE len(l) > 1),
+b{n} AS (SELECT a, b, count(*) AS n FROM p{n} GROUP BY a, b ORDER BY n DESC, a, b LIMIT 1),
+t{n + 1} AS (SELECT session, replace(t, '~' || a || '~~' || b || '~', '~' || a || ',' || b || '~') AS t FROM t{n}, b{n})"""
+
+
+@query("learn_merges", with_(ITEMS + """,
+t1 AS (SELECT session, string_agg('~' || item || '~', '' ORDER BY ts, seq) AS t FROM items GROUP BY session)"""
+                             + _round(1) + _round(2) + _round(3), """
+SELECT a || ',' || b AS workflow, n FROM b1 UNION ALL SELECT a || ',' || b, n FROM b2 UNION ALL SELECT a || ',' || b, n FROM b3"""))
 def _(spark, sf):
     learned = workflows.learn_merges(V.items(spark, sf), rounds=3)
     return spark.createDataFrame([(",".join(parts), n) for parts, n in learned], "workflow string, n bigint")

@@ -162,7 +162,19 @@ def _(spark, sf):
     return V.exploded(rows, "session", "label")
 
 
-@query("span_targets")
+@query("span_targets", f"""WITH {_ROWS},
+sizes AS (SELECT DISTINCT session, n FROM rows0),
+steps AS (SELECT session, n, k, 1 + {hashed("session", "k", "'span'", "1")} % 5 AS span
+  FROM (SELECT session, n, unnest(range(1, CAST(ceil(n / 6.0) AS BIGINT) + 2)) AS k FROM sizes) s),
+placed AS (SELECT *, coalesce(sum(6 * span) OVER (PARTITION BY session ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+  {hashed("session", "k", "'place'", "1")} % (5 * span + 1) AS shift FROM steps),
+spans AS (SELECT session, start + shift AS lo, start + shift + span AS hi FROM placed WHERE start < n),
+hit AS (SELECT *, EXISTS (SELECT 1 FROM spans s WHERE s.session = rows0.session AND pos >= lo AND pos < hi) AS h FROM rows0),
+forced AS (SELECT *, h OR (count(*) FILTER (WHERE h) OVER (PARTITION BY session) = 0
+  AND pos = {hashed("session", "'force'", "1")} % n) AS m FROM hit),
+counted AS (SELECT *, count(*) FILTER (WHERE m) OVER (PARTITION BY session) AS masked FROM forced)
+SELECT session, CAST(pos AS INT) AS pos, CASE WHEN m AND NOT (masked = n AND pos = {hashed("session", "'show'", "1")} % n)
+  THEN l_linenumber ELSE 0 END::BIGINT AS label FROM counted""")
 def _(spark, sf):
     rows = masking.span_targets(V.sequences(spark, sf), "session", "lines", out="label")
     return V.exploded(rows, "session", "label")
@@ -392,21 +404,39 @@ def _(spark, sf):
     return sampling.log_uniform_sample(V.table(spark, sf, "orders"), "o_orderkey", most, 100)
 
 
-@query("generate_interactions")
+# The synthetic rows in SQL: the same hashes, and Box-Muller for the normal number.
+_GENERATED = f"""drawn AS (SELECT key AS row, 1 + {hashed("key", "'session'", "1")} % 4999 AS session_id,
+  CAST(least(greatest(floor(exp(3.0 + sqrt(-2.0 * ln(({hashed("key", "'item'", "1", "'a'")} + 1) / 4294967297.0))
+    * cos(2.0 * pi() * {uniform("key", "'item'", "1", "'b'")}))), 1), 10000) AS BIGINT) AS item_id FROM keys),
+generated AS (SELECT row, session_id, item_id, 1 + {hashed("session_id", "'day'", "1")} % 10 AS day,
+  {hashed("session_id", "'purchase'", "1")} % 2 AS purchase, round({uniform("session_id", "'price'", "1")}, 9) AS price,
+  CAST(greatest(ceil((item_id - lo) / (hi - lo) * 99), 1) AS BIGINT) AS category, round({uniform("row", "'item_recency'", "1")}, 9) AS item_recency
+  FROM drawn, (SELECT min(item_id) AS lo, max(item_id) AS hi FROM drawn) b)"""
+
+
+@query("generate_interactions", f"WITH keys AS (SELECT o_orderkey AS key FROM orders), {_GENERATED} SELECT * FROM generated")
 def _(spark, sf):
-    return sampling.generate_interactions(V.table(spark, sf, "orders"), "o_orderkey")
+    out = sampling.generate_interactions(V.table(spark, sf, "orders"), "o_orderkey")
+    return out.withColumns({"price": F.round("price", 9), "item_recency": F.round("item_recency", 9)})
 
 
-@query("generate_sessions")
+@query("generate_sessions", f"""WITH keys AS (SELECT DISTINCT l_orderkey AS key FROM lineitem), {_GENERATED},
+placed AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY row) AS p FROM generated)
+SELECT session_id, string_agg(item_id, ',' ORDER BY p) AS items, min(day) AS day FROM placed WHERE p <= 20
+GROUP BY session_id HAVING count(*) >= 2""")
 def _(spark, sf):
     out = sampling.generate_sessions(V.table(spark, sf, "lineitem").select("l_orderkey").distinct(), "l_orderkey")
     return out.select("session_id", F.array_join("item_id-list_trim", ",").alias("items"), F.col("day-first").alias("day"))
 
 
-@query("random_from_schema")
+@query("random_from_schema", f"""
+WITH sized AS (SELECT c_custkey AS row, 5 + {hashed("c_custkey", "'length'", "0")} % 16 AS n FROM customer),
+flat AS (SELECT row, n, i, 1 + {hashed("row", "i", "'item_id'", "0")} % 9999 AS item FROM (SELECT row, n, unnest(range(1, n + 1)) AS i FROM sized) s)
+SELECT row, CAST(n AS INT) AS length, string_agg(item, ',' ORDER BY i) AS items, round({uniform("row", "0", "'price'", "0")}, 9) AS price
+FROM flat GROUP BY row, n""")
 def _(spark, sf):
     out = sampling.random_from_schema(V.table(spark, sf, "customer"), "c_custkey", max_length=20)
-    return out.select("row", F.size("item_id").alias("length"), F.array_join("item_id", ",").alias("items"), "price")
+    return out.select("row", F.size("item_id").alias("length"), F.array_join("item_id", ",").alias("items"), F.round("price", 9).alias("price"))
 
 
 # --- dictionary -----------------------------------------------------------------------
@@ -546,13 +576,13 @@ def _(spark, sf):
     return readers.read_vocab(spark, path)
 
 
-@query("read_docs", "SELECT text, lang FROM (SELECT string_agg(text, ' ' ORDER BY doc_id) AS text, lang FROM documents WHERE false GROUP BY lang) x UNION ALL SELECT CAST(count(*) AS VARCHAR), lang FROM documents GROUP BY lang")
+@query("read_docs", "SELECT lang, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY lang")
 def _(spark, sf):
     path = V.scratch(spark)
-    counts = V.table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).cast("string").alias("value"))
-    counts.repartition(4, "lang").write.partitionBy("lang").text(path)
+    V.table(spark, sf, "documents").select("text", "lang").write.partitionBy("lang").text(path)
     docs = readers.read_docs(spark, path, "*.txt")
-    return docs.select(F.trim(F.regexp_replace("text", "\n", "")).alias("text"), F.regexp_extract("path", "lang=([a-z]+)", 1).alias("lang"))
+    # The writer ends every text with a line feed.
+    return docs.groupBy(F.regexp_extract("path", "lang=([a-z]+)", 1).alias("lang")).agg(F.sum(F.length("text")).alias("chars"))
 
 
 @query("write_training", f"""WITH {_ROWS}
