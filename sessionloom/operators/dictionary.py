@@ -130,7 +130,7 @@ def centroid_label(words: DataFrame, keys: Sequence[str] = ("id",), order: str =
     return joined.groupBy(*keys).agg(
         F.count(F.when(english, 1)).alias("_english"),
         F.min(F.when(english, F.col("message"))).alias("_raw"),
-        F.min_by("translated_message", F.struct(l2_distance(vector, "_mean"), order)).alias("_nearest")
+        F.min_by("translated_message", F.struct(F.round(l2_distance(vector, "_mean"), 12), order)).alias("_nearest")
     ).select(*keys, F.when(F.col("_english") == 1, F.col("_raw")).otherwise(F.col("_nearest")).alias("label"))
 
 

@@ -507,15 +507,50 @@ def _(spark, sf):
     return out.select("id", "clusters", F.round("score", 9).alias("score"))
 
 
-@query("tune_eps")
-def _(spark, sf):
-    best, _ = dictionary.tune_eps(V.words0(spark, sf), [1.0 + 0.05 * i for i in range(10)])
-    return best
-
-
-@query("build_dictionary")
-def _(spark, sf):
-    out = dictionary.build_dictionary(V.words0(spark, sf), grid=[1.0 + 0.05 * i for i in range(10)])
+# The same closure and silhouette for every bound of a grid.
+_TUNED = _PAIRS + """,
+grid AS (SELECT 1.0::DOUBLE + 0.05::DOUBLE * i AS eps FROM (SELECT unnest(range(10)) AS i) g),
+edges AS (SELECT id, eps, a, b FROM pairs, grid WHERE dist <= eps UNION ALL SELECT id, eps, b, a FROM pairs, grid WHERE dist <= eps),
+reach AS (SELECT id, eps, message AS a, message AS b FROM words0, grid
+  UNION SELECT r.id, r.eps, r.a, e.b FROM reach r JOIN edges e ON e.id = r.id AND e.eps = r.eps AND e.a = r.b),
+clusters AS (SELECT id, eps, a AS message, min(b) AS cluster FROM reach GROUP BY id, eps, a),
+sides AS (SELECT id, a, b, dist FROM pairs UNION ALL SELECT id, b, a, dist FROM pairs),
+sizes AS (SELECT id, eps, cluster, count(*) AS n FROM clusters GROUP BY 1, 2, 3),
+per AS (SELECT s.id, ca.eps, s.a, ca.cluster = cb.cluster AS own, sum(dist) / (z.n - CASE WHEN ca.cluster = cb.cluster THEN 1 ELSE 0 END) AS far
+  FROM sides s JOIN clusters ca ON ca.id = s.id AND ca.message = s.a
+  JOIN clusters cb ON cb.id = s.id AND cb.eps = ca.eps AND cb.message = s.b
+  JOIN sizes z ON z.id = s.id AND z.eps = ca.eps AND z.cluster = cb.cluster GROUP BY s.id, ca.eps, s.a, ca.cluster, cb.cluster, z.n),
+ab AS (SELECT id, eps, a, max(far) FILTER (WHERE own) AS x, min(far) FILTER (WHERE NOT own) AS y FROM per GROUP BY 1, 2, 3),
+means AS (SELECT c.id, c.eps, avg(CASE WHEN x IS NULL OR y IS NULL THEN 0 ELSE (y - x) / greatest(x, y) END) AS s
+  FROM clusters c LEFT JOIN ab ON ab.id = c.id AND ab.eps = c.eps AND ab.a = c.message GROUP BY c.id, c.eps),
+scored AS (SELECT id, eps, count(*) AS clusters, count(*) = 1 OR count(*) = sum(n) AS penalty, any_value(s) AS s
+  FROM sizes JOIN means USING (id, eps) GROUP BY id, eps),
+best AS (SELECT id, eps, clusters, CASE WHEN penalty THEN 1.0 ELSE s END AS score FROM scored
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE WHEN penalty THEN -1.0 ELSE round(s, 12) END DESC, eps) = 1)"""
+_GRID = [1.0 + 0.05 * i for i in range(10)]
+
+
+@query("tune_eps", with_(_TUNED, "SELECT id, eps, clusters, round(score, 9) AS score FROM best"))
+def _(spark, sf):
+    best, _ = dictionary.tune_eps(V.words0(spark, sf), _GRID)
+    return best.withColumn("score", F.round("score", 9))
+
+
+@query("build_dictionary", with_(_TUNED + """,
+medians AS (SELECT id, median(sim) AS m FROM pairs GROUP BY id),
+parts AS (SELECT w.*, CASE WHEN m IS NULL OR m > 0.82 THEN '' ELSE c.cluster END AS part
+  FROM words0 w LEFT JOIN medians USING (id) JOIN best b ON b.id = w.id JOIN clusters c ON c.id = w.id AND c.eps = b.eps AND c.message = w.message),
+flat AS (SELECT id, part, message, unnest(e) AS v, generate_subscripts(e, 1) AS d FROM parts),
+mean AS (SELECT id, part, d, avg(v) AS m FROM flat GROUP BY id, part, d),
+dist AS (SELECT f.id, f.part, f.message, sqrt(sum((v - m) * (v - m))) AS far FROM flat f JOIN mean USING (id, part, d) GROUP BY 1, 2, 3),
+labels AS (SELECT p.id, p.part, count(*) AS n,
+  CASE WHEN count(*) > 1 OR p.part <> '' THEN CASE WHEN count(*) FILTER (WHERE message_language = 'en') = 1
+    THEN min(p.message) FILTER (WHERE message_language = 'en') ELSE arg_min(translated_message, (round(far, 12), p.message)) END
+  ELSE min(translated_message) END AS label
+  FROM parts p JOIN dist d ON d.id = p.id AND d.part = p.part AND d.message = p.message GROUP BY p.id, p.part)""", """
+SELECT p.id, p.message, p.translated_message, p.message_language, l.label FROM parts p JOIN labels l ON l.id = p.id AND l.part = p.part"""))
+def _(spark, sf):
+    out = dictionary.build_dictionary(V.words0(spark, sf), grid=_GRID)
     return out.select("id", "message", "translated_message", "message_language", "label")
 
 

@@ -27,18 +27,14 @@ CLICK_SCHEMA = T.StructType([
 ])
 
 
-def read_logs(spark: SparkSession, path: str, columns=LOG_COLUMNS) -> DataFrame:
-    """All Parquet files below ``path``, four columns; other columns are never read."""
-    return spark.read.option("recursiveFileLookup", True).parquet(path).select(*columns)
+def read_logs(spark: SparkSession, path: str, columns=LOG_COLUMNS, seq: str | None = None) -> DataFrame:
+    """All Parquet files below ``path``, four columns; other columns are never read.
 
-
-def with_ingest_order(df: DataFrame, out: str = "seq") -> DataFrame:
-    """Order of rows by file name and place in the file.
-
-    The place counts rows inside a file block, so it is stable as long as files are.
+    ``seq`` adds the ingest order: file by name, then row of the file.
     """
-    return df.select("*", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
-                                   F.monotonically_increasing_id().alias("row")).alias(out))
+    files = spark.read.option("recursiveFileLookup", True).parquet(path)
+    order = [F.struct("_metadata.file_path", "_metadata.row_index").alias(seq)] if seq else []
+    return files.select(*columns, *order)
 
 
 def read_json_log(spark: SparkSession, path: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions.vectors import truncate_l2
 from sessionloom.operators import dictionary, masking, ranking, retrieval, sampling, splits
 from sessionloom.plans import views as V
+from sessionloom.sources.readers import read_logs
 from sessionloom.streaming.live import LiveTable, live_filter
 
 SMALL = "/root/testdata/sf0.001"
@@ -198,3 +199,12 @@ def test_stream_equals_batch(spark, tmp_path):
     live = LiveTable(spark, str(tmp_path / "out"), transform, buckets=4)
     live.watch(str(tmp_path / "in"), str(tmp_path / "state"), files_per_trigger=1).awaitTermination()
     assert sorted(map(tuple, live.current().select(*transform(log).columns).collect())) == want
+
+
+def test_read_logs_in_ingest_order(spark, tmp_path):
+    for name, rows in (("b/x", [("s", "t", "Tool", "3")]), ("a/y", [("s", "t", "Tool", "1"), ("s", "t", "Tool", "2")])):
+        spark.createDataFrame(rows, "session_anonymized string, ts string, cat string, message string").withColumn(
+            "other", F.lit(1)).coalesce(1).write.parquet(str(tmp_path / name))
+    log = read_logs(spark, str(tmp_path), seq="seq")
+    assert log.columns == ["session_anonymized", "ts", "cat", "message", "seq"]
+    assert [r["message"] for r in log.orderBy("seq").collect()] == ["1", "2", "3"]
