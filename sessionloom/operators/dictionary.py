@@ -228,7 +228,7 @@ def silhouette(points: DataFrame, clusters: DataFrame, group: str = "id", key: s
     numbered = materialize(number_points(sized, group, ["cluster", key]))
     gtype, ktype = (numbered.schema[c].dataType.simpleString() for c in (group, key))
 
-    def one_way(name, rows, others, same):
+    def one_way(name, rows, others):
         a, b = matrix(rows[vector]), matrix(others[vector])
         codes, starts = np.unique(others["cluster"].to_numpy(), return_inverse=True)
         counts = np.bincount(starts)
@@ -257,8 +257,8 @@ def silhouette(points: DataFrame, clusters: DataFrame, group: str = "id", key: s
 
     def distances(name, left, right):
         if right is None:
-            return one_way(name, left, left, True)
-        return pd.concat([one_way(name, left, right, False), one_way(name, right, left, False)])
+            return one_way(name, left, left)
+        return pd.concat([one_way(name, left, right), one_way(name, right, left)])
 
     found = tile_pairs(numbered, group, distances,
                        f"{key} {ktype}, cluster {ktype}, s double, closed boolean, {group} {gtype}",

@@ -12,7 +12,7 @@ from sessionloom.constants import MAX_LIST_LENGTH, MIN_SESSION_LENGTH, RESERVED_
 from sessionloom.functions.vectors import truncate_l2
 from sessionloom.operators.filters import min_length_sessions
 from sessionloom.operators.lookups import first_wins
-from sessionloom.operators.ordered import Timeline, global_number, sessionwise
+from sessionloom.operators.ordered import global_number, sessionwise
 from sessionloom.operators.scale import broadcast_if_small, materialize, small_table
 from sessionloom.operators.sessions import groupby_lists, time_intervals
 

@@ -1,6 +1,6 @@
 """Joins with dictionaries and other lookup tables.
 
-A lookup table is broadcast only if it is proven small; see ``broadcast_if_small``.
+A lookup table is computed once and broadcast only if it is proven small; see ``small_table``.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.messages import display_name
-from sessionloom.operators.scale import broadcast_if_small, small_table
+from sessionloom.operators.scale import small_table
 
 
 def last_wins(table: DataFrame, key: str, value: str, seq: str) -> DataFrame:
@@ -35,7 +35,7 @@ def translate(df: DataFrame, dictionary: DataFrame, keep_unmapped: bool = False,
     pairs = dictionary.select(F.col(message).alias("_key"), F.col(label).alias(out))
     if not keep_unmapped:
         pairs = pairs.filter(F.col(out).isNotNull())
-    pairs = broadcast_if_small(pairs.withColumn("_hit", F.lit(True)))
+    pairs = small_table(pairs.withColumn("_hit", F.lit(True)))
     joined = df.join(pairs, F.col(message) == F.col("_key"), "left" if keep_unmapped else "inner")
     if keep_unmapped:
         joined = joined.withColumn(out, F.when(F.col("_hit"), F.col(out)).otherwise(F.col(message)))
@@ -47,13 +47,13 @@ def attach_side_info(df: DataFrame, info: DataFrame, item: str = "item_id",
     """Add description, classification and target of the item; duplicate keys fan out."""
     side = info.select(F.col(key).alias("_key"), F.col("summary").alias("description"),
                        "classification", "target")
-    return df.join(broadcast_if_small(side), F.col(item) == F.col("_key"), "left").drop("_key")
+    return df.join(small_table(side), F.col(item) == F.col("_key"), "left").drop("_key")
 
 
 def encode_items(df: DataFrame, vocabulary: DataFrame, item: str = "item_id",
                  default: int | None = None) -> DataFrame:
     """Replace item names by vocabulary ids; unknown names give null or ``default``."""
-    words = broadcast_if_small(vocabulary.select(F.col("item").alias("_key"), F.col("item_id").alias("_id")))
+    words = small_table(vocabulary.select(F.col("item").alias("_key"), F.col("item_id").alias("_id")))
     code: Column = F.col("_id")
     if default is not None:
         code = F.coalesce(code, F.lit(default).cast("bigint"))
@@ -66,14 +66,14 @@ def decode_items(df: DataFrame, codes: DataFrame, vocabulary: DataFrame, code: s
     """Encoded id -> vocabulary id -> shown name; anything unknown is ``Unknown``."""
     first = codes.select(F.col("code").alias("_code"), F.col("value").alias("_word"))
     second = vocabulary.select(F.col("item_id").alias("_id"), F.col("item").alias("_name"))
-    return (df.join(broadcast_if_small(first), F.col(code) == F.col("_code"), "left")
-            .join(broadcast_if_small(second), F.col("_word") == F.col("_id"), "left")
+    return (df.join(small_table(first), F.col(code) == F.col("_code"), "left")
+            .join(small_table(second), F.col("_word") == F.col("_id"), "left")
             .withColumn(out, display_name("_name")).drop("_code", "_word", "_id", "_name"))
 
 
 def decode_lists(df: DataFrame, names: DataFrame, key: str, values: str, out: str = "names") -> DataFrame:
     """Map every id of a list to its name, in order; missing ids read ``not found(<id>)``."""
-    lookup = broadcast_if_small(names.select(F.col("id").alias("_id"), F.col("name").alias("_name")))
+    lookup = small_table(names.select(F.col("id").alias("_id"), F.col("name").alias("_name")))
     flat = (df.select(key, F.posexplode(values).alias("_pos", "_value"))
             .join(lookup, F.col("_value") == F.col("_id"), "left")
             .withColumn("_text", F.coalesce("_name", F.concat(
@@ -85,11 +85,11 @@ def decode_lists(df: DataFrame, names: DataFrame, key: str, values: str, out: st
 
 
 def semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    return df.join(broadcast_if_small(keys.select(on)), on, "left_semi")
+    return df.join(small_table(keys.select(on)), on, "left_semi")
 
 
 def anti(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    return df.join(broadcast_if_small(keys.select(on)), on, "left_anti")
+    return df.join(small_table(keys.select(on)), on, "left_anti")
 
 
 def join_sums_back(df: DataFrame, group: str, event: str, value: str, out: str) -> DataFrame:
@@ -104,7 +104,7 @@ def join_sums_back(df: DataFrame, group: str, event: str, value: str, out: str)
 def lookup_embeddings(df: DataFrame, table: DataFrame, key: str, values: str, dims: int,
                       out: str = "vectors", reserved: int = 3) -> DataFrame:
     """Replace each id of a list by its vector; reserved and unknown ids give zeros."""
-    vectors = broadcast_if_small(table.select(F.col("code").alias("_code"), F.col("vector").alias("_vector")))
+    vectors = small_table(table.select(F.col("code").alias("_code"), F.col("vector").alias("_vector")))
     zero = F.array_repeat(F.lit(0.0), dims)
     flat = (df.select(key, F.posexplode(values).alias("_pos", "_value"))
             .join(vectors, F.col("_value") == F.col("_code"), "left")

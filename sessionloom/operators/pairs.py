@@ -43,11 +43,8 @@ def tile_pairs(points: DataFrame, group: str, compute: Callable, schema: str,
                       (F.col("_t") > F.col("_other")).alias("_right"), *columns))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[~pdf["_right"]].sort_values("_n") if "_n" in pdf else pdf[~pdf["_right"]]
-        right = None
-        if key[1] != key[2]:
-            right = pdf[pdf["_right"]]
-            right = right.sort_values("_n") if "_n" in right else right
+        left = pdf[~pdf["_right"]]
+        right = pdf[pdf["_right"]] if key[1] != key[2] else None
         return plain_strings(compute(key[0], left, right))
 
     return spread.groupBy(group, "_i", "_j").applyInPandas(run, schema)

@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.operators.ordered import Timeline, global_number, sessionwise
+from sessionloom.operators.ordered import global_number, sessionwise
 from sessionloom.operators.pairs import matrix, plain_strings
-from sessionloom.operators.scale import is_small, materialize, same_keys
+from sessionloom.operators.scale import is_small, materialize
 from sessionloom.operators.ranking import topk
 
 # Items per block of the score matrix, and the largest item table sent to every executor.

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions.hashing import normal, uniform, uniform_int
-from sessionloom.operators.scale import broadcast_if_small
 from sessionloom.operators.sessions import aggregate_sessions
 
 

@@ -79,8 +79,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
 
 
 def small_table(df: DataFrame) -> DataFrame:
-    """An aggregate that is joined back to rows: computed once, broadcast if it is small."""
-    return broadcast_if_small(materialize(df))
+    """A lookup table or aggregate that is joined to rows: computed once, broadcast if it is
+    small."""
+    return broadcast_if_small(once(df))
 
 
 _hot_seen: dict[tuple, DataFrame | None] = {}

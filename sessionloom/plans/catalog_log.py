@@ -11,6 +11,8 @@ from sessionloom.operators.scale import materialize
 from sessionloom.plans import views as V
 from sessionloom.plans.registry import query
 from sessionloom.plans.sqltext import ALIGNED, DICT, ITEMS, KEPT, LOG, MERGED, NEAR, PRE, replaced, with_
+from sessionloom.sources import readers
+
 
 # --- filters and message functions ----------------------------------------------------
 
@@ -326,7 +328,9 @@ def _(spark, sf):
 
 @query("read_dictionary", with_(DICT, "SELECT message, label FROM dict0"))
 def _(spark, sf):
-    return V.dict0(V.modeling_log(spark, sf))
+    path = V.scratch(spark)
+    V.dictionary_rows(materialize(V.modeling_log(spark, sf))).write.option("header", True).csv(path)
+    return readers.read_dictionary(spark, path)
 
 
 @query("translate_drop", with_(ALIGNED, "SELECT session, ts, seq, cat, message, label, message_eng FROM aligned"))

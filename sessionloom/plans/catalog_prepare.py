@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionloom.functions import vectors
-from sessionloom.functions.messages import to_unix_seconds
 from sessionloom.operators import dictionary, features, filters, lookups, masking, sampling, sessions, splits, stats
 from sessionloom.plans import views as V
 from sessionloom.plans.registry import query
@@ -206,23 +205,18 @@ def _(spark, sf):
 
 
 @query("pad_sequences", f"""WITH {_ROWS}, slots AS (SELECT DISTINCT session, s.p FROM rows0, (SELECT unnest(range(6)) AS p) s)
-SELECT session, CAST(p AS INT) AS pos, coalesce(item, 0) AS padded FROM slots LEFT JOIN rows0 USING (session) 
-WHERE rows0.pos = slots.p UNION ALL
-SELECT session, CAST(p AS INT), 0 FROM slots WHERE NOT EXISTS (SELECT 1 FROM rows0 r WHERE r.session = slots.session AND r.pos = slots.p)""")
+SELECT slots.session, CAST(p AS INT) AS pos, coalesce(r.item, 0) AS padded
+FROM slots LEFT JOIN rows0 r ON r.session = slots.session AND r.pos = slots.p""")
 def _(spark, sf):
-    rows = V.sequences(spark, sf).withColumn("padded", masking_pad("items", 6))
+    rows = V.sequences(spark, sf).withColumn("padded", features.pad_sequences("items", 6))
     return V.exploded(rows, "session", "padded")
 
 
-def masking_pad(column: str, length: int):
-    return features.pad_sequences(column, length)
-
-
 @query("pad_to_batch", f"""WITH {_ROWS}, sizes AS (SELECT DISTINCT session, n, session // 64 AS batch FROM rows0),
 lens AS (SELECT batch, least(max(n), 8) AS len FROM sizes GROUP BY batch)
-SELECT session, CAST(s.p AS INT) AS pos, coalesce(r.item, 0) AS padded
+SELECT sizes.session, CAST(s.p AS INT) AS pos, coalesce(r.item, 0) AS padded
 FROM sizes JOIN lens USING (batch) JOIN (SELECT unnest(range(8)) AS p) s ON s.p < len
-LEFT JOIN rows0 r ON r.session = sizes.session AND r.pos = s.p""".replace("SELECT session, CAST(s.p", "SELECT sizes.session, CAST(s.p"))
+LEFT JOIN rows0 r ON r.session = sizes.session AND r.pos = s.p""")
 def _(spark, sf):
     rows = V.sequences(spark, sf).withColumn("batch", F.floor(F.col("session") / 64))
     return V.exploded(features.pad_to_batch(rows, "batch", "items", 8), "session", "padded")

@@ -20,7 +20,7 @@ from sessionloom.operators.lookups import encode_items, translate
 from sessionloom.operators.ordered import chain, sessionwise
 from sessionloom.operators.ranking import topk
 from sessionloom.operators.redundancy import label_rows, replace_low_level
-from sessionloom.operators.scale import broadcast_if_small
+from sessionloom.operators.scale import small_table
 from sessionloom.operators.sessions import collapse_runs_step, time_intervals_step, undo_redo
 from sessionloom.operators.workflows import merge_first_match_step
 from sessionloom.sources.readers import LIVE_SCHEMA
@@ -47,7 +47,7 @@ def live_filter(log: DataFrame, dictionary: DataFrame, pairs: DataFrame, vocabul
         partial(time_intervals_step, ts="timestamp"))
     rows = sessionwise(rows, steps, session, ("timestamp", "seq"), source=log)
     rows = drop_null_rows(rows)
-    side = broadcast_if_small(info.select(
+    side = small_table(info.select(
         F.col("message_content").alias("_key"), "classification", "target"))
     rows = rows.join(side, F.col("item_id") == F.col("_key"), "left").drop("_key")
     rows = drop_null_rows(rows, ["classification", "target"])
