@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import html_text, packing, quality, topk, url_filter
+from sessionloom.llm import html_text, lm, neardup, packing, quality, repeats, topk, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -33,14 +33,26 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return topk.exact_topk(rows, rows.filter(F.col("vec_id") % 20 == 0))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.measure_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing, "op3_html_text": op3_html_text, "op4_url_filter": op4_url_filter, "op5_quality": op5_quality,
-    "op7_topk": op7_topk,
+    "op6_near_duplicates": op6_near_duplicates, "op7_topk": op7_topk, "op8_lm_score": op8_lm_score, "op9_repeats": op9_repeats,
 }
 
 OP7_SQL = """
