@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import html_text, lm, neardup, packing, quality, repeats, topk, url_filter
+from sessionloom.llm import decontam, html_text, lm, neardup, packing, quality, quotes, repeats, topk, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -21,6 +21,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.mark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
@@ -50,9 +54,14 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.measure_repeats(table(spark, sf_dir, "documents"))
 
 
+def op10_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_packing": op1_packing, "op3_html_text": op3_html_text, "op4_url_filter": op4_url_filter, "op5_quality": op5_quality,
+    "op1_packing": op1_packing, "op2_decontamination": op2_decontamination, "op3_html_text": op3_html_text, "op4_url_filter": op4_url_filter, "op5_quality": op5_quality,
     "op6_near_duplicates": op6_near_duplicates, "op7_topk": op7_topk, "op8_lm_score": op8_lm_score, "op9_repeats": op9_repeats,
+    "op10_quotations": op10_quotations,
 }
 
 OP7_SQL = """
