@@ -46,10 +46,13 @@ def _seeds(hashes: str, mask: int) -> Column:
 
 
 def _exploded_seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep``, ``at`` and ``seed`` for every seed of ``h``."""
-    long = rows.filter(F.size("h") >= SPAN)
-    every = long.select(*keep, (F.size("h") - SPAN + 1).alias("_n"), F.concat(*(_seeds("h", m) for m in range(len(MASKS)))).alias("_seeds"))
-    return every.select(*keep, "_n", F.posexplode("_seeds").alias("_at", "seed")).select(
+    """``keep``, ``at`` and ``seed`` for every seed of ``h``.
+
+    Lists that are too short give a null, dropped after the generator: a filter before it would
+    be rewritten in terms of the text, and hash the words again for every place of a mask."""
+    seeds = F.when(F.size("h") >= SPAN, F.concat(*(_seeds("h", m) for m in range(len(MASKS)))))
+    every = rows.select(*keep, (F.size("h") - SPAN + 1).alias("_n"), seeds.alias("_seeds"))
+    return every.select(*keep, "_n", F.posexplode_outer("_seeds").alias("_at", "seed")).filter("seed IS NOT NULL").select(
         *keep, F.pmod("_at", F.col("_n")).alias("at"), "seed")
 
 
