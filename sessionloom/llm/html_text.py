@@ -177,11 +177,16 @@ LABELLED_PAGES: tuple[tuple[str, str], ...] = (
     (f"<body><article><h1>Plain</h1><p>It <a href=x>was</a> so.</p><p><a href=x>A source</a></p><p>{_LONG}</p>"
      f"<div class=related><a href=x>Read on</a></div><ul><li>First point</li><li>Second point</li></ul></article>"
      f"<section><p>{_TEXT}</p></section><div class=cookie-notice>{_LONG}</div>", "++++-++--"),
+    (f"<body><nav><a href=x>Home</a></nav><article><h1>To the end</h1><p>{_LONG}<p>{_TEXT}", "-+++"),
+    (f"<body><p><a href=x>Up</a></p><article><p>{_TEXT}</p><p>Last.", "-++"),
+    ("<body><div>Menu</div><article><h2>One</h2><p>It was.</p><p>So it is.</p></article><div>Top</div>", "-+++-"),
+    (f"<body><h1>A page of its own</h1><p>{_LONG}</p><p>{_TEXT}</p><p>{_LONG}", "++++"),
+    (f"<p>{_TEXT}</p>", "+"),
     (f"<body><article><p>{_LONG}</p><aside>{_TEXT}</aside><p>End.</p></article><p>{_LONG}</p><p>Hint</p>", "+-+--"),
 )
 
 
-def grow_tree(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1):
+def grow_tree(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 1):
     """A binary decision tree by Gini impurity: (feature, threshold, low side, high side) or a label."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0) or len(y) < 2 * least:
