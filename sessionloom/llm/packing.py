@@ -15,7 +15,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,42 +25,97 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.llm.textbytes import LOWER, U, prefix_sums, span_hashes, text_blocks, worker_state
+
 LENGTH = 4096
 GROUP_BYTES = 24 << 20   # text bytes of a group; it holds a fraction of that in token ids
-CACHE_WORDS = 400_000    # pieces of text whose ids a worker remembers
+CACHE_UNITS = 2_000_000  # units of text whose ids a worker remembers
 SEPARATOR = 2
 
 
-class WordCache:
-    """Token ids of text, piece by piece.
+# Bytes that a text may be cut between: blanks and line breaks are dropped, and an ASCII letter
+# next to ASCII punctuation (but the apostrophe of contractions) begins a new unit.
+_GAP = np.zeros(256, bool)
+_GAP[[0x20, 0x0A]] = True
+_SIDE = np.zeros(256, np.int8)
+_SIDE[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = 1
+_SIDE[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]] = 2
 
-    Only for tokenizers that never join characters across a blank or a line break, as the
-    word-level one here: the ids of a text are then those of its pieces one after the other.
-    The same pieces come again and again, so a worker remembers their ids, up to a bound.
-    """
 
-    _CUT = re.compile("[ \n]+")
+class UnitTokenizer:
+    """Token ids of texts, unit by unit.
+
+    Only for tokenizers that lower the case and never join a letter with white space or
+    punctuation, as the word-level one here: the ids of a text are then those of its units one
+    after the other.  The same units come again and again, so a worker process remembers their
+    ids, up to ``limit`` units.  Texts with the marks of special tokens are encoded whole.
+    """
 
-    def __init__(self, path: str, limit: int = CACHE_WORDS):
+    def __init__(self, path: str, limit: int = CACHE_UNITS):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        pieces = self._CUT.split(text)
-        known = self.known
-        fresh = [p for p in dict.fromkeys(pieces) if p not in known]
-        if fresh:
-            if len(known) + len(fresh) > self.limit:
-                known.clear()
-                known[""] = b""
-                fresh = list(dict.fromkeys(pieces))
-            for piece, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                known[piece] = np.array(found.ids, dtype="<u4").tobytes()
-            known[""] = b""
-        return b"".join([known[p] for p in pieces])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes = np.zeros(0, U)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
+        """Encode units, many in one string; a token belongs to the unit that it starts in."""
+        ids, sizes = [self.ids], []
+        for a in range(0, len(units), 256):
+            part = units[a:a + 256]
+            edges = np.cumsum([len(u) + 1 for u in part])
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            owner = np.searchsorted(edges, np.array([x for x, _ in found.offsets], np.int64), "right")
+            sizes.append(np.bincount(owner, minlength=len(part)))
+            ids.append(np.array(found.ids, "<u4"))
+        size = np.concatenate(sizes)
+        at = len(self.ids) + np.cumsum(size) - size
+        every = np.concatenate([self.hashes, hashes])
+        order = np.argsort(every)
+        self.hashes = every[order]
+        self.at, self.size = np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        self.ids = np.concatenate(ids)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of every text of a block."""
+        low = LOWER[data]
+        solid = ~_GAP[data]
+        begin = solid.copy()
+        if data.size:
+            side = _SIDE[data]
+            begin[1:] &= ~solid[:-1] | ((side[1:] | side[:-1]) == 3)
+            filled = offsets[:-1][offsets[1:] > offsets[:-1]]
+            begin[filled] = solid[filled]
+        starts = np.flatnonzero(begin)
+        # A unit ends where the next begins, at a gap or at the end of its text.
+        stop = np.append(np.flatnonzero(~solid), data.size)
+        ends = np.minimum(np.append(starts[1:], data.size), stop[np.searchsorted(stop, starts)]) if len(starts) else starts
+        owner = np.searchsorted(offsets, starts, "right") - 1
+        ends = np.minimum(ends, offsets[owner + 1]) if len(starts) else ends
+        hashes, first, number = np.unique(span_hashes(prefix_sums(low), starts, ends), return_index=True, return_inverse=True)
+        if len(self.hashes) + len(hashes) > self.limit:
+            self._forget()
+        place = np.searchsorted(self.hashes, hashes)
+        fresh = np.flatnonzero(self.hashes[np.minimum(place, max(0, len(self.hashes) - 1))] != hashes) if len(self.hashes) else np.arange(len(hashes))
+        if len(fresh):
+            whole = low.tobytes()
+            self._learn(hashes[fresh], [whole[starts[i]:ends[i]].decode() for i in first[fresh].tolist()])
+            place = np.searchsorted(self.hashes, hashes)
+        size, at = self.size[place][number], self.at[place][number]
+        total = np.concatenate(([0], np.cumsum(size)))
+        ids = self.ids[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
+        edges = total[np.searchsorted(owner, np.arange(len(offsets)))]
+        out = [ids[a:b] for a, b in zip(edges[:-1], edges[1:])]
+        marks = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|"))) if data.size else ()
+        for row in np.unique(np.searchsorted(offsets, marks, "right") - 1).tolist():
+            text = data[offsets[row]:offsets[row + 1]].tobytes().decode()
+            out[row] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return out
 
 
 class TournamentTree:
@@ -173,22 +228,17 @@ def pack_documents(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     kind = df.schema[key].dataType.simpleString()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer)
-        end = np.array([separator], dtype="<u4").tobytes()
+        units = worker_state(f"units of {tokenizer}", lambda: UnitTokenizer(tokenizer))
+        end = np.array([separator], dtype="<u4")
         for batch in batches:
-            ids, held, first = [], 0, 0
-            for row in range(batch.num_rows):
-                ids.append(cache.encode(batch.column("_text")[row].as_py() or "") + end)
-                held += len(ids[-1])
-                if held >= 4 << 20 or row + 1 == batch.num_rows:
-                    narrow = [np.frombuffer(x, "<u4") for x in ids]
-                    wide = any(x.max() > 0xFFFF for x in narrow)
-                    packed = ids if wide else [x.astype("<u2").tobytes() for x in narrow]
-                    rows = slice(first, first + len(ids))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("_key")[rows], batch.column("_group")[rows], pa.array([4 if wide else 2] * len(ids), pa.int32()),
-                         pa.array(packed, pa.binary())], names=["_key", "_group", "_width", "_ids"])
-                    ids, held, first = [], 0, row + 1
+            for first, last, data, offsets in text_blocks(batch.column("_text")):
+                ids = [np.append(x, end) for x in units.encode(data, offsets)]
+                wide = max(int(x.max()) for x in ids) > 0xFFFF
+                rows = slice(first, last)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_key")[rows], batch.column("_group")[rows], pa.array([4 if wide else 2] * len(ids), pa.int32()),
+                     pa.array([x.astype("<u4" if wide else "<u2").tobytes() for x in ids], pa.binary())],
+                    names=["_key", "_group", "_width", "_ids"])
 
     def pack(group: pa.Table) -> pa.Table:
         width = group.column("_width").to_pylist()

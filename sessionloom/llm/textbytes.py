@@ -7,7 +7,9 @@ a text longer than the limit is a block of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
 
+def worker_state(name: str, make: Callable[[], object]):
+    """One object per Python worker process, made at first use and kept for its later tasks."""
+    kept = sys.modules.setdefault("_sessionloom_worker", types.ModuleType("_sessionloom_worker"))
+    if not hasattr(kept, name):
+        setattr(kept, name, make())
+    return getattr(kept, name)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = np.asarray(x, dtype=U)
