@@ -11,10 +11,10 @@ components of the links.
 3. Every bucket gives a star: edges from its smallest class to the others, so as many edges as
    members.  Edges whose set sizes exclude a link go; the rest is confirmed on the full sets,
    first the most frequent edge of every class, then those that would still join two components.
-4. Buckets that still hold several components are searched for pairs across components.  One
-   bit per bin (128 in all) rules out pairs far below the threshold (a link is lost with
-   probability below 1e-11); all others are confirmed on the full sets.  Buckets with more
-   than ``BUCKET`` members are first split by a second, and if need be a third, shared band.
+4. Documents in buckets that still hold several components are compared by an exact prefix
+   filter: two sets of that similarity share a shingle among the rarest quarter of each.
+   Shingles that no other component has are the rarest, so documents that only share a
+   passage drop out; what is left is confirmed on the full sets.
 
 Sets are sets of 64-bit hashes.  Null and empty texts have no shingles and no links.  Rows
 that share an id are one document.  A null id has a null component, is linked with nothing and
@@ -37,9 +37,6 @@ from sessionloom.operators.scale import broadcast_if_small, materialize
 SHINGLE = 5
 BINS = 128
 ROWS = 4
-BUCKET = 256
-# Of 128 one-bit bins, a pair of similarity 0.75 differs in 16 on average, with a deviation of 3.7.
-MOST_BITS = 44
 _STEP = 0xD6E8FEB86659FD93
 _EMPTY = np.iinfo(np.uint64).max
 
@@ -101,10 +98,9 @@ def _sketch(sets: list[np.ndarray]) -> dict[str, np.ndarray]:
         for i in range(ROWS):
             bands = mix(bands + signs[:, i::ROWS] * U(_STEP)) + U(i)
         bands = mix(bands + np.arange(BINS // ROWS, dtype=U) * U(0xA0761D6478BD642F))
-        bits = np.packbits((mix(signs) & U(1)).astype(np.uint8), axis=1)
         ids = [(int(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)), int(mix(s + U(0x14057B7EF767814F)).sum(dtype=U))) for s in sets]
     return {"n": np.array([len(s) for s in sets], np.int64), "bands": bands.view(np.int64),
-            "bits": bits.view(np.int64).reshape(len(sets), 2), "set": np.array(ids, dtype=U).reshape(len(sets), 2).view(np.int64)}
+            "set": np.array(ids, dtype=U).reshape(len(sets), 2).view(np.int64)}
 
 
 def _sketches(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -117,11 +113,10 @@ def _sketches(df: DataFrame, key: str, text: str) -> DataFrame:
                 bands = pa.ListArray.from_arrays(np.arange(0, width * (last - first) + 1, width, dtype=np.int32), s["bands"].ravel())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(first, last - first), pa.array(s["n"]), pa.array(s["set"][:, 0].copy()),
-                     pa.array(s["set"][:, 1].copy()), pa.array(s["bits"][:, 0].copy()), pa.array(s["bits"][:, 1].copy()), bands],
-                    names=["id", "n", "set1", "set2", "bits1", "bits2", "bands"])
+                     pa.array(s["set"][:, 1].copy()), bands], names=["id", "n", "set1", "set2", "bands"])
 
     return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text")).mapInArrow(
-        compute, "id long, n long, set1 long, set2 long, bits1 long, bits2 long, bands array<long>")
+        compute, "id long, n long, set1 long, set2 long, bands array<long>")
 
 
 def _sets(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -162,34 +157,40 @@ def _across(edges: DataFrame, forest: DataFrame) -> DataFrame:
             .filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).drop("_a", "_b"))
 
 
-def _open_pairs(shared: DataFrame, classes: DataFrame, forest: DataFrame, similarity: int, limit: int = BUCKET) -> DataFrame:
-    """Pairs (a, b) of a bucket in different components that sizes and bits do not rule out."""
+def _open_pairs(shared: DataFrame, sets: DataFrame, forest: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) in different components that may be similar, of sets that share a bucket with another component."""
     root = forest.select(F.col("a").alias("rep"), F.col("b").alias("_root"))
-    tagged = shared.join(root, "rep", "left").withColumn("_root", F.coalesce("_root", "rep"))
-
-    def unresolved(rows: DataFrame) -> DataFrame:
-        several = rows.groupBy("bucket").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"), F.count(F.lit(1)).alias("_size"))
-        return rows.drop("_size").join(several.filter("_low < _high").select("bucket", "_size"), "bucket")
-
-    rows = materialize(unresolved(tagged).join(classes.select("rep", "n", "bits1", "bits2", "bands"), "rep"))
-    found = []
-    for depth in range(3):
-        small = rows if depth == 2 else rows.filter(F.col("_size") <= limit)
-        left, right = small.alias("l"), small.alias("r")
-        differ = F.bit_count(F.col("l.bits1").bitwiseXOR(F.col("r.bits1"))) + F.bit_count(F.col("l.bits2").bitwiseXOR(F.col("r.bits2")))
-        found.append(left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.rep") < F.col("r.rep"))
-                               & (F.col("l._root") != F.col("r._root")) & _fits("l.n", "r.n", similarity) & (differ <= MOST_BITS))
-                     .select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")))
-        large = rows.filter(F.col("_size") > limit)
-        if depth == 2 or large.isEmpty():
-            break
-        split = (large.withColumn("_band", F.explode("bands")).withColumn("_bucket", F.xxhash64("bucket", "_band"))
-                 .filter(F.col("_band") != F.col("bucket")).drop("bucket", "_band").withColumnRenamed("_bucket", "bucket"))
-        rows = materialize(unresolved(split))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.distinct()
+    tagged = shared.join(root, "rep", "left").withColumn("root", F.coalesce("_root", "rep")).drop("_root")
+    several = tagged.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    open_sets = tagged.join(several.select("bucket"), "bucket", "left_semi").select(F.col("rep").alias("id"), "root").distinct()
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                members = np.frombuffer(batch.column("members")[row].as_py(), np.int64)
+                n = len(members)
+                same = lambda name: pa.array(np.full(n, batch.column(name)[row].as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([same("id"), same("root"), pa.array(np.full(n, n)), pa.array(members)],
+                                                 names=["id", "root", "n", "shingle"])
+
+    spelled = materialize(open_sets.join(sets, "id").mapInArrow(spread, "id long, root long, n long, shingle long"))
+    across = spelled.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("low"), F.max("root").alias("high"))
+    common = spelled.join(across.filter("low < high").select("shingle", "often"), "shingle")
+    # The prefix has n - ceil(similarity * n) + 1 shingles; those of one component only fill it first.
+    held = common.groupBy("id").agg(F.count(F.lit(1)).alias("held"))
+    room = F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1 - (F.col("n") - F.col("held"))
+    order = F.row_number().over(Window.partitionBy("id").orderBy("often", "shingle"))
+    prefix = materialize(common.join(held, "id").withColumn("room", room).filter("room > 0").withColumn("_rank", order)
+                         .filter("_rank <= room").select("id", "root", "n", "shingle", (F.col("held") - F.col("_rank")).alias("later")))
+    left, right = prefix.alias("l"), prefix.alias("r")
+    return (left.join(right, (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.id") < F.col("r.id"))
+                      & (F.col("l.root") != F.col("r.root")) & _fits("l.n", "r.n", similarity)
+                      # As if this were the first they share: a pair whose first does not get here is no link.
+                      & ((F.least("l.later", "r.later") + 1) * (100 + similarity) >= (F.col("l.n") + F.col("r.n")) * similarity))
+            .groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b"), (F.col("l.n") + F.col("r.n")).alias("n"))
+            # What the prefixes share, and what can still follow the last of it in both sets.
+            .agg((F.count(F.lit(1)) + F.min(F.least("l.later", "r.later"))).alias("most"))
+            .filter(F.col("most") * (100 + similarity) >= F.col("n") * similarity).select("a", "b"))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: int = 75) -> DataFrame:
@@ -197,7 +198,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     sketches = materialize(_sketches(df, key, text))
     classes = materialize(
         sketches.filter("n > 0 AND id IS NOT NULL").groupBy("set1", "set2", "n")
-        .agg(F.min("id").alias("rep"), *(F.any_value(c).alias(c) for c in ("bits1", "bits2", "bands"))))
+        .agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")))
 
     members = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     centres = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("centre"), F.count(F.lit(1)).alias("size"))
@@ -215,7 +216,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     forest = star_forest(_confirm(ranked.filter("_rank = 1"), sets, similarity))
     rest = _across(ranked.filter("_rank > 1"), forest)
     forest = star_forest(forest.unionByName(_confirm(rest, sets, similarity)))
-    more = _open_pairs(shared, classes, forest, similarity).join(edges, ["a", "b"], "left_anti")
+    more = _open_pairs(shared, sets, forest, similarity).join(edges, ["a", "b"], "left_anti")
     forest = star_forest(forest.unionByName(_confirm(materialize(more), sets, similarity)))
 
     root = forest.select(F.col("a").alias("rep"), F.col("b").alias("_root"))
