@@ -31,7 +31,9 @@ def l2_distance(left, right) -> Column:
 
 
 def cosine(left, right) -> Column:
-    return dot(left, right) / (l2_norm(left) * l2_norm(right))
+    """Cosine similarity; 0 if one of the vectors is zero."""
+    lengths = l2_norm(left) * l2_norm(right)
+    return F.when(lengths == 0, F.lit(0.0)).otherwise(F.try_divide(dot(left, right), lengths))
 
 
 def truncate_l2(vector, size: int) -> Column:

@@ -43,19 +43,22 @@ def group_similarity(words: DataFrame, group: str = "id", key: str = "message",
                      vector: str = "embedding", tile: int = TILE) -> DataFrame:
     """Size, and mean, median and population deviation of the pairwise cosine similarities.
 
-    A group that fits one tile is done at once.  In larger groups mean and deviation come
-    from sums per tile pair, and the median from counting: four passes narrow its place
-    down to 2**-44, so no list of pairs exists anywhere.
+    Similarities are taken to 2**-44 for the median.  A group that fits one tile is done at
+    once.  In larger groups mean and deviation come from sums per tile pair, and the median
+    from counting in four passes, so no list of pairs exists anywhere.
     """
-    unit = F.transform(F.col(vector).cast("array<double>"), lambda x: x / l2_norm(vector))
+    # A zero vector stays zero, so its similarities are 0.
+    unit = F.transform(F.col(vector).cast("array<double>"), lambda x: F.coalesce(F.try_divide(x, l2_norm(vector)), F.lit(0.0)))
     points = materialize(number_points(words.select(group, key, unit.alias("unit")), group, [key]))
     sizes = group_sizes(points, group).filter(F.col("size") >= 2)
 
     def sums(name, left, right):
         values, ranks = _quantized_pairs(left, right)
-        exact = float(np.median(values)) if right is None and len(values) else None
+        # The same cells as in the search over several tiles, so that one definition holds for all sizes.
+        cells = np.sort(ranks)[[(len(ranks) - 1) // 2, len(ranks) // 2]] if right is None and len(ranks) else None
+        middle = float(np.mean((cells + 0.5) / ((1 << _BITS) - 1) * 2.0 - 1.0)) if cells is not None else None
         return pd.DataFrame({group: [name], "n": [len(values)], "s": [float(values.sum())],
-                             "ss": [float((values * values).sum())], "own_median": [exact]})
+                             "ss": [float((values * values).sum())], "own_median": [middle]})
 
     kind = points.schema[group].dataType.simpleString()
     parts = tile_pairs(points, group, sums,

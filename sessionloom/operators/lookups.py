@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.messages import display_name
-from sessionloom.operators.scale import small_table
+from sessionloom.operators.scale import materialize, small_table
 
 
 def last_wins(table: DataFrame, key: str, value: str, seq: str) -> DataFrame:
@@ -71,17 +71,24 @@ def decode_items(df: DataFrame, codes: DataFrame, vocabulary: DataFrame, code: s
             .withColumn(out, display_name("_name")).drop("_code", "_word", "_id", "_name"))
 
 
-def decode_lists(df: DataFrame, names: DataFrame, key: str, values: str, out: str = "names") -> DataFrame:
+def _mapped_list(df: DataFrame, values: str, lookup: DataFrame, on: str, mapped: Column, out: str, kind: str) -> DataFrame:
+    """A list column mapped through a lookup, in order.
+
+    Rows are told apart by a number of their own, so equal keys do no harm, and the input is
+    computed once.  An empty or null list gives an empty list of ``kind``."""
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    flat = (rows.select("_row", F.posexplode(values).alias("_pos", "_value"))
+            .join(lookup, F.col("_value") == F.col(on), "left").withColumn("_mapped", mapped))
+    back = flat.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_pos", "_mapped"))).alias("_list"))
+    return rows.join(back, "_row", "left").withColumn(out, F.coalesce(
+        F.transform("_list", lambda x: x["_mapped"]), F.array().cast(kind))).drop("_list", "_row")
+
+
+def decode_lists(df: DataFrame, names: DataFrame, values: str, out: str = "names") -> DataFrame:
     """Map every id of a list to its name, in order; missing ids read ``not found(<id>)``."""
     lookup = small_table(names.select(F.col("id").alias("_id"), F.col("name").alias("_name")))
-    flat = (df.select(key, F.posexplode(values).alias("_pos", "_value"))
-            .join(lookup, F.col("_value") == F.col("_id"), "left")
-            .withColumn("_text", F.coalesce("_name", F.concat(
-                F.lit("not found("), F.col("_value").cast("string"), F.lit(")")))))
-    back = flat.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_pos", "_text"))).alias("_list"))
-    joined = df.join(back, key, "left")
-    return joined.withColumn(out, F.coalesce(
-        F.transform("_list", lambda x: x["_text"]), F.array().cast("array<string>"))).drop("_list")
+    text = F.coalesce("_name", F.concat(F.lit("not found("), F.col("_value").cast("string"), F.lit(")")))
+    return _mapped_list(df, values, lookup, "_id", text, out, "array<string>")
 
 
 def semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -101,15 +108,9 @@ def join_sums_back(df: DataFrame, group: str, event: str, value: str, out: str)
     return df.join(small_table(sums), [group, event], "left")
 
 
-def lookup_embeddings(df: DataFrame, table: DataFrame, key: str, values: str, dims: int,
-                      out: str = "vectors", reserved: int = 3) -> DataFrame:
+def lookup_embeddings(df: DataFrame, table: DataFrame, values: str, dims: int, out: str = "vectors", reserved: int = 3) -> DataFrame:
     """Replace each id of a list by its vector; reserved and unknown ids give zeros."""
     vectors = small_table(table.select(F.col("code").alias("_code"), F.col("vector").alias("_vector")))
     zero = F.array_repeat(F.lit(0.0), dims)
-    flat = (df.select(key, F.posexplode(values).alias("_pos", "_value"))
-            .join(vectors, F.col("_value") == F.col("_code"), "left")
-            .withColumn("_vec", F.when(F.col("_value") < reserved, zero).otherwise(
-                F.coalesce(F.col("_vector").cast("array<double>"), zero))))
-    back = flat.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_pos", "_vec"))).alias("_list"))
-    return df.join(back, key, "left").withColumn(
-        out, F.transform("_list", lambda x: x["_vec"])).drop("_list")
+    vector = F.when(F.col("_value") < reserved, zero).otherwise(F.coalesce(F.col("_vector").cast("array<double>"), zero))
+    return _mapped_list(df, values, vectors, "_code", vector, out, "array<array<double>>")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.hashing import hashed_int, uniform, uniform_int
-from sessionloom.operators.ordered import sessionwise
+from sessionloom.operators.ordered import global_number, sessionwise
 from sessionloom.operators.sampling import log_uniform_id
 
 PAD = 0
@@ -139,24 +139,20 @@ def corrupt_items(df: DataFrame, session: str, values: str, labels: str, max_id:
         "is_replaced", F.zip_with("corrupted", values, lambda c, x: c != x))
 
 
-def swap_noise(df: DataFrame, key: str, value: str, p: float = 0.1, seed: int = 1,
-               pool_rows: int = 100_000, out: str | None = None) -> DataFrame:
+def swap_noise(df: DataFrame, key: str, value: str, p: float = 0.1, seed: int = 1, out: str | None = None) -> DataFrame:
     """Replace each non-padding value with probability ``p`` by one drawn from the same column.
 
-    Rows fall into random pools; in each pool the replaced rows take the first values of a
-    random permutation of the pool, without repetition.
+    The replaced rows, in key order, take the first values of one random permutation of the
+    whole column, without repetition.
     """
-    rows = df.count()
-    pools = max(1, -(-rows // pool_rows))
     k = F.col(key)
     marked = df.withColumns({
-        "_pool": F.pmod(hashed_int(k, "pool", seed), F.lit(pools)),
         "_swap": (F.col(value) != PAD) & (uniform(k, "swap", seed) < p),
         "_shuffle": F.md5(F.concat_ws("|", k.cast("string"), F.lit("order"), F.lit(str(seed))))})
-    donors = sessionwise(marked.filter(F.col(value) != PAD).select("_pool", "_shuffle", key, F.col(value).alias("_new")),
-                         lambda t: t.numbered("_nth"), "_pool", ("_shuffle", key))
-    takers = sessionwise(marked.filter("_swap").select("_pool", key), lambda t: t.numbered("_nth"), "_pool", (key,))
-    swaps = takers.join(donors.select("_pool", "_nth", "_new"), ["_pool", "_nth"]).select(key, "_new")
+    donors = global_number(marked.filter(F.col(value) != PAD).select("_shuffle", key, F.col(value).alias("_new")),
+                           ("_shuffle", key), "_nth")
+    takers = global_number(marked.filter("_swap").select(key), (key,), "_nth")
+    swaps = takers.join(donors.select("_nth", "_new"), "_nth").select(key, "_new")
     return (marked.join(swaps, key, "left")
             .withColumn(out or value, F.coalesce("_new", value))
-            .drop("_pool", "_swap", "_shuffle", "_new"))
+            .drop("_swap", "_shuffle", "_new"))

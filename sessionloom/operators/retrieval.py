@@ -11,58 +11,42 @@ from pyspark.sql import functions as F
 
 from sessionloom.operators.ordered import global_number, sessionwise
 from sessionloom.operators.pairs import matrix, plain_strings
-from sessionloom.operators.scale import is_small, materialize
+from sessionloom.operators.scale import materialize
 from sessionloom.operators.ranking import topk
 
-# Items per block of the score matrix, and the largest item table sent to every executor.
+# Items per block of the score matrix.
 ITEM_BLOCK = 4_096
-SHARED_ITEMS = 50_000
 
 
 def _best(ids: np.ndarray, items: np.ndarray, scores: np.ndarray, k: int, skip_self: bool) -> pd.DataFrame:
     """Top k items of each row of a score block; equal scores go by item."""
     order_items = np.argsort(items, kind="stable")
     items, scores = items[order_items], scores[:, order_items]
-    if skip_self:
-        scores = np.where(ids[:, None] == items[None, :], -np.inf, scores)
-    cut = min(k, scores.shape[1])
+    own = (ids[:, None] == items[None, :]) & skip_self
+    # One more than k, as an own item goes afterwards; other infinite scores stay.
+    cut = min(k + int(skip_self), scores.shape[1])
     # Items are in order, so a stable sort by score breaks ties by item.
-    best = np.argsort(-scores, axis=1, kind="stable")[:, :cut]
+    best = np.argsort(np.where(own, np.inf, -scores), axis=1, kind="stable")[:, :cut]
     out = pd.DataFrame({"session": np.repeat(ids, cut), "item": items[best].ravel(),
                         "score": np.take_along_axis(scores, best, axis=1).ravel()})
-    return plain_strings(out[np.isfinite(out["score"])])
+    return plain_strings(out[~np.take_along_axis(own, best, axis=1).ravel() & ~np.isnan(out["score"])])
 
 
 def score_by_vectors(sessions: DataFrame, items: DataFrame, k: int, session: str = "session",
                      item: str = "item", vector: str = "vector", temperature: float | None = None,
-                     skip_self: bool = False, shared_items: int = SHARED_ITEMS,
-                     item_block: int = ITEM_BLOCK, session_block: int = 8_192) -> DataFrame:
+                     skip_self: bool = False, item_block: int = ITEM_BLOCK, session_block: int = 8_192) -> DataFrame:
     """The ``k`` items with the largest inner product for every session vector.
 
-    An item table that is proven small is sent to the executors once, and session vectors
-    stream past it without a shuffle.  A larger one is cut into blocks; blocks of sessions
-    meet blocks of items, each meeting leaves only its top k, and those are ranked again.
+    Sessions and items are cut into blocks; blocks of sessions meet blocks of items, each
+    meeting leaves only its top k, and those are ranked again.  Scores that are not a number
+    are left out.
     """
     scale = 1.0 / temperature if temperature else 1.0
     left = sessions.select(F.col(session).alias("session"), F.col(vector).alias("vector"))
     right = items.select(F.col(item).alias("item"), F.col(vector).alias("item_vector"))
     schema = (f"session {left.schema['session'].dataType.simpleString()}, "
               f"item {right.schema['item'].dataType.simpleString()}, score double")
-    if is_small(right, shared_items):
-        table = right.toPandas()  # at most ``shared_items`` rows, checked above
-        shared = left.sparkSession.sparkContext.broadcast(
-            (table["item"].to_numpy(), matrix(table["item_vector"]).T if len(table) else None))
-
-        def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, columns = shared.value
-            for batch in batches:
-                if len(batch) and columns is not None:
-                    yield _best(batch["session"].to_numpy(), ids, matrix(batch["vector"]) @ columns * scale,
-                                k, skip_self)
-
-        found = left.mapInPandas(stream, schema)
-    else:
-        found = _block_scores(left, right, k, scale, skip_self, item_block, session_block, schema)
+    found = _block_scores(left, right, k, scale, skip_self, item_block, session_block, schema)
     return topk(found, k).select(F.col("session").alias(session), F.col("item").alias(item), "score", "rank")
 
 
@@ -70,7 +54,7 @@ def _block_scores(left: DataFrame, right: DataFrame, k: int, scale: float, skip_
                   item_block: int, session_block: int, schema: str) -> DataFrame:
     blocks = global_number(right, ["item"], "_n").withColumn("_ib", F.floor((F.col("_n") - 1) / item_block))
     blocks = materialize(blocks.drop("_n"))
-    n_items = blocks.agg(F.max("_ib")).first()[0] + 1
+    n_items = (blocks.agg(F.max("_ib")).first()[0] or 0) + 1
     n_sessions = max(1, -(-left.count() // session_block))
     # Every session meets every item block once; item blocks meet every session block.
     ls = left.withColumn("_sb", F.pmod(F.xxhash64("session"), F.lit(n_sessions))).withColumn(

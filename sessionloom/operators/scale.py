@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionloom.session import ensure_checkpoint_dir
 
@@ -47,16 +48,26 @@ def once(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
-def _row_bytes(df: DataFrame):
-    """Average text or array width of a few hundred bytes is covered; wide columns are measured."""
-    width = F.lit(16 * len(df.columns))
-    for field in df.schema.fields:
-        kind = field.dataType.typeName()
-        if kind == "string":
-            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
-        elif kind in ("array", "map"):
-            width = width + F.coalesce(F.size(field.name), F.lit(0)) * 16
-    return width
+def _value_bytes(value: Column, kind: T.DataType) -> Column:
+    """A bound for the width of a value in a hashed relation, whatever it is made of."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("bigint") + 16
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+            added = F.aggregate(value, F.lit(0).cast("bigint"), lambda total, x: total + _value_bytes(x, inner))
+        else:
+            added = F.size(value).cast("bigint") * 16
+        return F.greatest(F.coalesce(added, F.lit(0)), F.lit(0)).cast("bigint") + 16
+    if isinstance(kind, T.MapType):
+        return (_value_bytes(F.map_keys(value), T.ArrayType(kind.keyType)) + _value_bytes(F.map_values(value), T.ArrayType(kind.valueType)))
+    if isinstance(kind, T.StructType):
+        return sum((_value_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("bigint"))
+    return F.lit(16).cast("bigint")
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    return sum((_value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0).cast("bigint"))
 
 
 def is_small(df: DataFrame, max_rows: int | None = None) -> bool:

@@ -192,16 +192,15 @@ def _(spark, sf):
 
 @query("swap_noise", f"""
 WITH v AS (SELECT o_orderkey AS key, CAST(substr(o_orderpriority, 1, 1) AS INT) AS value,
-  {hashed("o_orderkey", "'pool'", "1")} % (SELECT CAST(ceil(count(*) / 1000.0) AS BIGINT) FROM orders) AS pool,
   {uniform("o_orderkey", "'swap'", "1")} < 0.1 AS taken, md5(concat_ws('|', o_orderkey, 'order', '1')) AS shuffle FROM orders),
-donors AS (SELECT pool, value, row_number() OVER (PARTITION BY pool ORDER BY shuffle, key) AS nth FROM v),
-takers AS (SELECT pool, key, row_number() OVER (PARTITION BY pool ORDER BY key) AS nth FROM v WHERE taken)
+donors AS (SELECT value, row_number() OVER (ORDER BY shuffle, key) AS nth FROM v),
+takers AS (SELECT key, row_number() OVER (ORDER BY key) AS nth FROM v WHERE taken)
 SELECT v.key, coalesce(d.value, v.value) AS value FROM v LEFT JOIN takers t ON t.key = v.key
-LEFT JOIN donors d ON d.pool = t.pool AND d.nth = t.nth""")
+LEFT JOIN donors d ON d.nth = t.nth""")
 def _(spark, sf):
     rows = V.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("key"), F.substring("o_orderpriority", 1, 1).cast("int").alias("value"))
-    return masking.swap_noise(rows, "key", "value", pool_rows=1000)
+    return masking.swap_noise(rows, "key", "value")
 
 
 @query("pad_sequences", f"""WITH {_ROWS}, slots AS (SELECT DISTINCT session, s.p FROM rows0, (SELECT unnest(range(6)) AS p) s)
@@ -269,7 +268,7 @@ def _(spark, sf):
 SELECT session, CAST(pos AS INT) AS pos, round(coalesce(sum(v * (dim + 1)), 0), 6) AS checksum
 FROM rows0 LEFT JOIN vectors ON code = l_linenumber GROUP BY session, pos""")
 def _(spark, sf):
-    rows = lookups.lookup_embeddings(V.sequences(spark, sf).select("session", "lines"), _code_vectors(spark, sf), "session", "lines", 8)
+    rows = lookups.lookup_embeddings(V.sequences(spark, sf).select("session", "lines"), _code_vectors(spark, sf), "lines", 8)
     weights = F.array(*[F.lit(float(i + 1)) for i in range(8)])
     return rows.select("session", F.posexplode("vectors").alias("pos", "v")).select(
         "session", "pos", F.round(vectors.dot("v", weights), 6).alias("checksum"))

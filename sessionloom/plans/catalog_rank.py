@@ -11,7 +11,7 @@ from sessionloom.operators.scale import materialize
 from sessionloom.plans import views as V
 from sessionloom.plans.registry import query
 from sessionloom.plans.sqltext import ITEMS, LIVE_RESULT, MERGED, with_
-from sessionloom.streaming.live import LiveTable, live_filter, live_predict
+from sessionloom.streaming.live import LiveTable, live_filter, live_history, live_predict
 
 # --- lookups of item codes ------------------------------------------------------------
 
@@ -53,7 +53,7 @@ SELECT l_orderkey AS session, string_agg(coalesce(p_name, 'not found(' || l_part
 FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 3) p ON p_partkey = l_partkey GROUP BY 1""")
 def _(spark, sf):
     names = V.table(spark, sf, "part").filter("p_size > 3").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    rows = lookups.decode_lists(V.sequences(spark, sf), names, "session", "items")
+    rows = lookups.decode_lists(V.sequences(spark, sf), names, "items")
     return rows.select("session", F.array_join("names", ";").alias("names"))
 
 
@@ -235,16 +235,25 @@ def _(spark, sf):
 
 @query("live_table", with_(LIVE_RESULT, "SELECT session, timestamp, seq, cat, item_id, merge_count FROM live_result"))
 def _(spark, sf):
-    """The log in one micro-batch through the live table on disk."""
+    """The log in three micro-batches through the live table on disk; sessions run through all of them."""
     log, dictionary, pairs, vocabulary, info = _live_inputs(spark, sf)
     path = V.scratch(spark)
-    log.select("ts", "session", "cat", "message", "seq").repartition(4).write.json(f"{path}/in")
+    rows = log.select("ts", "session", "cat", "message", "seq")
+    for part in range(3):
+        rows.filter(F.col("seq") % 3 == part).coalesce(1).write.mode("append").json(f"{path}/in")
     live = LiveTable(spark, f"{path}/out", lambda rows: live_filter(
         rows, dictionary, pairs, vocabulary, info, V.PATTERNS), buckets=8)
-    live.watch(f"{path}/in", f"{path}/state").awaitTermination()
+    live.watch(f"{path}/in", f"{path}/state", files_per_trigger=1).awaitTermination()
     return live.current().select("session", "timestamp", "seq", "cat", "item_id", "merge_count")
 
 
+@query("live_history", """
+SELECT l_orderkey AS session, row_number() OVER (PARTITION BY l_orderkey
+  ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS position, l_partkey AS item FROM lineitem""")
+def _(spark, sf):
+    return live_history(V.basket0(spark, sf), item="item", order=V.BASKET_ORDER)
+
+
 @query("live_predict", f"""WITH {_PREDS}, sizes AS (SELECT l_orderkey AS session, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT session, rank, item::VARCHAR AS item FROM ranked JOIN sizes USING (session) WHERE n > 5 AND rank <= 5
 UNION ALL SELECT session, 1, 'No enough data for inference!' FROM sizes WHERE n <= 5""")

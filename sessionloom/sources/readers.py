@@ -43,8 +43,8 @@ def read_json_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv_logs(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """All CSV files of a folder, with a header line."""
-    reader = spark.read.option("header", True).option("multiLine", False)
+    """All CSV files of a folder, with a header line; a file whose columns differ fails."""
+    reader = spark.read.option("header", True).option("multiLine", False).option("enforceSchema", False)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 

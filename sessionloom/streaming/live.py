@@ -20,7 +20,7 @@ from sessionloom.operators.lookups import encode_items, translate
 from sessionloom.operators.ordered import chain, sessionwise
 from sessionloom.operators.ranking import topk
 from sessionloom.operators.redundancy import label_rows, replace_low_level
-from sessionloom.operators.scale import small_table
+from sessionloom.operators.scale import materialize, small_table
 from sessionloom.operators.sessions import collapse_runs_step, time_intervals_step, undo_redo
 from sessionloom.operators.workflows import merge_first_match_step
 from sessionloom.sources.readers import LIVE_SCHEMA
@@ -30,8 +30,11 @@ def live_filter(log: DataFrame, dictionary: DataFrame, pairs: DataFrame, vocabul
                 info: DataFrame, patterns=None, session: str = "session") -> DataFrame:
     """Interactions of a live log: filtered, aligned, merged, timed and encoded.
 
-    ``log`` has ``ts`` (live text), ``session``, ``cat``, ``message`` and ``seq``.
+    ``log`` has ``ts`` (live text), ``session``, ``cat``, ``message`` and, if the feed has an order
+    of its own, ``seq``; otherwise the order of reading counts.
     """
+    if "seq" not in log.columns:
+        log = materialize(log.withColumn("seq", F.monotonically_increasing_id()))
     rows = prefilter_live(log).transform(undo_redo, session=session, source=log)
     rows = label_rows(rows, session, source=log)
     rows = rows.withColumn("message", M.normalize_quotes("message"))
@@ -46,7 +49,7 @@ def live_filter(log: DataFrame, dictionary: DataFrame, pairs: DataFrame, vocabul
         partial(collapse_runs_step, item="item_id"),
         partial(time_intervals_step, ts="timestamp"))
     rows = sessionwise(rows, steps, session, ("timestamp", "seq"), source=log)
-    rows = drop_null_rows(rows)
+    rows = drop_null_rows(rows, [c for c in rows.columns if c != "seq"])
     side = small_table(info.select(
         F.col("message_content").alias("_key"), "classification", "target"))
     rows = rows.join(side, F.col("item_id") == F.col("_key"), "left").drop("_key")
@@ -69,6 +72,12 @@ def live_predict(rows: DataFrame, predictions: DataFrame, k: int = 5, minimum: i
     return best.unionByName(waiting)
 
 
+def live_history(rows: DataFrame, session: str = "session", item: str = "item_id", order=("timestamp", "seq")) -> DataFrame:
+    """The shown names of each session's rows in order, also of sessions too short for a prediction."""
+    numbered = sessionwise(rows.select(session, *dict.fromkeys([*order, item])), lambda t: t.numbered("position"), session, tuple(order))
+    return numbered.select(session, F.col("position").cast("bigint").alias("position"), item)
+
+
 class LiveTable:
     """Results of the live path on disk, by session version.
 
@@ -89,6 +98,9 @@ class LiveTable:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def apply(self, batch: DataFrame, version: int) -> None:
+        if "seq" in batch.columns:  # rows without an order of their own count as read
+            read = F.lit(version).cast("bigint") * (1 << 44) + F.monotonically_increasing_id()
+            batch = batch.withColumn("seq", F.coalesce("seq", read))
         rows = batch.withColumn("bucket", self._bucket())
         rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/raw/version={version}")
         new = self.spark.read.parquet(f"{self.path}/raw/version={version}")
@@ -106,8 +118,37 @@ class LiveTable:
         latest = self._read("touched").groupBy(self.session).agg(F.max("version").alias("version"))
         return self._read("result").join(latest, [self.session, "version"], "left_semi").drop("version")
 
+    def _exists(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def sync(self, source: str) -> int | None:
+        """Take in a folder of JSON-lines files that grow: new files, and lines appended to known ones.
+
+        A stream reads each file once, so this reads the files again, numbers their lines and
+        takes those beyond the number remembered for the file.  Returns the version of the rows
+        it took, None if there were none.  Use either this or ``watch`` on a table.
+        """
+        read = self.spark.read.schema(LIVE_SCHEMA).json(source).select(
+            "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_id"))
+        lines = materialize(sessionwise(materialize(read), lambda t: t.numbered("_line"), "_file", ("_start", "_id")))
+        version = 0
+        if self._exists("lines"):
+            known = self._read("lines").groupBy("_file").agg(F.max("_line").alias("_known"))
+            version = self._read("lines").agg(F.max("version")).first()[0] + 1
+            lines = lines.join(known, "_file", "left").filter(F.col("_line") > F.coalesce("_known", F.lit(0))).drop("_known")
+        if lines.isEmpty():
+            return None
+        base = F.lit(version).cast("bigint") * (1 << 44)
+        self.apply(lines.select("ts", "session", "cat", "message", (base + F.col("_id")).alias("seq")), version)
+        lines.groupBy("_file").agg(F.max("_line").alias("_line")).write.mode("overwrite").parquet(f"{self.path}/lines/version={version}")
+        return version
+
     def watch(self, source: str, checkpoint: str, files_per_trigger: int | None = None) -> StreamingQuery:
-        """Follow a folder of JSON-lines files; every file change re-runs its sessions."""
+        """Follow a folder of JSON-lines files; every new file re-runs its sessions.
+
+        Files must not grow once they are there; for a log that does, see ``sync``."""
         reader = self.spark.readStream.schema(T.StructType([*LIVE_SCHEMA.fields, T.StructField("seq", T.LongType())]))
         if files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", files_per_trigger)

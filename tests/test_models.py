@@ -84,7 +84,7 @@ def test_scores_by_blocks_equal_scores_by_broadcast(spark):
     left = spark.createDataFrame(rows, "session bigint, vector array<double>")
     right = left.withColumnRenamed("session", "item")
     small = retrieval.score_by_vectors(left, right, 4, skip_self=True).collect()
-    blocks = retrieval.score_by_vectors(left, right, 4, skip_self=True, shared_items=10, item_block=7, session_block=9).collect()
+    blocks = retrieval.score_by_vectors(left, right, 4, skip_self=True, item_block=7, session_block=9).collect()
     key = lambda r: (r["session"], r["rank"], r["item"], round(r["score"], 9))
     assert sorted(map(key, small)) == sorted(map(key, blocks))
     data = np.array([v for _, v in rows])
@@ -127,7 +127,7 @@ def test_corruption(spark):
 
 def test_swap_noise_keeps_padding(spark):
     rows = [(i, i % 7) for i in range(2000)]
-    out = masking.swap_noise(spark.createDataFrame(rows, "k bigint, v bigint"), "k", "v", p=0.3, pool_rows=500).collect()
+    out = masking.swap_noise(spark.createDataFrame(rows, "k bigint, v bigint"), "k", "v", p=0.3).collect()
     assert len(out) == 2000
     assert all(r["v"] == 0 for r in out if r["k"] % 7 == 0) and all(r["v"] for r in out if r["k"] % 7)
     assert 300 < sum(r["v"] != r["k"] % 7 for r in out) < 650
