@@ -14,7 +14,8 @@ score per slice and any vector with a total of at least ``t`` has a slice with a
 Components become floor(64 * x).  Rows whose vector is null or holds null or non-finite
 components take no part, nor do rows without an id.  Rows that agree in id and vector count
 once; rows that only share an id are all candidates of other ids.  A vector that is shorter
-than another counts as 0 in the missing components.  An empty table gives no rows.
+than another counts as 0 in the missing components.  Scores beyond a long are returned as the
+largest or smallest long.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -139,7 +140,7 @@ def exact_topk(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
                 for part, query_ids, ids, partial, get in _slices(batch, row):
                     known = {x["at"]: x["cutoff"] for x in get["cutoffs"] or ()}
                     cuts = [known.get(i + part.start) for i in range(len(query_ids))]
-                    limit = np.array([-np.inf if c is None else c for c in cuts])[:, None]
+                    limit = np.array([-np.inf if c is None else c for c in cuts], dtype=partial[0].dtype)[:, None]
                     enough = partial[0] * GROUPS >= limit
                     for scores in partial[1:]:
                         enough |= scores * GROUPS >= limit
