@@ -59,13 +59,12 @@ def _matrix(data: bytes, rows: int, width: int) -> np.ndarray:
     return np.frombuffer(data, dtype=np.float64).reshape(rows, width)
 
 
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products: in doubles while every sum is below 2^53, else in Python integers."""
-    bound = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1])
-    if bound < EXACT:
-        return a @ b.T
+def _numbers(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as doubles if every sum of their products is below 2^53 and so exact, else as Python integers."""
+    if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1]) < EXACT:
+        return a, b
     whole = np.vectorize(int, otypes=[object])
-    return whole(a).dot(whole(b).T) if a.shape[1] else np.zeros((len(a), len(b)))
+    return whole(a), whole(b)
 
 
 def _slices(batch: pa.RecordBatch, row: int, step: int = 128):
@@ -74,15 +73,19 @@ def _slices(batch: pa.RecordBatch, row: int, step: int = 128):
     queries, ids = np.frombuffer(get["q_ids"], np.int64), np.frombuffer(get["ids"], np.int64)
     width = min(get["width"], get["q_width"])
     q, v = _matrix(get["q_data"], len(queries), get["q_width"])[:, :width], _matrix(get["data"], len(ids), get["width"])[:, :width]
+    q, v = _numbers(q, v)
     edges = np.linspace(0, width, GROUPS + 1).astype(int)
     for first in range(0, len(queries), step):
         part = slice(first, first + step)
-        yield part, queries[part], ids, [_product(q[part, a:b], v[:, a:b]) for a, b in zip(edges, edges[1:])], get
+        yield part, queries[part], ids, [q[part, a:b].dot(v[:, a:b].T) for a, b in zip(edges, edges[1:])], get
 
 
 def _best(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best entries of each row, ties to the smaller id."""
-    order = np.lexsort((ids, -scores, rows))
+    if scores.dtype == object:
+        order = np.array(sorted(range(len(rows)), key=lambda i: (rows[i], -scores[i], ids[i])), dtype=np.int64)
+    else:
+        order = np.lexsort((ids, -scores, rows))
     ranked = rows[order]
     first = np.searchsorted(ranked, ranked, "left")
     return order[np.arange(len(order)) - first < k]
