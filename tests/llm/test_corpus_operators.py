@@ -155,17 +155,17 @@ def test_scores_of_odd_rows(spark):
     assert {r["train_tokens"] for r in untaught} == {0} and all(math.isfinite(r["score"]) for r in untaught)
 
 
-def test_bits_of_spelling_sum_to_one():
-    counts = np.random.default_rng(0).integers(0, 9, (2, lm._OFFSETS[-1])).astype(np.float32)
-    mixer = lm.Mixer(2)
-    tokens = [b"ab" + bytes([c]) for c in range(256)]
-    last = mixer.run(lm.Spelling(tokens, np.zeros(256, np.int64)), counts, False)
-    closed = mixer.run(lm.Spelling([b"ab"], np.zeros(1, np.int64)), counts, False)
-    close = [mixer.run(lm.Spelling([t + b"x"], np.zeros(1, np.int64)), counts, False) for t in tokens[:1]]
-    assert last.max() < 0 and closed[0] < 0 and np.isfinite(close[0]).all()
-    spelling = lm.Spelling([b"q"], np.zeros(1, np.int64))
-    for b, bit, slots in spelling.bits():
-        assert 0 <= b < 8 and all(0 <= s.min() and s.max() < 1 << size for s, size in zip(slots, lm.SLOTS))
+def test_spelling_is_a_probability():
+    """Over all bytes that can follow, the first bytes of a token add up to one."""
+    tokens = [bytes([c]) for c in range(256)]
+    predictors = lm.Predictors(lm.slot_counts([b"ab", b"abc", b"b"] * 5, np.zeros(15, np.int64)))
+    mixer = lm.Mixer(1)
+    both = mixer.run(lm.Spelling(tokens, np.zeros(256, np.int64)), predictors, False)
+    closing = [mixer.run(lm.Spelling([t + bytes([c]) for c in range(256)], np.zeros(256, np.int64)), predictors, False) for t in (b"a", b"b")]
+    assert np.exp(both).sum() < 1 and all(np.exp(c).sum() < 1 for c in closing)
+    assert both[ord("b")] > both[ord("z")]
+    for size, (_, _, slots) in zip(lm.SLOTS, lm.Spelling([b"q"], np.zeros(1, np.int64)).bits()):
+        assert all(start <= x.min() and x.max() < end for x, start, end in zip(slots, lm._OFFSETS, lm._OFFSETS[1:]))
 
 
 # -- repeats --------------------------------------------------------------------------------
