@@ -287,17 +287,22 @@ def _(spark, sf):
 
 
 @query("aggregate_features", """
-SELECT vec_id, a[1] AS c1, b[2] AS c18, a[2] AS s1, round(a[3] + b[3], 6) AS sum3, round(a[4] * b[4], 6) AS multi4 FROM (
-  SELECT vec_id, embedding[1:16]::DOUBLE[] AS a, embedding[17:32]::DOUBLE[] AS b FROM embeddings) x""")
+SELECT vec_id, CAST(d AS INT) AS dim, a[d] AS joined_low, b[d] AS joined_high, a[d] AS stacked_low, b[d] AS stacked_high,
+  round(a[d] + b[d], 6) AS added, round(a[d] * b[d], 6) AS multiplied
+FROM (SELECT vec_id, embedding[1:32]::DOUBLE[] AS a, embedding[33:64]::DOUBLE[] AS b FROM embeddings) x,
+  (SELECT unnest(generate_series(1, 32)) AS d) g""")
 def _(spark, sf):
     rows = V.table(spark, sf, "embeddings").select(
-        "vec_id", F.slice("embedding", 1, 16).cast("array<double>").alias("a"),
-        F.slice("embedding", 17, 16).cast("array<double>").alias("b"))
+        "vec_id", F.slice("embedding", 1, 32).cast("array<double>").alias("a"),
+        F.slice("embedding", 33, 32).cast("array<double>").alias("b"))
     for how, out in (("concat", "c"), ("stack", "s"), ("element-wise-sum", "e")):
         rows = features.aggregate_features(rows, ["b", "a"], how, out=out)
     rows = features.aggregate_features(rows, ["a", "b"], "element-wise-sum-item-multi", item="a", out="m")
-    return rows.select("vec_id", F.col("c")[0].alias("c1"), F.col("c")[17].alias("c18"), F.col("s")[0][1].alias("s1"),
-                       F.round(F.col("e")[2], 6).alias("sum3"), F.round(F.col("m")[3], 6).alias("multi4"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(32))).alias("dim"))
+    at = F.col("dim") - 1
+    return rows.select("vec_id", "dim", F.get("c", at).alias("joined_low"), F.get("c", at + 32).alias("joined_high"),
+                       F.get(F.col("s")[0], at).alias("stacked_low"), F.get(F.col("s")[1], at).alias("stacked_high"),
+                       F.round(F.get("e", at), 6).alias("added"), F.round(F.get("m", at), 6).alias("multiplied"))
 
 
 @query("one_hot", """

@@ -18,20 +18,22 @@ from sessionloom.streaming.live import LiveTable, live_filter, live_history, liv
 
 @query("encode_items", with_(MERGED, """
 SELECT session, seq, coalesce(v.item_id, -1) AS item FROM merged m LEFT JOIN (
-  SELECT item, row_number() OVER (ORDER BY count(*) DESC, item) AS item_id FROM merged WHERE item <> 'Tool: T0' GROUP BY item) v
-ON v.item = m.item"""))
+  SELECT item, row_number() OVER (ORDER BY count(*) DESC, item) AS item_id FROM merged GROUP BY item) v
+ON v.item = CASE WHEN m.item = 'Tool: T0' THEN 'Tool: New' ELSE m.item END"""))
 def _(spark, sf):
     rows = materialize(V.merged_log(spark, sf)).withColumnRenamed("message_content", "item")
-    known = rows.filter("item <> 'Tool: T0'").withColumnRenamed("item", "message_content")
+    known = rows.withColumnRenamed("item", "message_content")
     words = features.build_vocabulary(known, known.withColumn("cat", F.lit("Tool")))
+    # One item gets a name that the vocabulary does not have.
+    rows = rows.withColumn("item", F.when(F.col("item") == "Tool: T0", "Tool: New").otherwise(F.col("item")))
     return lookups.encode_items(rows, words, "item", -1).select("session", "seq", "item")
 
 
 def _codes(spark, sf):
-    """Part keys coded by frequency, and part names as vocabulary."""
+    """Part keys coded by frequency, and part names as vocabulary, five ids higher, so that some are unknown."""
     codes = features.categorify_table(V.basket0(spark, sf), "item")
-    names = V.table(spark, sf, "part").filter("p_size > 3").select(
-        F.col("p_partkey").alias("item_id"), F.concat(F.lit("End Event: "), F.col("p_name")).alias("item"))
+    names = V.table(spark, sf, "part").select(
+        (F.col("p_partkey") + 5).alias("item_id"), F.concat(F.lit("End Event: "), F.col("p_name")).alias("item"))
     return codes, names
 
 
@@ -40,7 +42,7 @@ _CODES = """codes AS (SELECT l_partkey AS value, row_number() OVER (ORDER BY cou
 
 @query("decode_items", f"""WITH {_CODES}
 SELECT o_orderkey, coalesce(p_name, 'Unknown') AS name FROM orders
-LEFT JOIN codes ON code = o_custkey LEFT JOIN (SELECT * FROM part WHERE p_size > 3) p ON p_partkey = value""")
+LEFT JOIN codes ON code = o_custkey LEFT JOIN part ON p_partkey + 5 = value""")
 def _(spark, sf):
     codes, names = _codes(spark, sf)
     rows = V.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("code"))
@@ -50,9 +52,9 @@ def _(spark, sf):
 @query("decode_lists", """
 SELECT l_orderkey AS session, string_agg(coalesce(p_name, 'not found(' || l_partkey || ')'), ';'
   ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS names
-FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 3) p ON p_partkey = l_partkey GROUP BY 1""")
+FROM lineitem LEFT JOIN part ON p_partkey + 5 = l_partkey GROUP BY 1""")
 def _(spark, sf):
-    names = V.table(spark, sf, "part").filter("p_size > 3").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    names = V.table(spark, sf, "part").select((F.col("p_partkey") + 5).alias("id"), F.col("p_name").alias("name"))
     rows = lookups.decode_lists(V.sequences(spark, sf), names, "items")
     return rows.select("session", F.array_join("names", ";").alias("names"))
 
