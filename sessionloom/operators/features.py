@@ -46,12 +46,13 @@ def categorify(df: DataFrame, column: str, table: DataFrame | None = None,
             .withColumn(out or column, F.col("_code")).drop("_value", "_code"))
 
 
-def normalize(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+def normalize(df: DataFrame, columns: dict[str, str], source: DataFrame | None = None) -> DataFrame:
     """Global z-scores (population deviation) as new columns, ``{column: new name}``.
 
-    One combinable aggregate gives all means and deviations as a single scalar.
+    One combinable aggregate over ``source`` (default: ``df``) gives all means and deviations
+    as a single scalar.
     """
-    facts = df.agg(F.struct(*[f.alias(f"{kind}_{i}") for i, c in enumerate(columns) for kind, f in (
+    facts = (df if source is None else source).agg(F.struct(*[f.alias(f"{kind}_{i}") for i, c in enumerate(columns) for kind, f in (
         ("mean", F.avg(F.col(c).cast("double"))), ("std", F.stddev_pop(F.col(c).cast("double"))))])).scalar()
     out = df.withColumn("_facts", facts)
     for i, (column, name) in enumerate(columns.items()):
@@ -87,9 +88,12 @@ def session_features(df: DataFrame, session: str = "session_id", order: Sequence
     """
     counts = df.groupBy(session).agg(F.count(codes[0]).alias("_n"))
     long_enough = min_length_sessions(counts, "_n", minimum)
-    for column in codes:
-        df = categorify(df, column)
-    df = normalize(df, norms)
+    # Codes and moments come from the input as it is, not from the table that grows join by join.
+    tables = {column: categorify_table(df, column) for column in codes}
+    source = df
+    for column, table in tables.items():
+        df = categorify(df, column, table)
+    df = normalize(df, norms, source)
     lists = groupby_lists(df, session, order, [*codes, *keep, *norms.values()], last=longest).drop("piece")
     return lists.join(long_enough.withColumnRenamed("_n", f"{codes[0]}-count"), session)
 
