@@ -199,12 +199,13 @@ def groupby_lists(df: DataFrame, session: str = "session", order: Sequence[str]
                   lists: Sequence[str] = (), firsts: Sequence[str] = (),
                   counts: Sequence[str] = (), first: int | None = None, last: int | None = None,
                   piece_rows: int = 100_000) -> DataFrame:
-    """One row per session with ordered lists ``<col>-list``, ``<col>-count``, ``<col>-first``.
+    """Ordered lists ``<col>-list`` with ``<col>-count`` and ``<col>-first``, keyed by (session, piece).
 
     ``first`` / ``last`` keep only that many rows in the lists; they are cut by rank before
     anything is collected, and Spark applies that rank per task before the shuffle.
-    Without either, a session above ``piece_rows`` rows gives several rows with consecutive
-    pieces of its lists (``piece`` = 0, 1, ...), so no list grows without bound.
+    Without either, the lists of a session come in pieces of ``piece_rows`` rows, numbered from
+    0, at every size: a session of up to ``piece_rows`` rows has piece 0 only.  What follows
+    must keep ``piece`` in its key; no list grows without bound.
     """
     columns = list(dict.fromkeys(lists))
     # Counts and firsts come from combinable aggregates over all rows.

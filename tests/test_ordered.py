@@ -217,3 +217,14 @@ def test_result_does_not_depend_on_partitions(spark):
         results.append(sorted(r["seq"] for r in sessions.undo_redo(shuffled, limit=20).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert results[0] == results[1] == results[2]
+
+
+def test_lists_in_pieces_pass_through_the_lookups(spark):
+    """A session over the limit gives pieces; each keeps its own names, although the session repeats."""
+    from sessionloom.operators import lookups
+    df = spark.createDataFrame([("s", i, i, i) for i in range(10)], "session string, ts int, seq int, item long")
+    names = spark.createDataFrame([(i, f"n{i}") for i in range(0, 10, 2)], "id long, name string")
+    lists = sessions.groupby_lists(df, lists=["item"], piece_rows=4)
+    found = lookups.decode_lists(lists, names, "item-list").orderBy("piece").collect()
+    want = [f"n{i}" if i % 2 == 0 else f"not found({i})" for i in range(10)]
+    assert [r["names"] for r in found] == [want[:4], want[4:8], want[8:]]
