@@ -168,6 +168,16 @@ def test_spelling_is_a_probability():
         assert all(start <= x.min() and x.max() < end for x, start, end in zip(slots, lm._OFFSETS, lm._OFFSETS[1:]))
 
 
+def test_mixer_learns_from_repeated_words(spark):
+    """With every word twice in its style the weights and the last table still move."""
+    tokens = [b"abc", b"abd", b"bcd", b"aabc"]
+    counts = spark.sparkContext.broadcast(lm.slot_counts(tokens, np.zeros(4, np.int64)).astype(np.float32))
+    vocabulary = spark.createDataFrame([(bytearray(t), 0, 2) for t in tokens], "token binary, style int, c_style long")
+    mixer, start = lm._learn_mixer(vocabulary, counts, 1), lm.Mixer(1)
+    assert mixer.table.sum() == 8 * sum(len(t) + 1 for t in tokens)
+    assert not np.array_equal(mixer.weights, start.weights)
+
+
 # -- repeats --------------------------------------------------------------------------------
 def test_run_length_index():
     random.seed(1)
