@@ -2,7 +2,8 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written as Parquet and read again as the next one's ``docs``.  All but the
-last return the columns of ``documents``.  Rows that share an id are one document.
+last return the columns of ``documents``.  Every row is judged by its own text, also if it
+shares its id, or has none.
 """
 
 from __future__ import annotations
@@ -13,28 +14,36 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm import decontam, neardup, packing, quality, repeats
 from sessionloom.llm.queries import TOKENIZER, table
+from sessionloom.llm.repeats import text_key
 from sessionloom.operators.scale import broadcast_if_small, materialize
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the ids (column ``doc_id``) of ``rejected``."""
-    ids = materialize(rejected.select(F.col("doc_id").alias("_rejected")).distinct())
-    return docs.join(broadcast_if_small(ids), F.col("doc_id").eqNullSafe(F.col("_rejected")), "left_anti")
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality classifier rejects go."""
+    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"), carry=tuple(c for c in docs.columns if c != "doc_id"))
+    return scored.filter("NOT predicted <=> 0").select(docs.columns)
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scored.filter("predicted = 0"))
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``: a number of each (id, text) in the order of ids, null without an id."""
+    rows = docs.withColumn("_text", text_key("text"))
+    pairs = rows.filter("doc_id IS NOT NULL").select("doc_id", "_text")
+    several = materialize(pairs.groupBy("doc_id").agg(F.min("_text").alias("low"), F.max("_text").alias("high")).filter("low <> high"))
+    if several.isEmpty():
+        return docs.withColumn("_row", F.col("doc_id"))
+    numbers = materialize(pairs.distinct().orderBy("doc_id", "_text").select("doc_id", "_text", F.monotonically_increasing_id().alias("_row")))
+    return materialize(rows.join(broadcast_if_small(numbers), ["doc_id", "_text"], "left").select(*docs.columns, "_row"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays, in one row."""
-    left = _without(docs, neardup.near_duplicates(docs).filter("NOT kept"))
-    again = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id"))
-    if again.isEmpty():
-        return left
-    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """The text with the smallest id of each group stays, in one row; rows without an id stay."""
+    rows = _numbered(docs)
+    copies = materialize(neardup.near_duplicates(rows, "_row").filter("NOT kept").select("_row").distinct())
+    left = rows.join(broadcast_if_small(copies), "_row", "left_anti")
+    again = materialize(rows.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND _row IS NOT NULL").select("_row"))
+    if not again.isEmpty():
+        left = left.join(again, "_row", "left_anti").unionByName(left.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
+    return left.select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +52,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+    """Rows that hold a passage of the benchmark go."""
+    return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"), by_row=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

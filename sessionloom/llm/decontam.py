@@ -13,8 +13,9 @@ so that phrases common to many items do not multiply the hits; an alignment with
 representative decides the same windows.
 
 Items with fewer than eleven words are too short to tell a leak from chance and match nothing.
-Null and empty texts match nothing.  Rows that share an id are one document, and null ids
-count as one.  An empty benchmark leaves every document clean; an empty table gives no rows.
+Null and empty texts match nothing.  Rows are judged one by one, by id and text; ``drop_leaks``
+can also drop every row of an id, null ids counting as one.  An empty benchmark leaves every
+document clean; an empty table gives no rows.
 Columns other than id and text are not read.
 """
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.llm.repeats import text_key
 from sessionloom.operators.scale import broadcast_if_small, materialize
 
 SPAN = 11
@@ -56,56 +58,74 @@ def _exploded_seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
         *keep, F.pmod("_at", F.col("_n")).alias("at"), "seed")
 
 
-def benchmark_seeds(items: DataFrame) -> DataFrame:
-    """(seed, item, at) of ``items`` (item, h), each window of words by its smallest item."""
+def _windows(items: DataFrame) -> DataFrame:
+    """(item, q, window) for every window of words of ``items`` (item, h)."""
     size = F.least(F.size("h"), F.lit(WINDOW))
-    windows = items.filter(F.size("h") >= SPAN).select("item", F.posexplode(F.transform(
+    return items.filter(F.size("h") >= SPAN).select("item", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.size("h") - size), lambda q: F.slice(F.col("h"), q + 1, size))).alias("q", "window"))
-    first = windows.groupBy("window").agg(F.min(F.struct("item", "q")).alias("w")).select("w.item", "w.q", F.col("window").alias("h"))
+
+
+def benchmark_seeds(items: DataFrame) -> DataFrame:
+    """(seed, item, at) of ``items`` (item, h), each window of words by its smallest item."""
+    first = _windows(items).groupBy("window").agg(F.min(F.struct("item", "q")).alias("w")).select("w.item", "w.q", F.col("window").alias("h"))
     return _exploded_seeds(first, ["item", "q"]).select("seed", "item", (F.col("q") + F.col("at")).alias("at")).distinct()
 
 
 def _agreement(item: Column, document: Column, shift: Column) -> tuple[Column, Column]:
-    """Most agreeing words in a window of the item, and in the whole item, at this alignment."""
+    """Agreeing words in every window of the item, and in the whole item, at this alignment."""
     same = F.transform(item, lambda w, i: F.coalesce((F.get(document, i + shift) == w).cast("int"), F.lit(0)))
     add = lambda a, x: a + x
     starts = F.sequence(F.lit(1), F.greatest(F.size(item) - (WINDOW - 1), F.lit(1)))
-    best = F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice(same, s, WINDOW), F.lit(0), add)))
-    return best, F.aggregate(same, F.lit(0), add)
+    return F.transform(starts, lambda s: F.aggregate(F.slice(same, s, WINDOW), F.lit(0), add)), F.aggregate(same, F.lit(0), add)
+
+
+def _verified(documents: DataFrame, hits: DataFrame, items: DataFrame) -> DataFrame:
+    """Those alignments ``hits`` (_key, _t, item, shift) that hold, with the windows ``at`` that agree and ``matched``."""
+    proposed = materialize(hits.groupBy("_key", "_t").agg(F.collect_list(F.struct("item", "shift")).alias("hits"))).withColumnsRenamed(
+        {"_key": "_hit", "_t": "_hit_t"})
+    aligned = (documents.join(broadcast_if_small(proposed), F.col("_key").eqNullSafe(F.col("_hit")) & (F.col("_t") == F.col("_hit_t")))
+               .select("_key", "_t", word_hashes("_text").alias("d"), "hits")
+               .select("_key", "_t", "d", F.explode("hits").alias("hit")).select("_key", "_t", "d", "hit.item", "hit.shift")
+               .join(broadcast_if_small(items), "item"))
+    agreeing, matched = _agreement(F.col("h"), F.col("d"), F.col("shift"))
+    need = F.when(F.size("h") >= WINDOW, AGREE).otherwise(F.ceil(F.size("h") * F.lit(AGREE / WINDOW)))
+    at = F.filter(F.transform(agreeing, lambda n, q: F.when(n >= need, q)), lambda q: q.isNotNull())
+    return aligned.select("_key", "_t", "item", "shift", at.alias("at"), matched.alias("matched")).filter(F.size("at") > 0)
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
                item_text: str = "text") -> DataFrame:
-    """The contaminated documents: ``key``, ``item_id`` (smallest), ``n_items``, ``matched`` (most agreeing words)."""
+    """The contaminated (``key``, ``text_key``): ``item_id`` (smallest), ``n_items``, ``matched`` (most agreeing words)."""
     items = materialize(benchmark.select(F.col(item).cast("long").alias("item"), word_hashes(item_text).alias("h"))
                         .filter(F.col("item").isNotNull()).distinct())
     seeds = broadcast_if_small(materialize(benchmark_seeds(items)))
-    documents = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    own = _exploded_seeds(documents.select("_key", word_hashes("_text").alias("h")), ["_key"])
+    documents = df.select(F.col(key).alias("_key"), text_key(text).alias("_t"), F.col(text).alias("_text"))
+    own = _exploded_seeds(documents.select("_key", "_t", word_hashes("_text").alias("h")), ["_key", "_t"])
     hits = (own.join(seeds.withColumnRenamed("at", "_at"), "seed")
-            .select("_key", "item", (F.col("at") - F.col("_at")).alias("shift")).distinct())
-    per_document = materialize(hits.groupBy("_key").agg(F.collect_list(F.struct("item", "shift")).alias("hits")))
-    proposed = per_document.withColumnsRenamed({"_key": "_hit"})
-    aligned = (documents.join(broadcast_if_small(proposed), F.col("_key").eqNullSafe(F.col("_hit")))
-               .select("_key", word_hashes("_text").alias("d"), "hits")
-               .select("_key", "d", F.explode("hits").alias("hit")).select("_key", "d", "hit.item", "hit.shift")
-               .join(broadcast_if_small(items), "item"))
-    best, matched = _agreement(F.col("h"), F.col("d"), F.col("shift"))
-    verified = aligned.select("_key", "item", F.size("h").alias("n"), best.alias("best"), matched.alias("matched")).filter(
-        F.col("best") >= F.when(F.col("n") >= WINDOW, AGREE).otherwise(F.ceil(F.col("n") * F.lit(AGREE / WINDOW))))
-    return verified.groupBy("_key").agg(
-        F.min("item").alias("item_id"), F.count_distinct("item").alias("n_items"), F.max("matched").alias("matched")).withColumnRenamed("_key", key)
+            .select("_key", "_t", "item", (F.col("at") - F.col("_at")).alias("shift")).distinct())
+    found = _verified(documents, hits, items)
+    return found.groupBy("_key", "_t").agg(
+        F.min("item").alias("item_id"), F.count_distinct("item").alias("n_items"), F.max("matched").alias("matched")).withColumnsRenamed(
+        {"_key": key, "_t": "text_key"})
+
+
+def _same_row(key: str, text: str) -> Column:
+    return F.col(key).eqNullSafe(F.col("_leak")) & (text_key(text) == F.col("_leak_t"))
 
 
-def mark_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", **names: str) -> DataFrame:
+def mark_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **names: str) -> DataFrame:
     """For every row ``key``, ``contaminated``, ``item_id``, ``n_items`` and ``matched``."""
-    leaks = materialize(find_leaks(df, benchmark, key, **names)).withColumnRenamed(key, "_leak").withColumn("contaminated", F.lit(True))
-    rows = df.select(key).join(broadcast_if_small(leaks), F.col(key).eqNullSafe(F.col("_leak")), "left")
+    leaks = materialize(find_leaks(df, benchmark, key, text, **names)).withColumnsRenamed(
+        {key: "_leak", "text_key": "_leak_t"}).withColumn("contaminated", F.lit(True))
+    rows = df.select(key, text).join(broadcast_if_small(leaks), _same_row(key, text), "left")
     return rows.select(key, F.coalesce("contaminated", F.lit(False)).alias("contaminated"), "item_id",
                        F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("matched", F.lit(0)).alias("matched"))
 
 
-def drop_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", **names: str) -> DataFrame:
-    """``df`` without the contaminated documents."""
-    leaks = materialize(find_leaks(df, benchmark, key, **names).select(F.col(key).alias("_leak")))
+def drop_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", by_row: bool = False, **names: str) -> DataFrame:
+    """``df`` without the contaminated rows, or without every row of an id that has one."""
+    leaks = materialize(find_leaks(df, benchmark, key, text, **names).select(
+        F.col(key).alias("_leak"), F.col("text_key").alias("_leak_t")))
+    if by_row:
+        return df.join(broadcast_if_small(leaks), _same_row(key, text), "left_anti")
     return df.join(broadcast_if_small(leaks), F.col(key).eqNullSafe(F.col("_leak")), "left_anti")

@@ -68,19 +68,21 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def document_statistics(df: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``key``, the columns of ``carry`` and ``x``, the list of statistics of the whole text."""
-    names = [f"_c{i}" for i in range(1 + len(carry))]
+    columns = [key, *carry]
+    names = [f"_c{i}" for i in range(len(columns))]
+    source = names[columns.index(text)] if text in columns else "_text"
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in text_blocks(batch.column("_text")):
+            for first, last, data, offsets in text_blocks(batch.column(source)):
                 x = statistics(data, offsets)
                 flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, len(NAMES), dtype=np.int32), x.ravel())
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(n).slice(first, last - first) for n in names), flat], names=[*names, "x"])
 
-    columns = [key, *carry]
     schema = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, columns)) + ", x array<double>"
-    renamed = df.select(*(F.col(c).alias(n) for n, c in zip(names, columns)), F.col(text).alias("_text"))
+    own = [F.col(text).alias(source)] if source not in names else []
+    renamed = df.select(*(F.col(c).alias(n) for n, c in zip(names, columns)), *own)
     return renamed.mapInArrow(compute, schema).withColumnsRenamed(dict(zip(names, columns)))
 
 

@@ -59,6 +59,16 @@ def test_decontamination_query(spark):
     assert found == plain.leaks({d: (t or "")[:20_000] for d, t in texts_of(spark).items()}, items)
 
 
+def test_leaks_of_rows_that_share_an_id(spark):
+    item = " ".join(f"w{i}" for i in range(14))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame([(None, item), (None, "clean"), (None, None), (4, item), (4, "other")], "doc_id long, text string")
+    marked = [(r["doc_id"], r["contaminated"]) for r in decontam.mark_leaks(df, bench).collect()]
+    assert sorted(marked, key=str) == [(4, False), (4, True), (None, False), (None, False), (None, True)]
+    left = [(r["doc_id"], r["text"]) for r in decontam.drop_leaks(df, bench, by_row=True).collect()]
+    assert sorted(left, key=str) == [(4, "other"), (None, "clean"), (None, None)]
+
+
 # -- near duplicates ------------------------------------------------------------------------
 def test_near_duplicates_query(spark):
     texts = texts_of(spark)

@@ -32,3 +32,24 @@ def test_stages_keep_the_columns_and_accept_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, frame, SMALL).columns == docs.columns
     assert corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).count() == 4
+
+
+def test_stages_judge_rows_that_share_an_id_by_their_texts(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    scored = quality.score_quality(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    bad, good = (next(r["doc_id"] for r in scored.orderBy(order).filter(f"predicted = {p}").collect()) for p, order in ((0, "score"), (1, "doc_id")))
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first()["text"]
+    frame = lambda rows: spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], docs.schema.simpleString()[7:-1])
+    stages, seen = dict(corpus_pipeline.STAGES), lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    for key in (None, 10**6):
+        # The model is learned from labelled documents, so they stay in.
+        mixed = docs.unionByName(frame([(key, text[bad]), (key, text[good])]))
+        kept = stages["quality"](spark, mixed, SMALL)
+        assert [t for d, t in seen(kept) if d == key] == [text[good]]
+        leaked = frame([(key, item), (key, "clean")])
+        assert seen(stages["decontamination"](spark, leaked, SMALL)) == [(key, "clean")]
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = frame([(7, one), (7, two), (7, two), (9, two), (3, one), (8, "x y z"), (None, "q"), (None, "r")])
+    assert seen(stages["near_duplicates"](spark, rows, SMALL)) == sorted(
+        [(3, one), (7, two), (8, "x y z"), (None, "q"), (None, "r")], key=str)
