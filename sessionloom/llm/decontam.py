@@ -9,8 +9,9 @@ has eleven or twelve) agree with it in all but two places (but one), in the same
 that replaced words do not hide a passage.
 
 Items of which a window of thirteen words repeats are represented there by the smallest item,
-so that phrases common to many items do not multiply the hits; an alignment with the
-representative decides the same windows.
+so that phrases common to many items do not multiply the seeds.  Where such a window agrees, the
+other items that have it are aligned with the document too and verified on the whole item, so
+``n_items`` and ``matched`` cover every item, copies included.
 
 Items with fewer than eleven words are too short to tell a leak from chance and match nothing.
 Null and empty texts match nothing.  Rows are judged one by one, by id and text; ``drop_leaks``
@@ -71,6 +72,15 @@ def benchmark_seeds(items: DataFrame) -> DataFrame:
     return _exploded_seeds(first, ["item", "q"]).select("seed", "item", (F.col("q") + F.col("at")).alias("at")).distinct()
 
 
+def shared_windows(items: DataFrame) -> DataFrame:
+    """(_first, other, move, _at): the windows ``_at`` of ``_first`` represent windows of ``other``, ``move`` places before."""
+    windows = _windows(items)
+    first = windows.groupBy("window").agg(F.min(F.struct("item", "q")).alias("w"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return (windows.join(first, "window").filter(F.struct("item", "q") != F.col("w"))
+            .groupBy(F.col("w.item").alias("_first"), F.col("item").alias("other"), (F.col("w.q") - F.col("q")).alias("move"))
+            .agg(F.collect_set("w.q").alias("_at")))
+
+
 def _agreement(item: Column, document: Column, shift: Column) -> tuple[Column, Column]:
     """Agreeing words in every window of the item, and in the whole item, at this alignment."""
     same = F.transform(item, lambda w, i: F.coalesce((F.get(document, i + shift) == w).cast("int"), F.lit(0)))
@@ -94,8 +104,10 @@ def _verified(documents: DataFrame, hits: DataFrame, items: DataFrame) -> DataFr
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-               item_text: str = "text") -> DataFrame:
-    """The contaminated (``key``, ``text_key``): ``item_id`` (smallest), ``n_items``, ``matched`` (most agreeing words)."""
+               item_text: str = "text", every_item: bool = True) -> DataFrame:
+    """The contaminated (``key``, ``text_key``): ``item_id`` (smallest), ``n_items``, ``matched`` (most agreeing words).
+
+    Without ``every_item`` the last two cover only the items that represent a window."""
     items = materialize(benchmark.select(F.col(item).cast("long").alias("item"), word_hashes(item_text).alias("h"))
                         .filter(F.col("item").isNotNull()).distinct())
     seeds = broadcast_if_small(materialize(benchmark_seeds(items)))
@@ -104,6 +116,12 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     hits = (own.join(seeds.withColumnRenamed("at", "_at"), "seed")
             .select("_key", "_t", "item", (F.col("at") - F.col("_at")).alias("shift")).distinct())
     found = _verified(documents, hits, items)
+    shared = materialize(shared_windows(items)) if every_item else None
+    if shared is not None and not shared.isEmpty():
+        found = materialize(found)
+        more = (found.join(broadcast_if_small(shared), F.col("item") == F.col("_first")).filter(F.arrays_overlap("at", "_at"))
+                .select("_key", "_t", F.col("other").alias("item"), (F.col("shift") + F.col("move")).alias("shift")).distinct())
+        found = found.unionByName(_verified(documents, more, items))
     return found.groupBy("_key", "_t").agg(
         F.min("item").alias("item_id"), F.count_distinct("item").alias("n_items"), F.max("matched").alias("matched")).withColumnsRenamed(
         {"_key": key, "_t": "text_key"})
@@ -124,7 +142,7 @@ def mark_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", by_row: bool = False, **names: str) -> DataFrame:
     """``df`` without the contaminated rows, or without every row of an id that has one."""
-    leaks = materialize(find_leaks(df, benchmark, key, text, **names).select(
+    leaks = materialize(find_leaks(df, benchmark, key, text, every_item=False, **names).select(
         F.col(key).alias("_leak"), F.col("text_key").alias("_leak_t")))
     if by_row:
         return df.join(broadcast_if_small(leaks), _same_row(key, text), "left_anti")

@@ -69,6 +69,30 @@ def test_leaks_of_rows_that_share_an_id(spark):
     assert sorted(left, key=str) == [(4, "other"), (None, "clean"), (None, None)]
 
 
+def test_leaks_count_every_item(spark):
+    """Copies of items, and items that share a preamble, each count; so do their words."""
+    random.seed(8)
+    words = lambda n: [f"w{random.randrange(5000)}" for _ in range(n)]
+    preamble, other = words(20), words(13)
+    items = {i: preamble + words(10) for i in range(10)} | {20: words(4) + preamble[3:] + words(2), 30: other, 31: other, 32: other + words(6), 33: other[:12], 34: other[:12]}
+    items[9] = items[3]
+    texts = {0: words(5) + preamble + words(5), 1: items[3], 2: items[9][5:] + other, 3: words(3) + items[32], 4: other[:12], 5: words(40)}
+
+    def matched(text, item):
+        size, found = min(13, len(item)), 0
+        for shift in range(-len(item), len(text)):
+            same = [0 <= shift + j < len(text) and text[shift + j] == w for j, w in enumerate(item)]
+            if max(sum(same[a:a + size]) for a in range(len(item) - size + 1)) >= 11:
+                found = max(found, sum(same))
+        return found
+
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    for r in decontam.mark_leaks(df, bench).collect():
+        want = {i: m for i, t in items.items() if (m := matched(texts[r["doc_id"]], t))}
+        assert (r["n_items"], r["item_id"], r["matched"]) == (len(want), min(want, default=None), max(want.values(), default=0)), r
+
+
 # -- near duplicates ------------------------------------------------------------------------
 def test_near_duplicates_query(spark):
     texts = texts_of(spark)
