@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import decontam, html_text, lm, neardup, packing, quality, quotes, repeats, topk, url_filter
+from sessionloom.llm import (
+    decontam,
+    embed_dedup,
+    filter_audit,
+    html_text,
+    lm,
+    merkle,
+    neardup,
+    packing,
+    quality,
+    quotes,
+    repeats,
+    topk,
+    url_filter,
+)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -58,10 +72,23 @@ def op10_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotes(table(spark, sf_dir, "conversations"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing, "op2_decontamination": op2_decontamination, "op3_html_text": op3_html_text, "op4_url_filter": op4_url_filter, "op5_quality": op5_quality,
     "op6_near_duplicates": op6_near_duplicates, "op7_topk": op7_topk, "op8_lm_score": op8_lm_score, "op9_repeats": op9_repeats,
-    "op10_quotations": op10_quotations,
+    "op10_quotations": op10_quotations, "op11_filter_audit": op11_filter_audit, "op12_embedding_duplicates": op12_embedding_duplicates,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 OP7_SQL = """
@@ -76,4 +103,5 @@ scores AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scores QUALIFY rank <= 20"""
 
-SQL: dict[str, str] = {"op4_url_filter": url_filter.oracle(), "op7_topk": OP7_SQL}
+SQL: dict[str, str] = {"op4_url_filter": url_filter.oracle(), "op7_topk": OP7_SQL, "op11_filter_audit": filter_audit.ORACLE,
+                       "op12_embedding_duplicates": embed_dedup.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
