@@ -6,7 +6,7 @@ when new rows arrive; the output is a table of session versions, not an append-o
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,8 @@ from sessionloom.operators.scale import materialize, small_table
 from sessionloom.operators.sessions import collapse_runs_step, time_intervals_step, undo_redo
 from sessionloom.operators.workflows import merge_first_match_step
 from sessionloom.sources.readers import LIVE_SCHEMA
+from sessionloom.sources.tail import stream_lines
+from sessionloom.streaming.segments import Manifest
 
 
 def live_filter(log: DataFrame, dictionary: DataFrame, pairs: DataFrame, vocabulary: DataFrame,
@@ -81,74 +83,136 @@ def live_history(rows: DataFrame, session: str = "session", item: str = "item_id
 class LiveTable:
     """Results of the live path on disk, by session version.
 
-    ``raw`` keeps every row, laid out by session bucket so that a micro-batch reads only the
-    buckets it touches.  ``result`` gets the full result of each touched session, and
-    ``touched`` the version that holds it, also if the result became empty.  A version is
-    a micro-batch number and is overwritten as a whole, so a repeated batch changes nothing.
+    ``raw`` keeps every row, ``result`` the full result of each touched session, and ``touched`` the
+    version that holds it, also if the result became empty.  A version is a micro-batch number; a
+    batch that was taken in before changes nothing.  Batches are segments (see ``Manifest``) that are
+    merged level by level.  A merged segment has as many session buckets as its rows need, so a micro-batch
+    reads the buckets of the sessions it touches and the few batches that are not merged yet.
     """
 
-    def __init__(self, spark: SparkSession, path: str, transform, buckets: int = 64, session: str = "session"):
+    def __init__(self, spark: SparkSession, path: str, transform, buckets: int | None = None, session: str = "session",
+                 rows_per_bucket: int = 1_000_000, fanout: int = 8, retain: int = 16):
         self.spark, self.path, self.transform = spark, path, transform
-        self.buckets, self.session = buckets, session
-
-    def _bucket(self):
-        return F.pmod(F.xxhash64(self.session), F.lit(self.buckets)).cast("int")
-
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        self.buckets, self.session, self.rows_per_bucket = buckets, session, rows_per_bucket
+        self.manifest = Manifest(spark, path, fanout, retain)
+
+    def _bucket(self, buckets: int):
+        return F.pmod(F.xxhash64(self.session), F.lit(buckets)).cast("int")
+
+    def _folder(self, kind: str, segment: dict) -> str:
+        return f"{self.path}/{kind}/{segment['id']}"
+
+    def _read(self, kind: str, segments: list[dict]) -> DataFrame:
+        """Rows of several segments, which may differ in layout."""
+        parts = [self.spark.read.parquet(self._folder(kind, s)).drop("_bucket") for s in segments]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    def _buckets_for(self, rows: int) -> int:
+        return self.buckets or max(1, -(-rows // self.rows_per_bucket))
+
+    def _write_raw(self, rows: DataFrame, segment: dict) -> None:
+        n = segment["buckets"]
+        if n == 1:
+            rows.write.mode("overwrite").parquet(self._folder("raw", segment))
+        else:
+            # Rebalancing gives a bucket few files and still cuts one that a hot session makes too large.
+            (rows.withColumn("_bucket", self._bucket(n)).hint("rebalance", "_bucket")
+             .write.mode("overwrite").partitionBy("_bucket").parquet(self._folder("raw", segment)))
+
+    def _history(self, segments: list[dict], touched: DataFrame) -> DataFrame:
+        """All rows of the touched sessions; of every segment only their buckets are read."""
+        parts, wanted = [], {}
+        for s in segments:
+            rows, n = self.spark.read.parquet(self._folder("raw", s)), s["buckets"]
+            if n > 1:
+                if n not in wanted:  # at most n values
+                    wanted[n] = [r[0] for r in touched.select(self._bucket(n)).distinct().collect()]
+                rows = rows.filter(F.col("_bucket").isin(wanted[n])).drop("_bucket")
+            parts.append(rows)
+        every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        return every.join(touched, self.session, "left_semi")
 
     def apply(self, batch: DataFrame, version: int) -> None:
+        """Take in a batch; its number must be higher than those before, or it was taken in already."""
+        state = self.manifest.load()
+        if version <= state["version"]:
+            return
         if "seq" in batch.columns:  # rows without an order of their own count as read
-            read = F.lit(version).cast("bigint") * (1 << 44) + F.monotonically_increasing_id()
-            batch = batch.withColumn("seq", F.coalesce("seq", read))
-        rows = batch.withColumn("bucket", self._bucket())
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/raw/version={version}")
-        new = self.spark.read.parquet(f"{self.path}/raw/version={version}")
-        touched = new.select(self.session, "bucket").distinct()
-        # At most ``buckets`` values: the scan of the raw rows is cut to these folders.
-        wanted = [r["bucket"] for r in touched.select("bucket").distinct().collect()]
-        history = self._read("raw").filter(F.col("bucket").isin(wanted) & (F.col("version") <= version))
-        rows = history.join(touched.select(self.session), self.session, "left_semi").drop("bucket", "version")
-        result = self.transform(rows)
-        result.write.mode("overwrite").parquet(f"{self.path}/result/version={version}")
-        touched.select(self.session).write.mode("overwrite").parquet(f"{self.path}/touched/version={version}")
+            place = F.col("_place") if "_place" in batch.columns else F.monotonically_increasing_id()
+            batch = batch.withColumn("seq", F.coalesce("seq", F.lit(version).cast("bigint") * (1 << 44) + place)).drop("_place")
+        new = {"id": f"v{version:012d}", "level": 0, "low": version, "high": version, "buckets": 1, "rows": 0}
+        self._write_raw(batch, new)
+        rows = self.spark.read.parquet(self._folder("raw", new))
+        new["rows"] = rows.count()  # from the files' footers
+        if self._buckets_for(new["rows"]) > 1 and new["rows"] > self.rows_per_bucket:
+            whole, new = new, new | {"id": new["id"] + "b", "buckets": self._buckets_for(new["rows"])}
+            self._write_raw(rows, new)
+            state["left"].append({"id": whole["id"], "at": version})
+        touched = self._read("raw", [new]).select(self.session).distinct()
+        touched.withColumn("_version", F.lit(version).cast("bigint")).write.mode("overwrite").parquet(self._folder("touched", new))
+        touched = self.spark.read.parquet(self._folder("touched", new)).select(self.session)
+        result = self.transform(self._history([*state["segments"], new], touched))
+        result.withColumn("_version", F.lit(version).cast("bigint")).write.mode("overwrite").parquet(self._folder("result", new))
+        state = state | {"version": version, "step": 0, "segments": [*state["segments"], new]}
+        self.manifest.commit(state)
+        while due := self.manifest.due(state):
+            state = self._merge(state, due)
+
+    def _latest(self, segments: list[dict]) -> tuple[DataFrame, DataFrame]:
+        """The newest result of every session of some segments, and the version it is from."""
+        touched = self._read("touched", segments).groupBy(self.session).agg(F.max("_version").alias("_version"))
+        return self._read("result", segments).join(touched, [self.session, "_version"], "left_semi"), touched
+
+    def _merge(self, state: dict, segments: list[dict]) -> dict:
+        """One segment for several; nothing but the layout changes."""
+        low, high, rows = segments[0]["low"], segments[-1]["high"], sum(s["rows"] for s in segments)
+        level = segments[0]["level"] + 1
+        merged = {"id": f"m{level}-{low:012d}-{high:012d}", "level": level, "low": low, "high": high,
+                  "rows": rows, "buckets": self._buckets_for(rows)}
+        self._write_raw(self._read("raw", segments), merged)
+        result, touched = self._latest(segments)
+        result.write.mode("overwrite").parquet(self._folder("result", merged))
+        touched.write.mode("overwrite").parquet(self._folder("touched", merged))
+        gone = {s["id"] for s in segments}
+        state = state | {"step": state["step"] + 1, "segments": [*(s for s in state["segments"] if s["id"] not in gone), merged],
+                         "left": [*state["left"], *({"id": i, "at": state["version"]} for i in sorted(gone))]}
+        self.manifest.commit(state)
+        return state
 
     def current(self) -> DataFrame:
-        """The latest result of every session."""
-        latest = self._read("touched").groupBy(self.session).agg(F.max("version").alias("version"))
-        return self._read("result").join(latest, [self.session, "version"], "left_semi").drop("version")
+        """The latest result of every session.
 
-    def _exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        The DataFrame stays valid for ``retain`` more versions."""
+        segments = self.manifest.load()["segments"]
+        if not segments:
+            raise ValueError("no batch has been taken in yet")
+        return self._latest(segments)[0].drop("_version")
 
     def sync(self, source: str) -> int | None:
-        """Take in a folder of JSON-lines files that grow: new files, and lines appended to known ones.
+        """Take in what has been appended to a folder of JSON-lines files, or to one file, since the last call.
 
-        A stream reads each file once, so this reads the files again, numbers their lines and
-        takes those beyond the number remembered for the file.  Returns the version of the rows
-        it took, None if there were none.  Use either this or ``watch`` on a table.
+        Returns the version of the rows it took, None if there were none.  Use either this, ``follow`` or ``watch`` on a table.
         """
-        read = self.spark.read.schema(LIVE_SCHEMA).json(source).select(
-            "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
-            F.monotonically_increasing_id().alias("_id"))
-        lines = materialize(sessionwise(materialize(read), lambda t: t.numbered("_line"), "_file", ("_start", "_id")))
-        version = 0
-        if self._exists("lines"):
-            known = self._read("lines").groupBy("_file").agg(F.max("_line").alias("_known"))
-            version = self._read("lines").agg(F.max("version")).first()[0] + 1
-            lines = lines.join(known, "_file", "left").filter(F.col("_line") > F.coalesce("_known", F.lit(0))).drop("_known")
-        if lines.isEmpty():
-            return None
-        base = F.lit(version).cast("bigint") * (1 << 44)
-        self.apply(lines.select("ts", "session", "cat", "message", (base + F.col("_id")).alias("seq")), version)
-        lines.groupBy("_file").agg(F.max("_line").alias("_line")).write.mode("overwrite").parquet(f"{self.path}/lines/version={version}")
-        return version
+        before = self.manifest.load()["version"]
+        self.follow(source, f"{self.path}/feed").awaitTermination()
+        after = self.manifest.load()["version"]
+        return after if after > before else None
+
+    def follow(self, source: str, checkpoint: str, interval: str | None = None, split_bytes: int | None = None) -> StreamingQuery:
+        """Follow JSON-lines files that grow, by the bytes appended to each; lines count once they have an end.
+
+        With ``interval`` ("5 seconds") the query keeps running, else it ends with what is there."""
+        schema = T.StructType([*LIVE_SCHEMA.fields, T.StructField("seq", T.LongType())])
+        lines = stream_lines(self.spark, source, split_bytes)
+        rows = lines.select(F.from_json("value", schema).alias("row"), F.col("place").alias("_place")).select("row.*", "_place")
+        writer = (rows.writeStream.foreachBatch(lambda batch, version: self.apply(batch, version))
+                  .option("checkpointLocation", checkpoint))
+        return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
     def watch(self, source: str, checkpoint: str, files_per_trigger: int | None = None) -> StreamingQuery:
         """Follow a folder of JSON-lines files; every new file re-runs its sessions.
 
-        Files must not grow once they are there; for a log that does, see ``sync``."""
+        Files must not grow once they are there; for a log that does, see ``follow``."""
         reader = self.spark.readStream.schema(T.StructType([*LIVE_SCHEMA.fields, T.StructField("seq", T.LongType())]))
         if files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", files_per_trigger)
