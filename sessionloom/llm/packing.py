@@ -29,7 +29,7 @@ from sessionloom.llm.textbytes import LOWER, U, prefix_sums, span_hashes, text_b
 
 LENGTH = 4096
 GROUP_BYTES = 24 << 20   # text bytes of a group; it holds a fraction of that in token ids
-CACHE_UNITS = 2_000_000  # units of text whose ids a worker remembers
+CACHE_UNITS = 500_000    # units of text whose ids a worker remembers
 SEPARATOR = 2
 
 

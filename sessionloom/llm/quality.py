@@ -66,10 +66,16 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def document_statistics(df: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, the columns of ``carry`` and ``x``, the list of statistics of the whole text."""
+def document_statistics(df: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), out: str = "x") -> DataFrame:
+    """``key``, the columns of ``carry`` and ``out``, the list of statistics of the whole text."""
     columns = [key, *carry]
     names = [f"_c{i}" for i in range(len(columns))]
+    return _private_statistics(df, columns, text).withColumnsRenamed({**dict(zip(names, columns)), "_x": out})
+
+
+def _private_statistics(df: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """``_c0``, ``_c1``, ... for ``columns``, and ``_x``: no name of the input is left to clash with."""
+    names = [f"_c{i}" for i in range(len(columns))]
     source = names[columns.index(text)] if text in columns else "_text"
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,12 +84,11 @@ def document_statistics(df: DataFrame, key: str = "doc_id", text: str = "text",
                 x = statistics(data, offsets)
                 flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, len(NAMES), dtype=np.int32), x.ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(n).slice(first, last - first) for n in names), flat], names=[*names, "x"])
+                    [*(batch.column(n).slice(first, last - first) for n in names), flat], names=[*names, "_x"])
 
-    schema = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, columns)) + ", x array<double>"
-    own = [F.col(text).alias(source)] if source not in names else []
-    renamed = df.select(*(F.col(c).alias(n) for n, c in zip(names, columns)), *own)
-    return renamed.mapInArrow(compute, schema).withColumnsRenamed(dict(zip(names, columns)))
+    schema = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, columns)) + ", _x array<double>"
+    own = [F.col(f"`{text}`").alias(source)] if source not in names else []
+    return df.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(names, columns)), *own).mapInArrow(compute, schema)
 
 
 def class_moments(rows: DataFrame, label: str, x: str = "x") -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
@@ -137,15 +142,29 @@ def held_out(key: str = "doc_id", parts: int = 5, rest: int = 0) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % parts == rest, F.lit(False))
 
 
+def _scored(df: DataFrame, labels: DataFrame, columns: list[str], key: str, text: str, label: str) -> DataFrame:
+    """``_c0`` (the key), ``_c1``, ... for ``columns``, ``_held_out`` and ``_score``."""
+    rows = materialize(_private_statistics(df, columns, text).withColumn("_held_out", held_out("_c0")))
+    taught = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label"))
+    known = rows.filter(~F.col("_held_out")).join(taught, F.col("_c0") == F.col("_key"))
+    model = discriminant(class_moments(known, "_label", "_x"))
+    return rows.withColumn("_score", score_column(model, "_x")).drop("_x")
+
+
 def score_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
                   threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
     """``key``, the columns of ``carry``, ``held_out``, ``score`` and ``predicted`` of every row.
 
     Only labels of documents that are not held out are learned from."""
-    rows = materialize(document_statistics(df, key, text, carry).withColumn("_held_out", held_out(key)))
-    taught = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label"))
-    known = rows.filter(~F.col("_held_out")).join(taught, F.col(key) == F.col("_key"))
-    model = discriminant(class_moments(known, "_label"))
-    scored = rows.withColumn("score", score_column(model))
-    return scored.select(key, *carry, F.col("_held_out").alias("held_out"), "score",
-                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+    columns = [key, *carry]
+    scored = _scored(df, labels, columns, key, text, label)
+    return scored.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)), F.col("_held_out").alias("held_out"),
+                         F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_rejected(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
+                  threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df`` with a score of at least ``threshold``, whatever their columns are called."""
+    columns = [key, *(c for c in df.columns if c != key)]
+    kept = _scored(df, labels, columns, key, text, label).filter(F.col("_score") >= threshold)
+    return kept.select(*(F.col(f"_c{columns.index(c)}").alias(c) for c in df.columns))

@@ -7,6 +7,7 @@ a text longer than the limit is a block of its own.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -14,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10   # hashing takes many bytes for one of text
 U = np.uint64
 
 SPACE = np.zeros(256, bool)
@@ -31,6 +32,14 @@ def worker_state(name: str, make: Callable[[], object]):
     return getattr(kept, name)
 
 
+def release() -> None:
+    """Give unused memory back to the system: Python workers stay for later tasks, and there are several per executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = np.asarray(x, dtype=U)
@@ -75,6 +84,7 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
         last = max(first + 1, int(np.searchsorted(ends, ends[first] + limit, "right")) - 1)
         yield first, last, every[ends[first]:ends[last]], ends[first:last + 1] - ends[first]
         first = last
+    release()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

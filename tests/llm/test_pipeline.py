@@ -53,3 +53,17 @@ def test_stages_judge_rows_that_share_an_id_by_their_texts(spark):
     rows = frame([(7, one), (7, two), (7, two), (9, two), (3, one), (8, "x y z"), (None, "q"), (None, "r")])
     assert seen(stages["near_duplicates"](spark, rows, SMALL)) == sorted(
         [(3, one), (7, two), (8, "x y z"), (None, "q"), (None, "r")], key=str)
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    names = ["x", "score", "predicted", "held_out", "_key", "kept", "spans", "t", "id", "n", "contaminated"]
+    docs = spark.createDataFrame(
+        [(i, f"Some text number {i} to keep, and long enough to be one.", *(f"{name} {i}" for name in names)) for i in range(3)],
+        "doc_id long, text string, " + ", ".join(f"{name} string" for name in names))
+    want = sorted(map(tuple, docs.collect()))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SMALL)
+        assert got.columns == docs.columns
+        assert set(map(tuple, got.collect())) <= set(want)
+    assert sorted(map(tuple, corpus_pipeline.cut_repeats(spark, docs, SMALL).collect())) == want
+    assert corpus_pipeline.pack(spark, docs, SMALL).agg({"length": "sum"}).first()[0] > 0
