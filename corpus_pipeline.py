@@ -18,10 +18,18 @@ from sessionloom.llm.repeats import text_key
 from sessionloom.operators.scale import broadcast_if_small, materialize
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of some MB of text: the default of 10,000 rows takes several times as much in every worker."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, "2000")
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality classifier rejects go."""
-    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"), carry=tuple(c for c in docs.columns if c != "doc_id"))
-    return scored.filter("NOT predicted <=> 0").select(docs.columns)
+    """Rows that the quality classifier rejects go.  Null and empty texts are judged like others; an empty table stays
+    empty, further columns stay, whatever their names."""
+    _small_batches(spark)
+    return quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -36,7 +44,9 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The text with the smallest id of each group stays, in one row; rows without an id stay."""
+    """The text with the smallest id of each group stays, in one row; rows without an id and those of null or empty
+    texts stay.  An empty table stays empty, further columns stay."""
+    _small_batches(spark)
     rows = _numbered(docs)
     copies = materialize(neardup.near_duplicates(rows, "_row").filter("NOT kept").select("_row").distinct())
     left = rows.join(broadcast_if_small(copies), "_row", "left_anti")
@@ -47,17 +57,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 200 bytes and more that occur elsewhere too are cut out of the texts."""
-    return repeats.cut_repeats(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    """Passages of 200 bytes and more that occur elsewhere too are cut out of the texts.  Every row stays, null texts stay
+    null; ``n_chars``, if there is one, is that of the text that is left.  An empty table stays empty."""
+    _small_batches(spark)
+    cut = repeats.cut_repeats(docs)
+    return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else cut
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold a passage of the benchmark go."""
+    """Rows that hold a passage of the benchmark go; null and empty texts hold none.  An empty table stays empty, further
+    columns stay."""
+    _small_batches(spark)
     return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"), by_row=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences."""
+    """The pieces of the training sequences; a null text counts as empty.  An empty table gives no rows, further columns
+    are not read."""
+    _small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 

@@ -73,13 +73,11 @@ def _row_bytes(df: DataFrame) -> Column:
 def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
     """True if the whole of ``df`` stays under the broadcast bounds.
 
-    Reads at most ``max_rows + 1`` rows.  Call it on something cheap to compute: a table
-    that lies on disk, or the result of ``materialize``.
+    Rows and bytes are added up where they lie; one row per partition moves.  Call it on something
+    cheap to compute: a table that lies on disk, or the result of ``materialize``.
     """
     max_rows = max_rows or setting(df.sparkSession, BROADCAST_ROWS, BROADCAST_ROWS_DEFAULT)
-    size = df.limit(max_rows + 1).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes(df)).alias("bytes")
-    ).first()
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes(df)).alias("bytes")).first()
     return size["rows"] <= max_rows and (size["bytes"] or 0) <= BROADCAST_BYTES
 
 
