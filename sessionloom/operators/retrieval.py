@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.operators.ordered import global_number, sessionwise
+from sessionloom.operators.ordered import global_number
 from sessionloom.operators.pairs import matrix, plain_strings
-from sessionloom.operators.scale import materialize
+from sessionloom.operators.scale import broadcast_if_small, materialize
 from sessionloom.operators.ranking import topk
 
 # Items per block of the score matrix.
@@ -80,40 +82,96 @@ def retrieve_docs(queries: DataFrame, docs: DataFrame, k: int = 3, query: str =
         F.array_join(F.transform("_l", lambda x: x[text]), "\n").alias("context"))
 
 
+def _fill_table(tokens: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a range does to the batch that is open when it begins.
+
+    The open batch ends before the first document that does not fit.  Of each document that can be that
+    one: where it lies, the sum before it, how full the last batch is at the end and how many
+    batches have begun.  There are at most as many as documents fit into a batch.
+    """
+    sums = np.concatenate(([0], np.cumsum(tokens)))
+    n = len(tokens)
+    breaks = np.arange(min(n, int(np.searchsorted(sums, most, "right"))))
+    breaks = breaks[(tokens[breaks] > 0) | (breaks == 0)]
+    at, begun, filled = breaks.copy(), np.zeros(len(breaks), np.int64), np.zeros(len(breaks), np.int64)
+    alive = np.arange(len(breaks))
+    while len(alive):
+        here = at[alive]
+        begun[alive] += 1
+        after = np.maximum(here + 1, np.searchsorted(sums, sums[here] + most, "right") - 1)
+        ended = after >= n
+        filled[alive[ended]] = sums[n] - sums[here[ended]]
+        at[alive] = after
+        alive = alive[~ended]
+    return breaks, sums[breaks], filled, begun
+
+
+def _first_break(sums: np.ndarray, filled: int | None, most: int) -> int:
+    """Index in ``sums`` (sums before possible breaks) of the document that does not fit a batch filled so far."""
+    if filled is None or filled > most:
+        return 0
+    return int(np.searchsorted(sums, most - filled, "right")) - 1
+
+
 def pack_batches(docs: DataFrame, max_tokens: int = 800_000, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
     """Greedy batches in key order: a new one starts when the sum would pass ``max_tokens``.
 
-    No task walks all documents.  With running sums, every document knows where a batch that
-    starts there would end; the true starts are found from the first document by doubling
-    those jumps, which takes as many rounds as the logarithm of the number of batches.
+    No task walks all documents.  The sorted ranges of a range partition each tell what they make of
+    any batch that is still open when they begin (``_fill_table``; as many entries as documents fit
+    into a batch, at most).  One pass over these tables gives every range the fill it begins
+    with, and the ranges number their documents side by side.  Documents without a token count as 0.
     """
-    plain = docs.select(key, F.col(tokens).cast("bigint").alias("_t"), F.lit(0).alias("_all"))
-    summed = materialize(sessionwise(
-        plain, lambda t: t.numbered("_n").running(_sum=("sum", F.col("_t"))), "_all", (key,)))
-    # For a batch that starts at document n: the last document whose running sum still fits.
-    marks = summed.select("_all", F.col("_sum").alias("_at"), F.lit(0).alias("_side"),
-                          F.col("_n").alias("_doc"), F.lit(None).cast("bigint").alias("_ask"))
-    asks = summed.select("_all", (F.col("_sum") - F.col("_t") + max_tokens).alias("_at"), F.lit(1).alias("_side"),
-                         F.lit(None).cast("bigint").alias("_doc"), F.col("_n").alias("_ask"))
-    fitted = sessionwise(marks.unionByName(asks), lambda t: t.running(_fit=("max", F.col("_doc"))), "_all",
-                         ("_at", "_side", "_doc", "_ask"))
-    jumps = materialize(fitted.filter(F.col("_ask").isNotNull()).select(
-        F.col("_ask").alias("_from"), (F.greatest(F.coalesce("_fit", F.lit(0)), F.col("_ask")) + 1).alias("_to")))
-    starts = materialize(summed.filter(F.col("_n") == 1).select("_n"))
-    known = starts.count()
-    while known:
-        reached = starts.join(jumps, F.col("_n") == F.col("_from")).select(F.col("_to").alias("_n"))
-        starts = materialize(starts.unionByName(reached).distinct())
-        now = starts.count()
-        if now == known:
-            break
-        known = now
-        far = jumps.select(F.col("_from").alias("_f2"), F.col("_to").alias("_t2"))
-        jumps = materialize(jumps.join(far, F.col("_to") == F.col("_f2"), "left").select(
-            "_from", F.coalesce("_t2", "_to").alias("_to")))
-    marked = summed.join(starts.withColumn("_start", F.lit(1)), "_n", "left")
-    numbered = sessionwise(marked, lambda t: t.running(batch=("sum", F.coalesce("_start", F.lit(0)))), "_all", ("_n",))
-    return docs.join(numbered.select(key, F.col("batch").cast("bigint").alias("batch")), key)
+    kinds = ", ".join(f"{name} {docs.schema[c].dataType.simpleString()}" for name, c in (("_k", key), ("_t", tokens)))
+    plain = docs.select(F.col(key).alias("_k"), F.col(tokens).alias("_t"), F.coalesce(F.col(tokens).cast("bigint"), F.lit(0)).alias("_size"))
+    names, lists = ["_part", "_n", "_k", "_t", "_size", "sums", "filled", "begun"], pa.list_(pa.int64())
+
+    def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, sizes, at = TaskContext.get().partitionId(), [np.zeros(0, np.int64)], 0
+        for batch in batches:
+            n, same = batch.num_rows, [batch.column(c) for c in ("_k", "_t", "_size")]
+            sizes.append(batch.column("_size").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), *same,
+                                              *(pa.nulls(n, lists) for _ in range(3))], names=names)
+            at += n
+        if at:  # the table of the range: a row without a place in it, with the sum of its sizes
+            whole = np.concatenate(sizes)
+            _, *table = _fill_table(whole, max_tokens)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, same[0].type), pa.nulls(1, same[1].type),
+                                              pa.array([whole.sum()], pa.int64()), *(pa.array([x], lists) for x in table)], names=names)
+
+    ranges = materialize(plain.repartitionByRange("_k").sortWithinPartitions("_k").mapInArrow(
+        summarize, f"_part int, _n bigint, {kinds}, _size bigint, sums array<bigint>, filled array<bigint>, begun array<bigint>"))
+
+    def chain(tables: pa.Table) -> pa.Table:
+        rows, filled, batch = [], None, 0
+        for t in sorted(tables.to_pylist(), key=lambda t: t["_part"]):
+            rows.append((t["_part"], filled, batch))
+            if filled is not None and filled + t["_size"] <= max_tokens:
+                filled += t["_size"]
+            else:
+                at = _first_break(np.array(t["sums"]), filled, max_tokens)
+                filled, batch = t["filled"][at], batch + t["begun"][at]
+        return pa.table(dict(zip(("_part", "filled", "batch"), map(pa.array, zip(*rows), (pa.int32(), pa.int64(), pa.int64())))))
+
+    # One row per range; the tables of all ranges meet in one task, the documents never do.
+    entries = materialize(ranges.filter("_n IS NULL").select("_part", "_size", "sums", "filled", "begun").groupBy()
+                          .applyInArrow(chain, "_part int, filled bigint, batch bigint"))
+
+    def number(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_n")
+        sums = np.concatenate(([0], np.cumsum(table.column("_size").to_numpy())))
+        starts = np.zeros(len(sums) - 1, np.int64)
+        at = _first_break(sums, table.column("filled")[0].as_py(), max_tokens)
+        while at < len(starts):
+            starts[at] = 1
+            at = max(at + 1, int(np.searchsorted(sums, sums[at] + max_tokens, "right")) - 1)
+        return table.select(["_k", "_t"]).append_column("batch", pa.array(table.column("batch")[0].as_py() + np.cumsum(starts)))
+
+    numbered = (ranges.filter("_n IS NOT NULL").select("_part", "_n", "_k", "_t", "_size").join(broadcast_if_small(entries), "_part")
+                .groupBy("_part").applyInArrow(number, f"{kinds}, batch bigint").withColumnsRenamed({"_k": key, "_t": tokens}))
+    if set(docs.columns) == {key, tokens}:
+        return numbered.select(*docs.columns, "batch")
+    return docs.join(numbered.drop(tokens), key)
 
 
 def predict(sequences: DataFrame, model: Callable[[pd.DataFrame], np.ndarray], k: int = 5,

@@ -198,6 +198,21 @@ def test_pack_batches(spark, hot):
     assert [got[i] for i in range(len(tokens))] == brute.greedy_batches(tokens, 100)
 
 
+def test_pack_batches_over_many_ranges(spark):
+    rng = random.Random(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for most, sizes in ((40, (1, 60)), (40, (0, 3)), (10_000, (0, 9)), (7, (0, 1))):
+            tokens = [rng.randint(*sizes) if rng.random() < 0.9 else None for _ in range(300)]
+            df = spark.createDataFrame(list(enumerate(tokens)), "doc_id bigint, tokens bigint").withColumn("text", F.lit("x"))
+            got = {r["doc_id"]: r["batch"] for r in pack_batches(df, most).collect()}
+            assert [got[i] for i in range(300)] == brute.greedy_batches([t or 0 for t in tokens], most)
+            assert pack_batches(df.drop("text"), most).columns == ["doc_id", "tokens", "batch"]
+        assert pack_batches(df.limit(0), 5).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_lists_in_pieces(spark):
     rows, df = items_frame(spark, 8)
     out = sessions.groupby_lists(df, lists=["item"], counts=["item"], piece_rows=10)
