@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.textbytes import BASE_INVERSE, U, mix, powers, prefix_sums, span_hashes, text_blocks
+from sessionloom.llm.textbytes import BASE_INVERSE, U, mix, powers, prefix_sums, release, span_hashes, text_blocks
 from sessionloom.operators.scale import broadcast_if_small, materialize
 
 LENGTH = 200
 GRAM = 40
 GROUP = 4096            # different pieces of an anchor that one shard takes
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20   # the index takes over a hundred bytes for one of text while it is built
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -254,6 +254,7 @@ def _match(cut: DataFrame, length: int, gram: int, group: int, shard_bytes: int)
             if row["single"]:
                 found += [(row["anchor"], row["piece"], row["at"] + a, row["at"] + b) for a, b in spans]
         columns = list(zip(*found)) if found else [(), (), (), ()]
+        release()
         return pa.table({"anchor": pa.array(columns[0], pa.int64()), "piece": pa.array(columns[1], pa.int64()),
                          "a": pa.array(columns[2], pa.int32()), "b": pa.array(columns[3], pa.int32())})
 
