@@ -261,6 +261,18 @@ def _(spark, sf):
     return live.current().select("session", "timestamp", "seq", "cat", "item_id", "merge_count")
 
 
+@query("live_state", with_(LIVE_RESULT, "SELECT session, timestamp, seq, cat, item_id, merge_count FROM live_result"))
+def _(spark, sf):
+    """The log in two steps, with the rows of the sessions in the state store."""
+    log, dictionary, pairs, vocabulary, info = _live_inputs(spark, sf)
+    path = V.scratch(spark)
+    live = LiveTable(spark, f"{path}/out", lambda rows: live_filter(rows, dictionary, pairs, vocabulary, info, V.PATTERNS))
+    for part in range(2):
+        log.filter(F.col("seq") % 2 == part).select("ts", "session", "cat", "message", "seq").write.mode("append").json(f"{path}/in")
+        live.sync(f"{path}/in", stateful=True)
+    return live.current().select("session", "timestamp", "seq", "cat", "item_id", "merge_count")
+
+
 @query("live_history", """
 SELECT l_orderkey AS session, row_number() OVER (PARTITION BY l_orderkey
   ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS position, l_partkey AS item FROM lineitem""")

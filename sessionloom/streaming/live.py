@@ -26,6 +26,7 @@ from sessionloom.operators.workflows import merge_first_match_step
 from sessionloom.sources.readers import LIVE_SCHEMA
 from sessionloom.sources.tail import stream_lines
 from sessionloom.streaming.segments import Manifest
+from sessionloom.streaming.state import touched_sessions, use_rocksdb
 
 
 def live_filter(log: DataFrame, dictionary: DataFrame, pairs: DataFrame, vocabulary: DataFrame,
@@ -122,7 +123,7 @@ class LiveTable:
     def _history(self, segments: list[dict], touched: DataFrame) -> DataFrame:
         """All rows of the touched sessions; of every segment only their buckets are read."""
         parts, wanted = [], {}
-        for s in segments:
+        for s in [s for s in segments if s["buckets"]]:
             rows, n = self.spark.read.parquet(self._folder("raw", s)), s["buckets"]
             if n > 1:
                 if n not in wanted:  # at most n values
@@ -148,12 +149,30 @@ class LiveTable:
             whole, new = new, new | {"id": new["id"] + "b", "buckets": self._buckets_for(new["rows"])}
             self._write_raw(rows, new)
             state["left"].append({"id": whole["id"], "at": version})
-        touched = self._read("raw", [new]).select(self.session).distinct()
-        touched.withColumn("_version", F.lit(version).cast("bigint")).write.mode("overwrite").parquet(self._folder("touched", new))
-        touched = self.spark.read.parquet(self._folder("touched", new)).select(self.session)
-        result = self.transform(self._history([*state["segments"], new], touched))
-        result.withColumn("_version", F.lit(version).cast("bigint")).write.mode("overwrite").parquet(self._folder("result", new))
-        state = state | {"version": version, "step": 0, "segments": [*state["segments"], new]}
+        touched = self._touch(self._read("raw", [new]), new)
+        self._finish(self._history([*state["segments"], new], touched), state, new)
+
+    def apply_sessions(self, rows: DataFrame, version: int) -> None:
+        """Like ``apply``, with all rows so far of the sessions of the batch; no raw rows are kept."""
+        state = self.manifest.load()
+        if version <= state["version"]:
+            return
+        rows = materialize(rows)  # a stream's batch runs its state once
+        new = {"id": f"v{version:012d}", "level": 0, "low": version, "high": version, "buckets": 0, "rows": 0}
+        self._touch(rows, new)
+        self._finish(rows, state, new)
+
+    def _touch(self, rows: DataFrame, new: dict) -> DataFrame:
+        """Write and return the sessions of a batch."""
+        sessions = rows.select(self.session).distinct().withColumn("_version", F.lit(new["low"]).cast("bigint"))
+        sessions.write.mode("overwrite").parquet(self._folder("touched", new))
+        return self.spark.read.parquet(self._folder("touched", new)).select(self.session)
+
+    def _finish(self, history: DataFrame, state: dict, new: dict) -> None:
+        """Write the result of the touched sessions and make the batch part of the table."""
+        result = self.transform(history).withColumn("_version", F.lit(new["low"]).cast("bigint"))
+        result.write.mode("overwrite").parquet(self._folder("result", new))
+        state = state | {"version": new["low"], "step": 0, "segments": [*state["segments"], new]}
         self.manifest.commit(state)
         while due := self.manifest.due(state):
             state = self._merge(state, due)
@@ -167,9 +186,11 @@ class LiveTable:
         """One segment for several; nothing but the layout changes."""
         low, high, rows = segments[0]["low"], segments[-1]["high"], sum(s["rows"] for s in segments)
         level = segments[0]["level"] + 1
+        kept = [s for s in segments if s["buckets"]]  # those that hold raw rows
         merged = {"id": f"m{level}-{low:012d}-{high:012d}", "level": level, "low": low, "high": high,
-                  "rows": rows, "buckets": self._buckets_for(rows)}
-        self._write_raw(self._read("raw", segments), merged)
+                  "rows": rows, "buckets": self._buckets_for(rows) if kept else 0}
+        if kept:
+            self._write_raw(self._read("raw", kept), merged)
         result, touched = self._latest(segments)
         result.write.mode("overwrite").parquet(self._folder("result", merged))
         touched.write.mode("overwrite").parquet(self._folder("touched", merged))
@@ -188,25 +209,34 @@ class LiveTable:
             raise ValueError("no batch has been taken in yet")
         return self._latest(segments)[0].drop("_version")
 
-    def sync(self, source: str) -> int | None:
+    def sync(self, source: str, stateful: bool = False) -> int | None:
         """Take in what has been appended to a folder of JSON-lines files, or to one file, since the last call.
 
         Returns the version of the rows it took, None if there were none.  Use either this, ``follow`` or ``watch`` on a table.
         """
         before = self.manifest.load()["version"]
-        self.follow(source, f"{self.path}/feed").awaitTermination()
+        self.follow(source, f"{self.path}/feed", stateful=stateful).awaitTermination()
         after = self.manifest.load()["version"]
         return after if after > before else None
 
-    def follow(self, source: str, checkpoint: str, interval: str | None = None, split_bytes: int | None = None) -> StreamingQuery:
+    def follow(self, source: str, checkpoint: str, interval: str | None = None, split_bytes: int | None = None,
+               stateful: bool = False) -> StreamingQuery:
         """Follow JSON-lines files that grow, by the bytes appended to each; lines count once they have an end.
 
-        With ``interval`` ("5 seconds") the query keeps running, else it ends with what is there."""
+        With ``interval`` ("5 seconds") the query keeps running, else it ends with what is there.  A
+        ``stateful`` query keeps the rows of sessions in Spark's state store, below ``checkpoint``, and writes
+        no raw rows: the cost of a batch is that of the sessions it touches.  A table is followed one way or the other.
+        """
         schema = T.StructType([*LIVE_SCHEMA.fields, T.StructField("seq", T.LongType())])
         lines = stream_lines(self.spark, source, split_bytes)
         rows = lines.select(F.from_json("value", schema).alias("row"), F.col("place").alias("_place")).select("row.*", "_place")
-        writer = (rows.writeStream.foreachBatch(lambda batch, version: self.apply(batch, version))
-                  .option("checkpointLocation", checkpoint))
+        take = self.apply
+        if stateful:
+            use_rocksdb(self.spark)
+            rows, take = touched_sessions(rows.withColumnRenamed("_place", "place"), self.session), self.apply_sessions
+        writer = rows.writeStream.foreachBatch(lambda batch, version: take(batch, version)).option("checkpointLocation", checkpoint)
+        if stateful:
+            writer = writer.outputMode("update")
         return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
     def watch(self, source: str, checkpoint: str, files_per_trigger: int | None = None) -> StreamingQuery:

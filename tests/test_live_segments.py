@@ -1,5 +1,6 @@
 """Files that grow, and the segments of a live table."""
 
+import json
 import os
 import random
 
@@ -138,3 +139,35 @@ def test_three_appends_to_one_file(spark, tmp_path):
         assert live.sync(str(log)) == (None if version == 1 else min(version, 1))
     rows = live.current().filter("session = 'a'").orderBy("seq").collect()
     assert [r["message"] for r in rows] == ["1", "3", "4"]
+
+
+@pytest.mark.parametrize("cuts", [1, 4])
+def test_sessions_in_the_state_equal_the_whole_log(spark, tmp_path, cuts):
+    random.seed(cuts)
+    rows = [(f"t{i}", random.choice("abcde"), random.choice(["c", None]), f"m{i}") for i in range(60)]
+    seen = []
+
+    def transform(frame):
+        """Per session: number of rows and the messages in order; a session with a null first row has no result."""
+        seen.append(frame.count())
+        lists = frame.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("seq", "message", "cat"))).alias("l"))
+        return lists.filter("l[0].cat IS NOT NULL").select("session", F.array_join(F.transform("l", lambda x: x["message"]), ",").alias("message"))
+
+    log, live = tmp_path / "log.json", LiveTable(spark, str(tmp_path / "out"), transform, fanout=2)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    edges = [0, *sorted(random.sample(range(1, 60), cuts - 1)), 60]
+    try:
+        for a, b in zip(edges, edges[1:]):
+            with open(log, "a") as file:
+                file.writelines(json.dumps(dict(zip(("ts", "session", "cat", "message"), r))) + "\n" for r in rows[a:b])
+            assert live.sync(str(log), stateful=True) is not None
+        assert live.sync(str(log), stateful=True) is None
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    want = []
+    for s in "abcde":
+        mine = [r for r in rows if r[1] == s]
+        if mine and mine[0][2] is not None:
+            want.append((s, ",".join(r[3] for r in mine)))
+    assert found(live.current()) == want and max(seen) <= 60
+    assert not (tmp_path / "out" / "raw").exists()
