@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from sessionloom.constants import GROUP_SIMILARITY
 from sessionloom.functions.vectors import l2_distance, l2_norm
-from sessionloom.operators.pairs import TILE, matrix, number_points, tile_pairs
+from sessionloom.operators.moments import vector_aggregate, vector_scatter
+from sessionloom.operators.pairs import TILE, matrix, number_points, plain_strings, tile_pairs
 from sessionloom.operators.scale import broadcast_if_small, materialize, same_keys, small_table
 
 # Similarities are ranked as integers of this many bits, ``_STEP`` bits per pass.
@@ -44,42 +45,55 @@ def group_similarity(words: DataFrame, group: str = "id", key: str = "message",
     """Size, and mean, median and population deviation of the pairwise cosine similarities.
 
     Similarities are taken to 2**-44 for the median.  A group that fits one tile is done at
-    once.  In larger groups mean and deviation come from sums per tile pair, and the median
-    from counting in four passes, so no list of pairs exists anywhere.
+    once.  In larger groups mean and deviation follow from the mean vector and the centred scatter matrix
+    of the unit vectors, one pass over the rows, and the median from counting pairs in four
+    passes, so no list of pairs exists anywhere.
     """
     # A zero vector stays zero, so its similarities are 0.
     unit = F.transform(F.col(vector).cast("array<double>"), lambda x: F.coalesce(F.try_divide(x, l2_norm(vector)), F.lit(0.0)))
     points = materialize(number_points(words.select(group, key, unit.alias("unit")), group, [key]))
-    sizes = group_sizes(points, group).filter(F.col("size") >= 2)
+    sizes = materialize(group_sizes(points, group).filter(F.col("size") >= 2))
+    kind = points.schema[group].dataType.simpleString()
 
-    def sums(name, left, right):
-        values, ranks = _quantized_pairs(left, right)
+    def whole(table: pd.DataFrame) -> pd.DataFrame:
+        values, ranks = _quantized_pairs(table, None)
         # The same cells as in the search over several tiles, so that one definition holds for all sizes.
-        cells = np.sort(ranks)[[(len(ranks) - 1) // 2, len(ranks) // 2]] if right is None and len(ranks) else None
-        middle = float(np.mean((cells + 0.5) / ((1 << _BITS) - 1) * 2.0 - 1.0)) if cells is not None else None
-        return pd.DataFrame({group: [name], "n": [len(values)], "s": [float(values.sum())],
-                             "ss": [float((values * values).sum())], "own_median": [middle]})
+        cells = np.sort(ranks)[[(len(ranks) - 1) // 2, len(ranks) // 2]]
+        middle = float(np.mean((cells + 0.5) / ((1 << _BITS) - 1) * 2.0 - 1.0))
+        return plain_strings(pd.DataFrame({group: [table[group].iloc[0]], "length": [len(table)], "mean_similarity": [float(values.mean())],
+                                           "median_similarity": [middle], "std_dev_similarity": [float(values.std())]}))
 
-    kind = points.schema[group].dataType.simpleString()
-    parts = tile_pairs(points, group, sums,
-                       f"{group} {kind}, n bigint, s double, ss double, own_median double",
-                       ["unit"], tile)
-    moments = materialize(parts.groupBy(group).agg(
-        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),
-        F.count(F.lit(1)).alias("tiles"), F.max("own_median").alias("own_median")).filter(F.col("n") > 0))
-    large = moments.filter(F.col("tiles") > 1)
-    out = sizes.join(broadcast_if_small(moments), group)
+    def of(part: DataFrame) -> DataFrame:
+        return points.alias("p").join(broadcast_if_small(part).alias("s"), same_keys("p", "s", [group]), "left_semi")
+
+    small = of(sizes.filter(F.col("size") <= tile)).groupBy(group).applyInPandas(
+        whole, f"{group} {kind}, length bigint, mean_similarity double, median_similarity double, std_dev_similarity double")
+    large = sizes.filter(F.col("size") > tile)
     if large.isEmpty():
-        out = out.withColumn("median_similarity", F.col("own_median"))
-    else:
-        medians = _large_medians(points, large, group, kind, tile)
-        out = out.join(broadcast_if_small(medians), group, "left").withColumn(
-            "median_similarity", F.coalesce("_median", "own_median"))
-    mean = F.col("s") / F.col("n")
-    return out.select(group, F.col("size").alias("length"), mean.alias("mean_similarity"),
-                      "median_similarity",
-                      F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0)))
-                      .alias("std_dev_similarity"))
+        return small
+    large_points = of(large)
+    # A unit vector has length 1, a zero vector 0: sums of their squares and of the squares' deviations.
+    zeros = F.forall("unit", lambda x: x == 0).cast("int")
+    lengths = large_points.groupBy(group).agg(F.sum(zeros).cast("bigint").alias("zeros"))
+
+    def pair_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, n, mean, scatter, zero in batch.itertuples(index=False, name=None):
+                mean = np.asarray(mean, np.float64)
+                scatter = np.frombuffer(scatter).reshape(len(mean), len(mean))
+                square, ones, pairs = float(mean @ mean), n - zero, n * (n - 1)
+                shift = (n * square - ones) / pairs                       # of the mean similarity from the squared mean vector
+                spread = 2 * n * float(mean @ scatter @ mean) + float((scatter * scatter).sum())   # about it, over all (i, j) ...
+                spread -= ones * (1 - square) ** 2 + zero * square**2     # ... but i = j
+                rows.append((name, n, square + shift, float(np.sqrt(max(0.0, spread / pairs - shift * shift)))))
+            yield plain_strings(pd.DataFrame(rows, columns=[group, "length", "mean_similarity", "std_dev_similarity"]))
+
+    moments = (vector_scatter(large_points, group, "unit").join(lengths, group)
+               .mapInPandas(pair_moments, f"{group} {kind}, length bigint, mean_similarity double, std_dev_similarity double"))
+    asked = materialize(large.select(group, (F.col("size") * (F.col("size") - 1) / 2).cast("bigint").alias("n")))
+    medians = _large_medians(points, asked, group, kind, tile).withColumnRenamed("_median", "median_similarity")
+    return small.unionByName(moments.join(medians, group).select(small.columns))
 
 
 def _large_medians(points: DataFrame, large: DataFrame, group: str, kind: str, tile: int) -> DataFrame:
@@ -123,10 +137,7 @@ def centroid_label(words: DataFrame, keys: Sequence[str] = ("id",), order: str =
     """Label of each group: its only English message if there is exactly one, else the
     translated text of the member nearest to the mean vector (first in ``order`` on ties)."""
     keys = list(keys)
-    dims = words.select(*keys, F.posexplode(F.col(vector).cast("array<double>")).alias("_d", "_x"))
-    mean = (dims.groupBy(*keys, "_d").agg(F.avg("_x").alias("_m"))
-            .groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_d", "_m"))),
-                                            lambda x: x["_m"]).alias("_mean")))
+    mean = vector_aggregate(words, keys, vector, "mean", "_mean")
     joined = words.alias("w").join(small_table(mean).alias("m"), same_keys("w", "m", keys)).select(
         "w.*", "m._mean")
     english = F.col("message_language") == "en"

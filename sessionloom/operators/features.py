@@ -12,6 +12,7 @@ from sessionloom.constants import MAX_LIST_LENGTH, MIN_SESSION_LENGTH, RESERVED_
 from sessionloom.functions.vectors import truncate_l2
 from sessionloom.operators.filters import min_length_sessions
 from sessionloom.operators.lookups import first_wins
+from sessionloom.operators.moments import vector_aggregate
 from sessionloom.operators.ordered import global_number, sessionwise
 from sessionloom.operators.scale import broadcast_if_small, materialize, small_table
 from sessionloom.operators.sessions import groupby_lists, time_intervals
@@ -111,15 +112,9 @@ def embedding_table(vectors: DataFrame, codes: DataFrame, dims: int, item: str =
     return zeros.unionByName(rows).orderBy("code")
 
 
-_COMBINE = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}
-
-
 def combine_vectors(df: DataFrame, key: str, vector: str, how: str = "mean") -> DataFrame:
-    """One vector per key from the vectors of its rows; dimensions combine before the shuffle."""
-    flat = df.select(key, F.posexplode(F.col(vector).cast("array<double>")).alias("_d", "_x"))
-    return (flat.groupBy(key, "_d").agg(_COMBINE[how]("_x").alias("_v"))
-            .groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_d", "_v"))),
-                                          lambda x: x["_v"]).alias("vector")))
+    """One vector per key from the vectors of its rows; whole vectors combine before the shuffle."""
+    return vector_aggregate(df, [key], vector, how)
 
 
 def _add(left: Column, right: Column) -> Column:
