@@ -15,6 +15,7 @@ from sessionloom.operators.pairs import plain_strings
 from sessionloom.operators.scale import broadcast_if_small, hot_groups, materialize, once, same_keys, small_table
 
 TILE = 20_000
+SCAN_ROWS = 250_000   # rows that a task of the scan in Python should not pass by much
 
 
 def label_rows(df: DataFrame, session: str = "session", order=("ts", "seq"), out: str = "label",
@@ -113,13 +114,12 @@ def _dropped_in(rows: pd.DataFrame, before: int | None, after: int | None, n_nex
     return dropped
 
 
-def _scan_tiles(rows: DataFrame, schema: str, *view) -> DataFrame:
+def _scan_tiles(rows: DataFrame, schema: str, partitions: int, *view) -> DataFrame:
     """``_dropped_in`` for every (session, tile).
 
     Tiles are sorted inside the partitions and streamed, many to a batch, so short sessions
     do not pay for a call each; at most one tile is held over from batch to batch.  The
-    number of partitions is fixed: the work per row is in Python, and sizing partitions by
-    bytes would put too much of it into one task.
+    work per row is in Python, so the number of partitions follows the rows, not their bytes.
     """
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -149,7 +149,6 @@ def _scan_tiles(rows: DataFrame, schema: str, *view) -> DataFrame:
         if held:
             yield done(pd.concat(held))
 
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (rows.repartition(partitions, "_s", "_tile").sortWithinPartitions("_s", "_tile", "label")
             .mapInPandas(scan, schema))
 
@@ -168,6 +167,9 @@ def dropped_labels(df: DataFrame, pairs: DataFrame, before: int | None = 10, aft
     """
     allowed = pairs.groupBy(F.col("command").alias("_command")).agg(
         F.collect_set("event").alias("allowed"))
+    df = once(df)
+    # Counted from the files' footers.
+    partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SCAN_ROWS))
     rows = df.select(F.col(session).alias("_s"), F.col(label).alias("label"), F.col(ts).alias("ts"),
                      F.col(cat).alias("cat"), F.col(message).alias("text"))
     rows = rows.filter(F.col("cat").isin(C.LOW_LEVEL, *C.HIGH_LEVEL)).join(
@@ -177,7 +179,7 @@ def dropped_labels(df: DataFrame, pairs: DataFrame, before: int | None = 10, aft
     schema = f"_s {rows.schema['_s'].dataType.simpleString()}, _tile bigint, label bigint"
     view = (before, after, n_next, n_prev)
     if before is None or after is None:
-        gone = _dropped_without_window(rows, schema, n_next, n_prev, tile)
+        gone = _dropped_without_window(rows, schema, partitions, n_next, n_prev, tile)
         return gone.select(F.col("_s").alias(session), F.col("label").alias(label))
     tiled = with_halo(rows, "label", tile, before, after, "_tile", "home")
 
@@ -189,7 +191,7 @@ def dropped_labels(df: DataFrame, pairs: DataFrame, before: int | None = 10, aft
                 incoming.withColumn("gone", F.lit(True)).alias("g"),
                 same_keys("r", "g", ["_s", "_tile", "label"]), "left"
             ).select("r.*", F.coalesce(F.col("g.gone"), F.lit(False)).alias("gone"))
-        return materialize(_scan_tiles(marked, schema, *view))
+        return materialize(_scan_tiles(marked, schema, partitions, *view))
 
     def border(decisions: DataFrame) -> DataFrame:
         """What each tile is told by the next one: its drops close to the border."""
@@ -214,7 +216,21 @@ def dropped_labels(df: DataFrame, pairs: DataFrame, before: int | None = 10, aft
     return decisions.select(F.col("_s").alias(session), F.col("label").alias(label)).distinct()
 
 
-def _dropped_without_window(rows: DataFrame, schema: str, n_next: int, n_prev: int, tile: int) -> DataFrame:
+def _first_of_tiles(part: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of every session by label.
+
+    Counts per tile tell which tiles are taken whole; only the tile that the n-th row lies in is ranked."""
+    counts = part.groupBy("_s", "_tile").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy("_s").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).filter(F.col("_before") < n)
+    held = part.join(small_table(counts), ["_s", "_tile"])
+    whole = held.filter(F.col("_before") + F.col("_rows") <= n)
+    cut = held.filter(F.col("_before") + F.col("_rows") > n).withColumn(
+        "_nth", F.row_number().over(Window.partitionBy("_s", "_tile").orderBy("label"))).filter(F.col("_before") + F.col("_nth") <= n)
+    return whole.unionByName(cut.drop("_nth")).drop("_rows", "_before")
+
+
+def _dropped_without_window(rows: DataFrame, schema: str, partitions: int, n_next: int, n_prev: int, tile: int) -> DataFrame:
     """Dropped labels if every command sees its whole session.
 
     A session up to ``tile`` rows is one group.  A longer one is walked tile by tile from
@@ -224,7 +240,7 @@ def _dropped_without_window(rows: DataFrame, schema: str, n_next: int, n_prev: i
     """
     def whole(part: DataFrame) -> DataFrame:
         flagged = part.withColumns({"_tile": F.lit(0).cast("bigint"), "home": F.lit(True), "gone": F.lit(False)})
-        return _scan_tiles(flagged, schema, None, None, n_next, n_prev).select("_s", "label")
+        return _scan_tiles(flagged, schema, partitions, None, None, n_next, n_prev).select("_s", "label")
 
     long = hot_groups(rows, ["_s"], tile)
     if long is None:
@@ -234,18 +250,16 @@ def _dropped_without_window(rows: DataFrame, schema: str, n_next: int, n_prev: i
     tiled = materialize(rows.alias("r").join(keys.alias("k"), same_keys("r", "k", ["_s"]), "left_semi")
                         .withColumn("_tile", F.floor(F.col("label") / tile)))
     gone = materialize(tiled.select("_s", "label").limit(0))
-    by_label = Window.partitionBy("_s").orderBy("label")
     for at in range(tiled.agg(F.max("_tile")).first()[0], -1, -1):
         here = tiled.filter(F.col("_tile") == at)
         open_events = tiled.filter(F.col("cat") == C.LOW_LEVEL).alias("e").join(
             gone.alias("g"), same_keys("e", "g", ["_s", "label"]), "left_anti")
         since = broadcast_if_small(materialize(here.groupBy("_s").agg(F.min("ts").alias("_since"))))
-        away = open_events.filter(F.col("_tile") != at).join(since, "_s").withColumn(
-            "_place", F.when(F.col("_tile") > at, "after").when(F.col("ts") >= F.col("_since"), "same"))
+        away = materialize(open_events.filter(F.col("_tile") != at).join(since, "_s").withColumn(
+            "_place", F.when(F.col("_tile") > at, "after").when(F.col("ts") >= F.col("_since"), "same")))
 
         def first(part: DataFrame, n: int) -> DataFrame:
-            return part.withColumn("_nth", F.row_number().over(by_label)).filter(
-                F.col("_nth") <= n + tile).select("_s", "label", "ts", "cat", "text", "allowed")
+            return _first_of_tiles(part, n + tile).select("_s", "label", "ts", "cat", "text", "allowed")
 
         view = (first(away.filter("_place = 'after'"), n_next)
                 .unionByName(first(away.filter("_place = 'same'"), n_next))
@@ -255,7 +269,7 @@ def _dropped_without_window(rows: DataFrame, schema: str, n_next: int, n_prev: i
             gone.withColumn("gone", F.lit(True)).alias("g"), same_keys("h", "g", ["_s", "label"]), "left"
         ).select("h.*", F.lit(True).alias("home"), F.coalesce(F.col("g.gone"), F.lit(False)).alias("gone"))
         step = mine.unionByName(view).withColumn("_tile", F.lit(at).cast("bigint"))
-        found = _scan_tiles(step, schema, None, None, n_next, n_prev).select("_s", "label")
+        found = _scan_tiles(step, schema, partitions, None, None, n_next, n_prev).select("_s", "label")
         gone = materialize(gone.unionByName(found))
     return whole(normal).unionByName(gone)
 

@@ -160,6 +160,17 @@ def test_replace_low_level(spark, tile, window):
     assert got == want
 
 
+def test_a_long_session_without_window(spark):
+    """100,000 rows in one session: tile by tile as in one piece, and no rank over the whole session."""
+    rows = spark.range(100_000).select(
+        F.lit("s").alias("session"), F.col("id").alias("label"), F.floor(F.col("id") / 3).alias("ts"),
+        F.when(F.xxhash64("id") % 3 == 0, "Tool").otherwise("UNDO").alias("cat"),
+        F.concat(F.when(F.xxhash64("id") % 3 == 0, "T").otherwise("E"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4))).alias("message_eng"))
+    pairs = spark.createDataFrame([("T0", "E1"), ("T1", "E2"), ("T1", "E3")], "command string, event string")
+    by_tile, whole = (redundancy.dropped_labels(rows, pairs, None, None, tile=tile) for tile in (20_000, 200_000))
+    assert by_tile.count() == whole.count() > 10_000 and by_tile.exceptAll(whole).isEmpty()
+
+
 def test_tiles_of_following_events(spark):
     rng = random.Random(5)
     rows = [("s", i, i // 2, rng.choice(["UNDO", "Tool"]), f"m{i}") for i in range(200)]
