@@ -11,9 +11,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.functions.vectors import l2_norm
 from sessionloom.operators.ordered import global_number
 from sessionloom.operators.pairs import matrix, plain_strings
-from sessionloom.operators.scale import broadcast_if_small, materialize
+from sessionloom.operators.scale import broadcast_if_small, materialize, small_table
 from sessionloom.operators.ranking import topk
 
 # Items per block of the score matrix.
@@ -39,29 +40,74 @@ def score_by_vectors(sessions: DataFrame, items: DataFrame, k: int, session: str
                      skip_self: bool = False, item_block: int = ITEM_BLOCK, session_block: int = 8_192) -> DataFrame:
     """The ``k`` items with the largest inner product for every session vector.
 
-    Sessions and items are cut into blocks; blocks of sessions meet blocks of items, each
-    meeting leaves only its top k, and those are ranked again.  Scores that are not a number
-    are left out.
+    Items lie in blocks by falling length.  All sessions meet the block of the longest, which gives each its
+    k-th best score so far; since no inner product is above the product of the lengths, a session then meets
+    only as many further blocks as can still reach that score.  Each meeting leaves its top
+    k, and those are ranked again.  Scores that are not a number are left out.
     """
     scale = 1.0 / temperature if temperature else 1.0
     left = sessions.select(F.col(session).alias("session"), F.col(vector).alias("vector"))
     right = items.select(F.col(item).alias("item"), F.col(vector).alias("item_vector"))
-    schema = (f"session {left.schema['session'].dataType.simpleString()}, "
-              f"item {right.schema['item'].dataType.simpleString()}, score double")
-    found = _block_scores(left, right, k, scale, skip_self, item_block, session_block, schema)
-    return topk(found, k).select(F.col("session").alias(session), F.col("item").alias(item), "score", "rank")
-
-
-def _block_scores(left: DataFrame, right: DataFrame, k: int, scale: float, skip_self: bool,
-                  item_block: int, session_block: int, schema: str) -> DataFrame:
-    blocks = global_number(right, ["item"], "_n").withColumn("_ib", F.floor((F.col("_n") - 1) / item_block))
-    blocks = materialize(blocks.drop("_n"))
-    n_items = (blocks.agg(F.max("_ib")).first()[0] or 0) + 1
-    n_sessions = max(1, -(-left.count() // session_block))
-    # Every session meets every item block once; item blocks meet every session block.
-    ls = left.withColumn("_sb", F.pmod(F.xxhash64("session"), F.lit(n_sessions))).withColumn(
-        "_ib", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_items - 1).cast("bigint"))))
-    rs = blocks.withColumn("_sb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_sessions - 1).cast("bigint"))))
+    blocks = _item_blocks(right, item_block)
+    longest = [r[0] for r in blocks.groupBy("_ib").agg(F.max("_length").alias("_length")).orderBy("_ib").select("_length").collect()]
+    first = _meet(left.withColumn("_reach", F.lit(1)), blocks.filter("_ib = 0"), _tiles(left.withColumn("_reach", F.lit(1)), session_block, 0),
+                  k, scale, skip_self, session_block)
+    if len(longest) > 1:
+        first = materialize(first)
+        asked = materialize(_reach(left, first, longest, k, scale))
+        more = _meet(asked, blocks.filter("_ib > 0"), _tiles(asked, session_block, 1), k, scale, skip_self, session_block)
+        first = first.unionByName(more)
+    return topk(first, k).select(F.col("session").alias(session), F.col("item").alias(item), "score", "rank")
+
+
+def _item_blocks(items: DataFrame, size: int) -> DataFrame:
+    """Items with ``_length`` and their block ``_ib``: 0 has the longest vectors.  A length that is no number counts as endless."""
+    length = F.coalesce(F.nanvl(l2_norm("item_vector"), F.lit(float("inf"))), F.lit(float("inf")))
+    measured = materialize(items.withColumn("_length", length).withColumn("_short", -F.col("_length")))
+    numbered = global_number(measured, ["_short", "item"], "_n")
+    return materialize(numbered.withColumn("_ib", F.floor((F.col("_n") - 1) / size)).drop("_n", "_short"))
+
+
+def _reach(sessions: DataFrame, found: DataFrame, longest: list[float], k: int, scale: float) -> DataFrame:
+    """Sessions with ``_reach``: how many item blocks may hold one of their k best items.  ``longest``, one number per block, falls."""
+    kth = found.groupBy("session").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("_kth"))
+    kind = sessions.schema["session"].dataType.simpleString()
+    vectors = sessions.schema["vector"].dataType.simpleString()
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        falling = -np.array(longest)
+        for batch in batches:
+            own = np.array([np.linalg.norm(np.asarray(v, float)) for v in batch["vector"]]) * abs(scale)
+            known = batch["_kth"].to_numpy(float)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                least = known / (own * (1 + 1e-9))      # of an item's length; above zero only
+            sure = np.isfinite(least) & (known > 0)
+            reach = np.where(sure, np.searchsorted(falling, -np.where(sure, least, 0.0), "right"), len(longest))
+            yield batch[["session", "vector"]].assign(_reach=reach.astype(np.int32))
+
+    return (sessions.join(kth, "session", "left").mapInPandas(count, f"session {kind}, vector {vectors}, _reach int")
+            .filter("_reach > 1"))
+
+
+def _grouped(sessions: DataFrame, session_block: int) -> DataFrame:
+    """Sessions in groups of similar reach, cut into blocks."""
+    blocks = max(1, -(-sessions.count() // session_block))
+    return sessions.withColumns({"_g": F.ceil(F.log2("_reach")).cast("int"), "_sb": F.pmod(F.xxhash64("session"), F.lit(blocks))})
+
+
+def _tiles(sessions: DataFrame, session_block: int, first: int) -> DataFrame:
+    """The meetings (``_g``, ``_sb``, ``_ib``) of session blocks and item blocks that are computed."""
+    reach = _grouped(sessions, session_block).groupBy("_g", "_sb").agg(F.max("_reach").alias("_most"))
+    return reach.select("_g", "_sb", F.explode(F.sequence(F.lit(first).cast("bigint"), F.col("_most").cast("bigint") - 1)).alias("_ib"))
+
+
+def _meet(sessions: DataFrame, blocks: DataFrame, tiles: DataFrame, k: int, scale: float, skip_self: bool, session_block: int) -> DataFrame:
+    """Session, item and score of the top k of every meeting."""
+    schema = (f"session {sessions.schema['session'].dataType.simpleString()}, "
+              f"item {blocks.schema['item'].dataType.simpleString()}, score double")
+    tiles = small_table(tiles)
+    ls = _grouped(sessions, session_block).join(tiles, ["_g", "_sb"]).filter(F.col("_ib") < F.col("_reach"))
+    rs = blocks.join(tiles, "_ib")
 
     def meet(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if not len(mine) or not len(theirs):
@@ -69,7 +115,8 @@ def _block_scores(left: DataFrame, right: DataFrame, k: int, scale: float, skip_
         return _best(mine["session"].to_numpy(), theirs["item"].to_numpy(),
                      matrix(mine["vector"]) @ matrix(theirs["item_vector"]).T * scale, k, skip_self)
 
-    return ls.groupBy("_sb", "_ib").cogroup(rs.groupBy("_sb", "_ib")).applyInPandas(meet, schema)
+    return (ls.select("_g", "_sb", "_ib", "session", "vector").groupBy("_g", "_sb", "_ib")
+            .cogroup(rs.select("_g", "_sb", "_ib", "item", "item_vector").groupBy("_g", "_sb", "_ib")).applyInPandas(meet, schema))
 
 
 def retrieve_docs(queries: DataFrame, docs: DataFrame, k: int = 3, query: str = "query", doc: str = "doc",

@@ -94,6 +94,29 @@ def test_scores_by_blocks_equal_scores_by_broadcast(spark):
         assert np.argsort(-scores[r["session"]])[r["rank"] - 1] == r["item"]
 
 
+def test_blocks_of_short_items_are_skipped(spark):
+    rng = np.random.default_rng(2)
+    length = np.repeat([100.0, 1.0, 0.5, 0.1], 25)
+    items = [(i, [float(x) for x in v / np.linalg.norm(v) * n]) for i, (v, n) in enumerate(zip(rng.normal(size=(100, 4)), length))]
+    items += [(900, [0.0] * 4), (901, [100.0, 0.0, 0.0, 0.0]), (902, [100.0, 0.0, 0.0, 0.0])]
+    sessions = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(30, 4)))] + [(50, [0.0] * 4), (51, [1e-9, 0.0, 0.0, 0.0])]
+    right = spark.createDataFrame(items, "item bigint, vector array<double>")
+    left = spark.createDataFrame(sessions, "session bigint, vector array<double>")
+    got = {}
+    for r in retrieval.score_by_vectors(left, right, 3, item_block=25, session_block=8).orderBy("session", "rank").collect():
+        got.setdefault(r["session"], []).append(r["item"])
+    for s, v in sessions:
+        order = sorted(items, key=lambda i: (-float(np.dot(i[1], v)), i[0]))
+        assert got[s] == [i for i, _ in order[:3]]
+    blocks = retrieval._item_blocks(right.withColumnRenamed("vector", "item_vector"), 25)
+    longest = [r[0] for r in blocks.groupBy("_ib").agg({"_length": "max"}).orderBy("_ib").select("max(_length)").collect()]
+    best = retrieval.score_by_vectors(left, right, 3).drop("rank")
+    asked = retrieval._reach(left, best, longest, 3, 1.0)
+    # Of five blocks, only sessions without a positive third score meet more than the first two.
+    assert {r["session"]: r["_reach"] for r in asked.collect() if r["_reach"] > 2} == {50: 5}
+    assert retrieval._tiles(asked, 1000, 1).count() <= 4 + 1
+
+
 def test_predict_rejects_too_many(spark):
     with pytest.raises(ValueError):
         retrieval.predict(spark.createDataFrame([(1, [1])], "session int, items array<int>"), lambda b: None, k=9, top_k=5)
