@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.constants import WORKFLOW, workflow_patterns
 from sessionloom.operators.ordered import Timeline, sessionwise
-from sessionloom.operators.scale import materialize, once, same_keys
+from sessionloom.operators.scale import broadcast_if_small, materialize, once, same_keys
 
 TILE = 2_000
 
@@ -275,24 +275,57 @@ def merge_first_match(df: DataFrame, item: str = "item",
 
 def learn_merges(df: DataFrame, rounds: int = 10, item: str = "item", min_count: int = 2,
                  session: str = "session", order: Sequence[str] = ("ts", "seq"),
-                 separator: str = ",", limit: int | None = None) -> list[tuple[list[str], int]]:
+                 separator: str = ",", limit: int | None = None, sizes: list[int] | None = None) -> list[tuple[list[str], int]]:
     """Learn frequent workflows by byte-pair merging of neighbouring items.
 
-    Each round counts neighbouring pairs, merges the most frequent one (ties by name) and
-    goes on with the merged sequence.  Only the winning pair reaches the driver.
+    Each round merges the most frequent pair (ties by name) and goes on with the merged sequence.  Pair counts
+    are kept per session: the sessions that hold the pair are looked up there, only they are
+    merged, written and counted anew, and the totals are moved by the difference.  Only the winning pair
+    reaches the driver.  ``sizes`` takes the number of rows that each round merges.
     """
-    first = current = materialize(df.select(session, *order, item))
+    def counted(rows: DataFrame) -> DataFrame:
+        paired = sessionwise(rows, lambda t: t.neighbour(1, _next=F.col(item)), session, order, limit)
+        return materialize(paired.filter(F.col("_next").isNotNull())
+                           .groupBy(F.col(session).alias("_s"), F.col(item).alias("left"), F.col("_next").alias("right")).agg(F.count(F.lit(1)).alias("n")))
+
+    def total(counts: DataFrame) -> DataFrame:
+        return materialize(counts.groupBy("left", "right").agg(F.sum("n").alias("n")).filter("n > 0"))
+
+    def every(parts: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, parts)
+
+    def held(part: DataFrame, key: str, sessions: DataFrame) -> DataFrame:
+        return part.alias("p").join(sessions.alias("s"), F.col(f"p.`{key}`").eqNullSafe(F.col("s._s")), "left_semi")
+
+    # Layer 0 is the input; every round adds one for the sessions it changes.
+    first = once(df.select(session, *order, item))
+    layers = [(first, counted(first))]
+    totals = total(layers[0][1])
+    changed = []    # (session, layer) of the sessions of each later layer
     learned: list[tuple[list[str], int]] = []
-    for _ in range(rounds):
-        paired = sessionwise(current, lambda t: t.neighbour(1, _next=F.col(item)), session, order, limit, first)
-        best = (paired.filter(F.col("_next").isNotNull())
-                .groupBy(F.col(item).alias("left"), F.col("_next").alias("right"))
-                .agg(F.count(F.lit(1)).alias("n"))
-                .orderBy(F.desc("n"), "left", "right").limit(1).first())
+    for number in range(1, rounds + 1):
+        best = totals.orderBy(F.desc("n"), "left", "right").limit(1).first()
         if best is None or best["n"] < min_count:
             break
         pair = [best["left"], best["right"]]
         learned.append((separator.join(pair).split(separator), best["n"]))
-        current = materialize(merge_workflows(current, item, [pair], session, order, limit, first)
-                              .select(session, *order, item))
+        if number == rounds:
+            break
+        holders = every([counts.filter((F.col("left") == pair[0]) & (F.col("right") == pair[1])).select("_s", F.lit(i).alias("_layer"))
+                         for i, (_, counts) in enumerate(layers)])
+        if changed:  # of a session only its newest layer counts
+            newest = every(changed).groupBy("_s").agg(F.max("_layer").alias("_new"))
+            holders = (holders.alias("h").join(newest.alias("n"), same_keys("h", "n", ["_s"]), "left")
+                       .filter(F.col("_layer") == F.coalesce("_new", F.lit(0))).select("h._s", "_layer"))
+        holders = materialize(holders)
+        of_layer = [broadcast_if_small(holders.filter(F.col("_layer") == i).select("_s")) for i in range(len(layers))]
+        rows = materialize(every([held(rows, session, keys) for (rows, _), keys in zip(layers, of_layer)]))
+        if sizes is not None:
+            sizes.append(rows.count())
+        merged = materialize(merge_workflows(rows, item, [pair], session, order, limit).select(first.columns))
+        counts = counted(merged)
+        before = every([held(counts, "_s", keys) for (_, counts), keys in zip(layers, of_layer)])
+        totals = total(every([totals, before.select("left", "right", (-F.col("n")).alias("n")), counts.select("left", "right", "n")]))
+        layers.append((merged, counts))
+        changed.append(holders.select("_s", F.lit(number).alias("_layer")))
     return learned

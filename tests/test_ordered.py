@@ -195,6 +195,34 @@ def test_global_number(spark):
     assert got == {v: i + 1 for i, v in enumerate(sorted(values))}
 
 
+def test_learned_merges_recount_only_sessions_with_the_pair(spark):
+    rng = random.Random(11)
+    sessions = {f"s{i}": [rng.choice("aabbc") for _ in range(rng.randint(0, 8))] for i in range(40)}
+    sessions |= {f"x{i}": ["p", "q"] for i in range(3)} | {"y": ["a", "a", "a", "b"]}
+    df = spark.createDataFrame([(s, 1, i, x) for s, items in sessions.items() for i, x in enumerate(items)], "session string, ts int, seq int, item string")
+    want, sizes = [], []
+    for _ in range(7):
+        counts = {}
+        for items in sessions.values():
+            for pair in zip(items, items[1:]):
+                counts[pair] = counts.get(pair, 0) + 1
+        best = min(counts, key=lambda p: (-counts[p], p))
+        if counts[best] < 2:
+            break
+        want.append((",".join(best).split(","), counts[best]))
+        sizes.append(sum(len(items) for items in sessions.values() if best in zip(items, items[1:])))
+        for s, items in sessions.items():
+            out, i = [], 0
+            while i < len(items):
+                step = 2 if tuple(items[i:i + 2]) == best else 1
+                out.append(",".join(items[i:i + step]))
+                i += step
+            sessions[s] = out
+    read: list[int] = []
+    assert workflows.learn_merges(df, 7, sizes=read) == want
+    assert read == sizes[:len(read)] and len(read) == 6 and min(read) < df.count() / 3
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_pack_batches(spark, hot):
     rng = random.Random(2)
