@@ -277,8 +277,11 @@ def find_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, gram:
     searched = different.groupBy("anchor").agg(F.max("single").alias("_open")).filter("_open").select("anchor")
     asked = different.join(searched, "anchor").select("w.*", "anchor", "piece", "single")
     inner = _match(_cut(df, text, asked), length, gram, group, shard_bytes)
-    part = mixed.join(inner, ["anchor", "piece"]).select("t", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
-    copies = mixed.join(different.filter("NOT single").select("anchor", "piece"), ["anchor", "piece"])
+    # One row per piece that is the only one of its kind, with its few spans.
+    inner = inner.groupBy("anchor", "piece").agg(F.collect_list(F.struct("a", "b")).alias("inner"))
+    part = mixed.join(inner, ["anchor", "piece"]).select("t", "start", F.explode("inner").alias("s")).select(
+        "t", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
+    copies = mixed.join(different.filter("NOT single").select("anchor", "piece"), ["anchor", "piece"], "left_semi")
     full = rows.filter("NOT mixed").unionByName(copies.select(rows.columns)).select(
         "t", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
     spans = part.unionByName(full).distinct()
