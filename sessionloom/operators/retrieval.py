@@ -245,23 +245,40 @@ def predict(sequences: DataFrame, model: Callable[[pd.DataFrame], np.ndarray], k
     return found.withColumn("rank", F.row_number().over(order))
 
 
-def augment_commands(commands: DataFrame, describe: Callable[[str, str], tuple[str, str, str]],
-                     message: str = "message_content", context: str = "context") -> DataFrame:
+def augment_commands(commands: DataFrame, describe: Callable, message: str = "message_content", context: str = "context",
+                     rounds: int = 1, most_classes: int = 1_000) -> DataFrame:
     """Summary, classification and target of every distinct command, by a user's function.
 
-    ``describe(command, context)`` gives the three texts; if it fails they are null.  Rows
-    carry their command, so a failure shifts nothing.
+    ``describe(command, context)`` gives the three texts; if it fails they are null and ``error`` says why.  Rows
+    carry their command, so a failure shifts nothing.  With several ``rounds`` the commands are dealt into
+    as many parts, and ``describe(command, context, classes)`` also gets the classes of the parts before, the
+    ``most_classes`` most frequent ones at most, by falling number and name.
     """
     distinct = commands.groupBy(message).agg(F.min(context).alias(context))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for command, text in zip(batch[message], batch[context]):
-                try:
-                    rows.append((command, *describe(command, text)))
-                except Exception:
-                    rows.append((command, None, None, None))
-            yield pd.DataFrame(rows, columns=[message, "summary", "classification", "target"])
-
-    return distinct.mapInPandas(run, f"{message} string, summary string, classification string, target string")
+    schema = f"{message} string, summary string, classification string, target string, error string"
+
+    def described(part: DataFrame, *seen) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for command, text in zip(batch[message], batch[context]):
+                    try:
+                        rows.append((command, *describe(command, text, *seen), None))
+                    except Exception as problem:  # the user's function; what it says is kept
+                        rows.append((command, None, None, None, f"{type(problem).__name__}: {problem}"))
+                yield plain_strings(pd.DataFrame(rows, columns=[message, "summary", "classification", "target", "error"]))
+
+        return part.mapInPandas(run, schema)
+
+    if rounds == 1:
+        return described(distinct)
+    dealt = materialize(distinct.withColumn("_part", F.pmod(F.xxhash64(message), F.lit(rounds))))
+    done = None
+    for part in range(rounds):
+        classes: list[str] = []
+        if done is not None:
+            known = done.filter(F.col("classification").isNotNull()).groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
+            classes = [r[0] for r in known.orderBy(F.desc("n"), "classification").limit(most_classes).collect()]
+        now = materialize(described(dealt.filter(F.col("_part") == part), classes))
+        done = now if done is None else done.unionByName(now)
+    return done

@@ -268,6 +268,16 @@ def _(spark, sf):
     return stats.histogram(stats.session_stats(V.filtered(spark, sf)), "rows", 100)
 
 
+@query("session_minutes_histogram", with_(_STATS, """
+SELECT bin, count(*) AS rows FROM (
+  SELECT CAST(least(floor((m - lo) / ((hi - lo) / 100.0)), 99) AS INT) AS bin
+  FROM (SELECT seconds_after / 60.0::DOUBLE AS m FROM after) a,
+    (SELECT min(seconds_after) / 60.0::DOUBLE AS lo, max(seconds_after) / 60.0::DOUBLE AS hi FROM after) b) c GROUP BY bin"""))
+def _(spark, sf):
+    minutes = stats.session_stats(V.filtered(spark, sf)).withColumn("minutes", F.col("seconds") / 60)
+    return stats.histogram(minutes, "minutes", 100)
+
+
 @query("category_counts", with_(LOG, """SELECT cat, count(*) AS "count" FROM log0 GROUP BY cat"""))
 def _(spark, sf):
     return stats.category_counts(V.log0(spark, sf))
@@ -420,6 +430,22 @@ def _(spark, sf):
     return pairs.withColumn("confidence", F.round("confidence", 9))
 
 
+@query("pair_confidence_files", with_(NEAR, """
+SELECT command, event, sup1_group_sum, sup2_sum, round(sup2_sum / sup1_group_sum, 9) AS confidence FROM (
+  SELECT command, event, CAST(sum(sup2) AS BIGINT) AS sup2_sum FROM (
+    SELECT command, event, session::BIGINT % 3 AS file, count(DISTINCT (session, label)) AS sup2 FROM near GROUP BY ALL) a GROUP BY ALL) x
+JOIN (SELECT command, CAST(sum(sup1) AS BIGINT) AS sup1_group_sum FROM (
+    SELECT message_eng AS command, session::BIGINT % 3 AS file, count(*) AS sup1 FROM commands GROUP BY ALL) b
+  SEMI JOIN (SELECT command, session::BIGINT % 3 AS file FROM near) n USING (command, file) GROUP BY command) y USING (command)
+WHERE sup2_sum / sup1_group_sum > 0.1 AND event <> 'End Event: E2 (52)' AND (sup1_group_sum >= 300 OR sup2_sum / sup1_group_sum > 0.4)"""))
+def _(spark, sf):
+    """Support counted per file of sessions and put together."""
+    near = materialize(redundancy.following_low_level(V.aligned(spark, sf)))
+    files = [redundancy.pair_support(near.filter(F.col("session").cast("bigint") % 3 == i)).withColumn("file_index", F.lit(i)) for i in range(3)]
+    pairs = redundancy.pair_confidence(files[0].unionByName(files[1]).unionByName(files[2]), generic=("End Event: E2 (52)",), rare_support=300)
+    return pairs.withColumn("confidence", F.round("confidence", 9))
+
+
 @query("join_sums_back", """
 SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag, sum(l_quantity) OVER (PARTITION BY l_partkey, l_returnflag) AS quantity
 FROM lineitem""")

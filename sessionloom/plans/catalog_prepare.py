@@ -579,6 +579,17 @@ def _(spark, sf):
     return readers.read_json_log(spark, path).select("session", "cat", "message")
 
 
+@query("read_csv_by_name", """
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_orderpriority END AS o_orderpriority FROM orders""")
+def _(spark, sf):
+    """Three groups of files: two orders of the columns, and one without the second."""
+    path = V.scratch(spark)
+    rows = V.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    for i, columns in enumerate((["o_orderkey", "o_orderpriority"], ["o_orderpriority", "o_orderkey"], ["o_orderkey"])):
+        rows.filter(F.col("o_orderkey") % 3 == i).select(columns).write.mode("append").option("header", True).csv(path)
+    return readers.read_csv_logs(spark, path, by_name=True).select("o_orderkey", "o_orderpriority")
+
+
 @query("read_csv_logs", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority FROM orders")
 def _(spark, sf):
     path = V.scratch(spark)

@@ -210,7 +210,8 @@ def _describe(command: str, context: str):
 @query("augment_commands", with_(ITEMS, """
 SELECT item AS message_content, CASE WHEN item <> 'Tool: T0' THEN split_part(item, ': ', 2) || ' is a ' || split_part(item, ': ', 1) END AS summary,
   CASE WHEN item <> 'Tool: T0' THEN split_part(item, ': ', 1) END AS classification,
-  CASE WHEN item <> 'Tool: T0' THEN length(min(message))::VARCHAR END AS target FROM items GROUP BY item"""))
+  CASE WHEN item <> 'Tool: T0' THEN length(min(message))::VARCHAR END AS target,
+  CASE WHEN item = 'Tool: T0' THEN 'ValueError: no answer' END AS error FROM items GROUP BY item"""))
 def _(spark, sf):
     commands = V.items(spark, sf).select(F.col("item").alias("message_content"), F.col("message").alias("context"))
     return retrieval.augment_commands(commands, _describe)

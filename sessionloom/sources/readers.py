@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,10 +44,34 @@ def read_json_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LIVE_SCHEMA).json(path)
 
 
-def read_csv_logs(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """All CSV files of a folder, with a header line; a file whose columns differ fails."""
-    reader = spark.read.option("header", True).option("multiLine", False).option("enforceSchema", False)
-    return (reader.schema(schema) if schema else reader).csv(path)
+def read_csv_logs(spark: SparkSession, path: str, schema: T.StructType | None = None, by_name: bool = False) -> DataFrame:
+    """All CSV files of a folder, with a header line; a file whose columns differ fails.
+
+    With ``by_name`` files may order their columns differently or lack some: files of the same header are read
+    together, and the groups are put together by column name.  ``schema`` then gives the columns and
+    types of the result.
+    """
+    def read(paths, kind: T.StructType | None) -> DataFrame:
+        reader = spark.read.option("header", True).option("multiLine", False).option("enforceSchema", False)
+        return (reader.schema(kind) if kind else reader).csv(paths)
+
+    if not by_name:
+        return read(path, schema)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    first = lines.filter("at = 0").withColumn("n", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "n").alias("header"))
+    headers = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    parts = []
+    for row in headers:
+        found = read(row["files"], None)
+        if schema:
+            found = found.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields if f.name in found.columns))
+        parts.append(found)
+    if schema:
+        parts.append(spark.createDataFrame([], schema))
+    if not parts:
+        raise ValueError(f"no CSV file with a header in {path}")
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return whole.select(*schema.names) if schema else whole
 
 
 def read_clicks_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -88,3 +88,32 @@ def test_width_of_nested_values_is_measured(spark):
     for column in "ams":
         assert rows.select(scale._row_bytes(rows.select(column)).alias("n")).first()["n"] >= 500_000
     assert rows.select(scale._row_bytes(rows.select("e")).alias("n")).first()["n"] < 100
+
+
+def test_csv_files_are_put_together_by_name(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from sessionloom.sources.readers import read_csv_logs
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,x\n3,4\n5,6\n")
+    (tmp_path / "c.csv").write_text("x\n7\n")
+    rows = read_csv_logs(spark, str(tmp_path), by_name=True)
+    assert sorted(map(tuple, rows.select("x", "y").collect()), key=str) == [("1", "2"), ("4", "3"), ("6", "5"), ("7", None)]
+    kind = T.StructType([T.StructField("y", T.LongType()), T.StructField("z", T.StringType())])
+    typed = read_csv_logs(spark, str(tmp_path), kind, by_name=True)
+    assert sorted(map(tuple, typed.collect()), key=str) == [(2, None), (3, None), (5, None), (None, None)]
+
+
+def test_commands_are_described_with_the_classes_so_far(spark):
+    rows = spark.createDataFrame([(f"c{i}", f"k{i % 3}") for i in range(30)] + [("bad", "k0")], "message_content string, context string")
+
+    def describe(command, context, classes):
+        if command == "bad":
+            raise KeyError("no class")
+        return command, context, ",".join(classes)
+
+    got = retrieval.augment_commands(rows, describe, rounds=3).collect()
+    assert len(got) == 31 and {r["error"] for r in got} == {None, "KeyError: 'no class'"}
+    later = [set(r["target"].split(",")) for r in got if r["target"]]
+    assert later and all(x <= {"k0", "k1", "k2"} for x in later) and {"k0", "k1", "k2"} in later
+    assert any(r["target"] == "" for r in got)
