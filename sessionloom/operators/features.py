@@ -14,7 +14,7 @@ from sessionloom.operators.filters import min_length_sessions
 from sessionloom.operators.lookups import first_wins
 from sessionloom.operators.moments import vector_aggregate
 from sessionloom.operators.ordered import global_number, sessionwise
-from sessionloom.operators.scale import broadcast_if_small, materialize, small_table
+from sessionloom.operators.scale import broadcast_if_small, materialize, once, small_table
 from sessionloom.operators.sessions import groupby_lists, time_intervals
 
 
@@ -38,6 +38,20 @@ def categorify_table(df: DataFrame, column: str, reserved: int = RESERVED_CODES)
     return coded.select("value", "size", (F.col("_n") - 1 + reserved).alias("code"))
 
 
+def categorify_tables(df: DataFrame, columns: Sequence[str], reserved: int = RESERVED_CODES) -> dict[str, DataFrame]:
+    """``categorify_table`` of several columns: one pass counts the values of all, one numbering serves all."""
+    kinds = [f"_c{i}" for i in range(len(columns))]
+    values = df.select(*(F.col(c).alias(k) for c, k in zip(columns, kinds)))
+    # The grouping id has a bit for every column that a row is not about.
+    every = (1 << len(kinds)) - 1
+    counted = values.groupingSets([[F.col(k)] for k in kinds], *kinds).agg(F.grouping_id().alias("_id"), F.count(F.lit(1)).alias("size"))
+    own = F.coalesce(*(F.when((F.col("_id") == every - (1 << (len(kinds) - 1 - i))) & F.col(k).isNotNull(), F.lit(i)) for i, k in enumerate(kinds)))
+    counted = materialize(counted.withColumns({"_column": own, "_rank": -F.col("size")}).filter(F.col("_column").isNotNull()))
+    numbered = materialize(sessionwise(counted, lambda t: t.numbered("_n"), "_column", ("_rank", *kinds)))
+    return {c: numbered.filter(F.col("_column") == i).select(F.col(k).alias("value"), "size", (F.col("_n") - 1 + reserved).alias("code"))
+            for i, (c, k) in enumerate(zip(columns, kinds))}
+
+
 def categorify(df: DataFrame, column: str, table: DataFrame | None = None,
                out: str | None = None) -> DataFrame:
     """Replace the values of a column by their codes; null and unknown values stay null."""
@@ -87,12 +101,12 @@ def session_features(df: DataFrame, session: str = "session_id", order: Sequence
 
     The length test runs on the counts before any list is built.
     """
+    df = once(df)  # read for the lengths, the codes, the moments and the lists
     counts = df.groupBy(session).agg(F.count(codes[0]).alias("_n"))
     long_enough = min_length_sessions(counts, "_n", minimum)
     # Codes and moments come from the input as it is, not from the table that grows join by join.
-    tables = {column: categorify_table(df, column) for column in codes}
     source = df
-    for column, table in tables.items():
+    for column, table in categorify_tables(df, codes).items():
         df = categorify(df, column, table)
     df = normalize(df, norms, source)
     lists = groupby_lists(df, session, order, [*codes, *keep, *norms.values()], last=longest).drop("piece")
@@ -152,9 +166,11 @@ def to_values_offsets(df: DataFrame, key: str, values: str) -> tuple[DataFrame,
 
     Offsets are a running sum over list lengths in key order, done in blocks on large tables.
     """
-    sized = df.select(key, values, F.size(values).cast("bigint").alias("_size"), F.lit(0).alias("_all"))
-    spans = sessionwise(sized, lambda t: t.running(_end=("sum", F.col("_size"))).numbered("_row"), "_all", (key,))
-    starts = spans.withColumn("_start", F.col("_end") - F.col("_size"))
+    marked = materialize(df.select(key, values).withColumn("_id", F.monotonically_increasing_id()))
+    # Only sizes are summed up in order; the lists stay where they are and get their place by row number.
+    sized = marked.select(key, "_id", F.size(values).cast("bigint").alias("_size"), F.lit(0).alias("_all"))
+    spans = materialize(sessionwise(sized, lambda t: t.running(_end=("sum", F.col("_size"))).numbered("_row"), "_all", (key, "_id")))
+    starts = marked.join(spans.select("_id", (F.col("_end") - F.col("_size")).alias("_start")), "_id")
     flat = starts.select(key, "_start", F.posexplode(values).alias("_at", "value")).select(
         (F.col("_start") + F.col("_at")).alias("position"), "value")
     offsets = spans.select(F.col("_row").alias("row"), F.col("_end").alias("offset"))

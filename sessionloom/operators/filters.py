@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from sessionloom import constants as C
 from sessionloom.functions import messages as M
-from sessionloom.operators.scale import small_table
+from sessionloom.operators.ordered import global_number
+from sessionloom.operators.scale import materialize, small_table
 
+TOP_ROWS = 100_000    # rows that may meet in one task
 
 def keep_categories(df: DataFrame, categories: Iterable[str] = C.LOG_CATEGORIES,
                     cat: str = "cat", contains: bool = False) -> DataFrame:
@@ -116,8 +118,12 @@ def filter_features(df: DataFrame, names: Iterable[str], exclude: bool = False)
 def slice_rows(df: DataFrame, low: int, high: int, order: Sequence[str]) -> DataFrame:
     """Rows ``low`` to ``high`` (exclusive) of the table in the given order.
 
-    Top rows are cut per partition before they meet, so only ``high`` rows move on.
+    Top rows are cut per partition before they meet.  Beyond ``TOP_ROWS`` the rows are numbered in ranges and
+    picked by number, so no task holds ``high`` of them.
     """
+    if high > TOP_ROWS:
+        numbered = global_number(materialize(df), order, "_number")
+        return numbered.filter((F.col("_number") > low) & (F.col("_number") <= high)).drop("_number").orderBy(*order)
     return df.orderBy(*order).offset(low).limit(max(high - low, 0))
 
 

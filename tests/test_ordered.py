@@ -252,6 +252,25 @@ def test_pack_batches_over_many_ranges(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_slices_by_number(spark, monkeypatch):
+    from sessionloom.operators import filters
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("v")).repartition(5)
+    plain = [r["v"] for r in filters.slice_rows(df, 90, 130, ["v"]).collect()]
+    monkeypatch.setattr(filters, "TOP_ROWS", 10)
+    assert [r["v"] for r in filters.slice_rows(df, 90, 130, ["v"]).collect()] == plain == list(range(90, 130))
+    assert filters.slice_rows(df, 600, 700, ["v"]).count() == 0
+
+
+def test_codes_of_several_columns_in_one_pass(spark):
+    from sessionloom.operators import features
+    rng = random.Random(4)
+    rows = [(rng.choice("abcd"), rng.choice([1, 2, None]), rng.choice([None, 0.5, 1.5])) for _ in range(200)]
+    df = spark.createDataFrame(rows, "x string, y int, z double")
+    tables = features.categorify_tables(df, ["x", "y", "z"])
+    for column, table in tables.items():
+        assert sorted(map(tuple, table.collect())) == sorted(map(tuple, features.categorify_table(df, column).collect()))
+
+
 def test_lists_in_pieces(spark):
     rows, df = items_frame(spark, 8)
     out = sessions.groupby_lists(df, lists=["item"], counts=["item"], piece_rows=10)
