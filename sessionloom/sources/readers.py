@@ -84,21 +84,31 @@ def read_clicks_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """Message dictionary with ``message``, ``label`` and, if present, ``seq``; the last row of a
-    message wins."""
+    message wins.  Without ``seq`` rows count by file name and line."""
     table = spark.read.option("header", True).csv(path)
     if "seq" not in table.columns:
-        # A dictionary is one small file; its line order decides.
-        table = table.withColumn("seq", F.monotonically_increasing_id())
+        table = table.select("*", _line_order().alias("seq"))
     else:
         table = table.withColumn("seq", F.col("seq").cast("bigint"))
     return last_wins(table, "message", "label", "seq")
 
 
+def _line_order():
+    """Orders the rows of text files by file, block of the file and line; blocks are read by different tasks."""
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+
+
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """Vocabulary from a JSON object ``{item: id}``."""
-    text = spark.read.text(path, wholetext=True)
-    entries = F.explode(F.map_entries(F.from_json("value", "map<string,bigint>")))
-    return text.select(entries.alias("e")).select(F.col("e.key").alias("item"), F.col("e.value").alias("item_id"))
+    """Vocabulary from a JSON object ``{item: id}`` in one or several files.
+
+    Lines are read by several tasks, so an object should have an entry per line, as ``write_vocab_json``
+    and indented JSON have; what stands in one line is one row.  The last id of an item counts, by file
+    name, line and place in the line.
+    """
+    lines = spark.read.text(path).select(F.regexp_replace("value", r"^\s*[{,]?\s*|\s*[,}]?\s*$", "").alias("body"), _line_order().alias("line"))
+    entries = lines.filter("body <> ''").select("line", F.posexplode(F.map_entries(F.from_json(
+        F.concat(F.lit("{"), "body", F.lit("}")), "map<string,bigint>"))).alias("at", "e"))
+    return entries.groupBy(F.col("e.key").alias("item")).agg(F.max_by("e.value", F.struct("line", "at")).alias("item_id"))
 
 
 def read_docs(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:

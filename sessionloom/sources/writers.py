@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.operators.ordered import global_number
-from sessionloom.operators.scale import materialize, small_table
+from sessionloom.operators.scale import materialize, once, small_table
 
 # Columns and types of a training row.
 TRAINING_TYPES = {
@@ -54,15 +54,22 @@ def write_training(df: DataFrame, path: str, rows_per_file: int = 400_000) -> No
     training_rows(df).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
-def vocab_text(vocabulary: DataFrame) -> DataFrame:
-    """The vocabulary as one JSON object; it is a table of distinct names."""
-    return vocabulary.agg(F.to_json(F.map_from_entries(F.transform(
-        F.sort_array(F.collect_list(F.struct("item_id", "item"))),
-        lambda e: F.struct(e["item"], e["item_id"])))).alias("value"))
+def vocab_lines(vocabulary: DataFrame) -> DataFrame:
+    """The lines of one JSON object, an entry each, by id; ``vocabulary`` is a table of distinct names."""
+    known = once(vocabulary.select("item", "item_id").filter(F.col("item").isNotNull()))
+    if known.isEmpty():
+        return known.sparkSession.createDataFrame([("{}",)], "value string")
+    place = F.struct("item_id", "item")
+    ends = known.agg(F.struct(F.min(place).alias("first"), F.max(place).alias("last"))).scalar()
+    entry = F.to_json(F.create_map("item", "item_id"))
+    marked = known.select("item_id", "item", entry.alias("entry"), (place == ends["first"]).alias("opens"), (place == ends["last"]).alias("closes"))
+    return marked.orderBy("item_id", "item").select(F.concat(
+        F.when(F.col("opens"), "{").otherwise(","), F.expr("substring(entry, 2, length(entry) - 2)"), F.when(F.col("closes"), "}").otherwise("")).alias("value"))
 
 
 def write_vocab_json(vocabulary: DataFrame, path: str) -> None:
-    vocab_text(vocabulary).coalesce(1).write.mode("overwrite").text(path)
+    """Part files that are one JSON object if put together in their order; each is written by a task of its own."""
+    vocab_lines(vocabulary).write.mode("overwrite").text(path)
 
 
 def write_stats_csv(stats: DataFrame, path: str) -> None:
