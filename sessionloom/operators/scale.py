@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     _tables.add((spark.sparkContext.applicationId, table.semanticHash()))
@@ -39,6 +42,27 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 _tables: set[tuple[str, int]] = set()
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``materialize`` writes inside the block when it ends.
+
+    For work that has written its result by then, such as a batch of a stream that runs for months;
+    a DataFrame that was built inside must not be used afterwards.
+    """
+    known, seen = set(_tables), set(_hot_seen)
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _tables.intersection_update(known)
+        for key in set(_hot_seen) - seen:
+            del _hot_seen[key]
 
 
 def once(df: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from sessionloom.operators.lookups import encode_items, translate
 from sessionloom.operators.ordered import chain, sessionwise
 from sessionloom.operators.ranking import topk
 from sessionloom.operators.redundancy import label_rows, replace_low_level
-from sessionloom.operators.scale import materialize, small_table
+from sessionloom.operators.scale import materialize, small_table, temporary_tables
 from sessionloom.operators.sessions import collapse_runs_step, time_intervals_step, undo_redo
 from sessionloom.operators.workflows import merge_first_match_step
 from sessionloom.sources.readers import LIVE_SCHEMA
@@ -150,17 +150,19 @@ class LiveTable:
             self._write_raw(rows, new)
             state["left"].append({"id": whole["id"], "at": version})
         touched = self._touch(self._read("raw", [new]), new)
-        self._finish(self._history([*state["segments"], new], touched), state, new)
+        with temporary_tables(self.spark):
+            self._finish(self._history([*state["segments"], new], touched), state, new)
 
     def apply_sessions(self, rows: DataFrame, version: int) -> None:
         """Like ``apply``, with all rows so far of the sessions of the batch; no raw rows are kept."""
         state = self.manifest.load()
         if version <= state["version"]:
             return
-        rows = materialize(rows)  # a stream's batch runs its state once
         new = {"id": f"v{version:012d}", "level": 0, "low": version, "high": version, "buckets": 0, "rows": 0}
-        self._touch(rows, new)
-        self._finish(rows, state, new)
+        with temporary_tables(self.spark):
+            rows = materialize(rows)  # a stream's batch runs its state once
+            self._touch(rows, new)
+            self._finish(rows, state, new)
 
     def _touch(self, rows: DataFrame, new: dict) -> DataFrame:
         """Write and return the sessions of a batch."""

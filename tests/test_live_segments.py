@@ -171,3 +171,20 @@ def test_sessions_in_the_state_equal_the_whole_log(spark, tmp_path, cuts):
             want.append((s, ",".join(r[3] for r in mine)))
     assert found(live.current()) == want and max(seen) <= 60
     assert not (tmp_path / "out" / "raw").exists()
+
+
+def test_a_batch_leaves_no_intermediate_tables(spark, tmp_path):
+    from sessionloom.operators import scale
+    from sessionloom.session import ensure_checkpoint_dir
+
+    def transform(rows):
+        return scale.materialize(scale.once(rows).filter("message IS NOT NULL"))
+
+    def tables():
+        return {n for n in os.listdir(ensure_checkpoint_dir(spark).removeprefix("file:")) if n.startswith("table-")}
+
+    before, mine = tables(), scale.materialize(spark.range(3))
+    live = LiveTable(spark, str(tmp_path), transform)
+    for version in range(3):
+        live.apply(batch(spark, version), version)
+    assert live.current().count() == 9 and len(tables() - before) == 1 and mine.count() == 3
