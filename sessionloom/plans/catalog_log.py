@@ -10,7 +10,7 @@ from sessionloom.operators.features import build_vocabulary
 from sessionloom.operators.scale import materialize
 from sessionloom.plans import views as V
 from sessionloom.plans.registry import query
-from sessionloom.plans.sqltext import ALIGNED, DICT, ITEMS, KEPT, LOG, MERGED, NEAR, PRE, replaced, with_
+from sessionloom.plans.sqltext import ALIGNED, DICT, ITEMS, KEPT, LIVE_NOISE, LOG, MERGED, NEAR, PRE, replaced, with_
 from sessionloom.sources import readers
 
 
@@ -31,8 +31,7 @@ def _(spark, sf):
 @query("prefilter_live_rules", with_(LOG, """
 SELECT session, seq, cat, regexp_replace(message, '\\(MAX-\\d+\\)', '', 'g') AS message FROM log0
 WHERE regexp_matches(cat, 'UNDO|Tool|Menu')
-  AND NOT regexp_matches(message, '^(DestroyEvent: |Begin Internal Event: |Event:|Event name changed from |Beta Undo Alert|Undo Problem:|Abort Event: |Menu: Undo|Menu: Redo)')
-  AND NOT regexp_matches(message, '(\\((242|-242|218|199|236|-241|-240|307|201|305|306|193|8|205|203)\\)|End Event: Select Similar: Undo not pos \\(166\\)|End Event: Fit To Objects \\(166\\))$')"""))
+  AND NOT """ + LIVE_NOISE))
 def _(spark, sf):
     rows = V.log0(spark, sf).withColumn("ts", F.date_format("ts", "MM/dd/yyyy HH:mm:ss 0.000000 +0000"))
     return filters.prefilter_live(rows).select("session", "seq", "cat", "message")

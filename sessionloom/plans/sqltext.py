@@ -22,6 +22,8 @@ LOG = "log0 AS (" + LOG_SELECT + ")"
 
 _PREFIX = " OR ".join(f"starts_with(message, {quoted(p)})" for p in C.NOISE_PREFIXES)
 _SUFFIX = " OR ".join(f"ends_with(message, {quoted(s)})" for s in C.NOISE_SUFFIXES)
+_LIVE_SUFFIX = " OR ".join(f"ends_with(message, {quoted(s)})" for s in C.NOISE_SUFFIXES if s != C.BATCH_ONLY_SUFFIX)
+LIVE_NOISE = f"({_PREFIX} OR {_LIVE_SUFFIX})"
 
 PRE = LOG + f""",
 pre AS (
