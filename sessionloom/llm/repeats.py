@@ -270,20 +270,19 @@ def find_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, gram:
     anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("piece").alias("low"), F.max("piece").alias("high"))
     repeated = materialize(anchors.filter("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")))
     rows = materialize(every.join(broadcast_if_small(repeated), "anchor"))
-    mixed = rows.filter("mixed")
-    different = materialize(mixed.groupBy("anchor", "piece").agg(
-        F.min(F.struct("t", "start", "size", "place")).alias("w"), (F.count(F.lit(1)) == 1).alias("single")))
+    different = materialize(rows.groupBy("anchor", "piece").agg(
+        F.any_value("mixed").alias("mixed"), F.min(F.struct("t", "start", "size", "place")).alias("w"), (F.count(F.lit(1)) == 1).alias("single")))
+    rows = materialize(rows.join(broadcast_if_small(different.select("anchor", "piece", "single")), ["anchor", "piece"]))
+    different = different.filter("mixed").drop("mixed")
     # An anchor of which every piece occurs several times has nothing left to search.
     searched = different.groupBy("anchor").agg(F.max("single").alias("_open")).filter("_open").select("anchor")
     asked = different.join(searched, "anchor").select("w.*", "anchor", "piece", "single")
     inner = _match(_cut(df, text, asked), length, gram, group, shard_bytes)
     # One row per piece that is the only one of its kind, with its few spans.
     inner = inner.groupBy("anchor", "piece").agg(F.collect_list(F.struct("a", "b")).alias("inner"))
-    part = mixed.join(inner, ["anchor", "piece"]).select("t", "start", F.explode("inner").alias("s")).select(
+    part = rows.filter("mixed AND single").join(inner, ["anchor", "piece"]).select("t", "start", F.explode("inner").alias("s")).select(
         "t", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
-    copies = mixed.join(different.filter("NOT single").select("anchor", "piece"), ["anchor", "piece"], "left_semi")
-    full = rows.filter("NOT mixed").unionByName(copies.select(rows.columns)).select(
-        "t", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
+    full = rows.filter("NOT mixed OR NOT single").select("t", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
     spans = part.unionByName(full).distinct()
     return materialize(spans.groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
 
