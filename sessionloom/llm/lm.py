@@ -1,25 +1,30 @@
 """Language-model scoring by logistic context mixing of hashed-context bit predictors.
 
-A text is a sequence of words (A-Z lower-cased) and one end.  It is coded in two parts: a
-style (one of ``STYLES`` clusters of byte statistics, fitted on the training documents), and
-each token given the style.
-
-Spelling model.  A token is its bytes and a closing byte, eight bits each.  Four predictors
-hash a context (the last one, two or three bytes with the style, and two bytes with the place
+A text is a sequence of words (A-Z lower-cased) and one end.  Each of these tokens is coded in bits,
+and every bit is predicted by mixing what several predictors say of it.
+
+Known words.  A word of the training documents is coded by ``WORD_BITS`` bits of its hash.  Three
+predictors hash a context (nothing, the word before, the two words before) and the bits so far to a slot
+with two counts, gathered over the running text of all training documents.  Their log odds
+are combined by weights that a gate selects (bit number, how many contexts have been seen, and how much each slot
+has seen).  Weights are learned in a second pass over all training text, every token predicted without its own counts, and
+averaged over the partitions.  Words that share all these bits are told apart by their training counts.
+
+New words.  Whether a word is new is a bit of its own, learned from the words that training has once.
+A new word is its bytes and a closing byte, eight bits each.  Four predictors
+hash a context (the last one, two or three bytes, and two bytes with the place
 in the word) and the bits so far to a slot with two counts, gathered over all different words
-of the training documents.  Their log odds are combined by weights that a gate selects (bit
-number, place in the word, and how much each slot has seen).  Weights are learned online, one
-pass over the different training words of each style in a partition, every word predicted
-without its own counts, and then averaged.  A last table per style and bit refines the mixed
-probability; it is learned in the same pass.  The number of slots is a parameter; everything counted covers all training words.
+of the training documents.  Their gate is the bit number, the place in the word, and how much each slot has
+seen.  Weights are learned online, one
+pass over the different training words in a partition, every word predicted
+without its own counts, and then averaged.  A last table per bit refines the mixed
+probability; it is learned in the same pass.
 
-Known words.  A token's probability is its share in the training tokens of the style, less an
-absolute discount.  The discount is left to the token's share in all training tokens and to the
-spelling model, in the ratio in which tokens that a style has once are new to all styles.
+The number of slots is a parameter; everything counted covers all training words.
 
-Every document's probability is the product over its tokens and its style, so it sums to at
+Every document's probability is the product over its tokens, so it sums to at
 most one over all texts; bits per byte follow from it.  Null and empty texts consist of an end
-only.  Without training documents all counts are 0 and the spelling model is uniform.
+only.  Without training documents all counts are 0 and the predictors are uniform.
 Repeated rows are scored as often; columns other than id and text are not read.
 """
 
@@ -33,12 +38,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.textbytes import LOWER, U, mix, prefix_sums, span_hashes, text_blocks, words
+from sessionloom.llm.textbytes import LOWER, SPACE, U, mix, prefix_sums, span_hashes, text_blocks, words
 from sessionloom.operators.scale import materialize
 
-STYLES = 8
-ROUNDS = 4                      # of the clustering
-SAMPLE = 2000                   # rows that its first centres are chosen from
 BATCH_BYTES = 8 << 20           # text of a batch of documents
 PART_BYTES = 512 << 10          # of it that is hashed at a time, as that takes many bytes for one of text
 SLOTS = (18, 19, 20, 19)        # bits of slot numbers, by predictor
@@ -46,100 +48,59 @@ LEVELS = 8                      # of how much a slot has seen
 PLACES = 4
 RATE = 0.02
 GRID = 24                       # steps of the last table
-DISCOUNT = 0.7                  # taken from every count of a known token
+WORD_BITS = 16                  # of a word's hash; a multiple of NIBBLE
+NIBBLE = 4                      # bits of a word whose slots lie side by side
+WORD_SLOTS = (WORD_BITS, 21, 21)  # bits of slot numbers, by words of context
+WORD_RATE = 0.02
+WORD_CHUNK = 8192               # tokens mixed at a time: what they touch stays in the cache
+PACKED = 1 << 13                # slots to a row on their way to the driver
 END, CLOSE = b"\n", 0x20
 
-# Bytes by kind, for styles: letters one by one, other ASCII in groups, continuation bytes folded.
-_KINDS = 56
-_KIND = np.zeros(256, np.int64)
-_KIND[ord("a"):ord("z") + 1] = np.arange(26)
-_KIND[ord("0"):ord("9") + 1] = 26
-for _i, _c in enumerate("!#$%&*|.,-:"):
-    _KIND[ord(_c)] = 27 + _i
-_KIND[[c for c in range(128) if not chr(c).isalnum() and chr(c) not in "!#$%&*|.,-: \n\t\r\x0b\x0c"]] = 38
-_KIND[[0x20, *range(9, 14)]] = 39
-_KIND[128:] = 40 + np.arange(128) % 16
-
-
-def histogram(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Square roots of the shares of byte kinds, one row per text."""
-    rows = len(offsets) - 1
-    owner = np.repeat(np.arange(rows), np.diff(offsets))
-    counts = np.bincount(owner * _KINDS + _KIND[data], minlength=rows * _KINDS).reshape(rows, _KINDS)
-    return np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True))).astype(np.float32)
-
-
-def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmin((centres ** 2).sum(axis=1)[None, :] - 2 * x @ centres.T, axis=1)
-
-
-def fit_styles(histograms: DataFrame, styles: int = STYLES, rounds: int = ROUNDS) -> np.ndarray:
-    """Cluster centres of the rows of ``h`` (binary float32); every round covers all of them."""
-    some = [np.frombuffer(r[0], np.float32) for r in histograms.orderBy(F.xxhash64("h"), "h").limit(SAMPLE).collect()]
-    if not some:
-        return np.zeros((1, _KINDS), np.float32)
-    pool = np.array(some)
-    centres = pool[:1]
-    while len(centres) < min(styles, len(pool)):
-        far = ((pool[:, None, :] - centres[None]) ** 2).sum(axis=2).min(axis=1)
-        if far.max() <= 0:
-            break
-        centres = np.vstack([centres, pool[np.argmax(far)]])
-    for _ in range(rounds):
-        def sums(batches: Iterator[pa.RecordBatch], centres=centres) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(centres), _KINDS + 1))
-            for batch in batches:
-                if batch.num_rows:
-                    x = np.frombuffer(b"".join(batch.column("h").to_pylist()), np.float32).reshape(-1, _KINDS)
-                    style = nearest(x, centres)
-                    np.add.at(total[:, :-1], style, x)
-                    total[:, -1] += np.bincount(style, minlength=len(centres))
-            yield pa.RecordBatch.from_pydict({"style": np.arange(len(centres)), "sums": list(total)},
-                                             schema=pa.schema([("style", pa.int64()), ("sums", pa.list_(pa.float64()))]))
-
-        rows = (histograms.mapInArrow(sums, "style long, sums array<double>").select("style", F.posexplode("sums").alias("i", "v"))
-                .groupBy("style", "i").agg(F.sum("v").alias("v")).collect())
-        total = np.zeros((len(centres), _KINDS + 1))
-        for style, i, v in rows:
-            total[style, i] = v
-        filled = total[:, -1] > 0
-        centres = centres.copy()
-        centres[filled] = (total[filled, :-1] / total[filled, -1:]).astype(np.float32)
-    return centres
-
-
-def distinct_tokens(data: np.ndarray, offsets: np.ndarray, styles: np.ndarray):
-    """The different (style, token) of some texts, and each document's token numbers with counts.
-
-    Returns the sorted keys of the tokens, their styles and bytes, document of each entry, its token number, its count."""
+def running_words(data: np.ndarray, offsets: np.ndarray):
+    """Hashes of all tokens of some texts in their order, and the number of the first token of each text."""
     starts, ends, owner = words(data, offsets)
     rows = len(offsets) - 1
-    hashes = np.concatenate([span_hashes(prefix_sums(data), starts, ends), np.full(rows, U(0))])  # the last are the ends
-    doc = np.concatenate([owner, np.arange(rows)])
-    with np.errstate(over="ignore"):
-        keys = mix(hashes + (styles[doc] + 1).astype(U) * U(0x9FB21C651E98DF25))
-    keys, first, number = np.unique(keys, return_index=True, return_inverse=True)
-    whole = data.tobytes()
-    tokens = [whole[starts[i]:ends[i]] if i < len(starts) else END for i in first.tolist()]
-    pairs, counts = np.unique(doc.astype(np.int64) * len(first) + number, return_counts=True)
-    return keys, styles[doc[first]], tokens, pairs // len(first), pairs % len(first), counts
-
-
-def batch_tokens(column: pa.Array, centres: np.ndarray):
-    """Styles of the texts of a batch, then what ``distinct_tokens`` returns for all of it, found part by part."""
-    parts, of_text, tokens, size = [], [], [], 0
-    for first, _, data, offsets in text_blocks(column, PART_BYTES):
+    hashes = np.full(len(starts) + rows, U(0))  # those that stay are the ends
+    hashes[np.arange(len(starts)) + owner] = span_hashes(prefix_sums(data), starts, ends)
+    return hashes, starts, ends, owner, np.cumsum(np.bincount(owner, minlength=rows) + 1) - np.bincount(owner, minlength=rows) - 1
+
+
+def distinct_tokens(data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, rows: int):
+    """The different tokens of some texts, and the place of every token among them.
+
+    Returns their sorted hashes, their bytes, and the document and token number of every token in order."""
+    doc = np.empty(len(hashes), np.int64)
+    place = np.arange(len(starts)) + owner
+    doc[place] = owner
+    last = np.ones(len(hashes), bool)
+    last[place] = False
+    doc[last] = np.arange(rows)
+    keys, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    whole, word = data.tobytes(), first - doc[first]
+    tokens = [END if end else whole[starts[i]:ends[i]] for i, end in zip(word.tolist(), last[first].tolist())]
+    return keys, tokens, doc, number
+
+
+def batch_tokens(column: pa.Array, mixer: WordMixer, predictors: Predictors):
+    """The different tokens of the texts of a batch, found part by part, and each document's token numbers with counts.
+
+    Returns the tokens, document of each entry, its token number, its count, the log10 of
+    the probability that the mixer gives the entry's words, and that of each document's words."""
+    parts, tokens, of_text, size = [], [], [], 0
+    for first, last, data, offsets in text_blocks(column, PART_BYTES):
         data = LOWER[data]
-        styles = nearest(histogram(data, offsets), centres)
-        keys, style, some, doc, number, count = distinct_tokens(data, offsets, styles)
-        of_text.append(styles)
+        hashes, starts, ends, owner, firsts = running_words(data, offsets)
+        keys, some, doc, number = distinct_tokens(data, hashes, starts, ends, owner, last - first)
+        coded = mixer.run(WordBits(hashes, firsts), predictors, False) / np.log(10)
+        of_text.append(np.add.reduceat(coded, firsts))
+        pairs, entry, counts = np.unique(doc * len(keys) + number, return_inverse=True, return_counts=True)
+        parts.append((keys, pairs // len(keys) + first, pairs % len(keys) + size, counts, np.bincount(entry, weights=coded)))
         tokens += some
-        parts.append((keys, style, doc + first, number + size, count))
         size += len(keys)
-    keys, style, doc, number, count = (np.concatenate(x) for x in zip(*parts))
-    keys, first, merged = np.unique(keys, return_index=True, return_inverse=True)
+    keys, doc, number, count, coded = (np.concatenate(x) for x in zip(*parts))
+    _, first, merged = np.unique(keys, return_index=True, return_inverse=True)
     # A document lies in one part, whose keys are sorted too: its numbers still ascend.
-    return np.concatenate(of_text), keys, style[first], [tokens[i] for i in first.tolist()], doc, merged[number], count
+    return [tokens[i] for i in first.tolist()], doc, merged[number], count, coded, np.concatenate(of_text)
 
 
 def _pack(values: np.ndarray, kind: type) -> bytes:
@@ -157,36 +118,41 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
     return np.diff(sums, prepend=0)
 
 
-_FIRST = "kind int, batch long, id {kind}, held_out boolean, style int, token binary, at int, n long, numbers binary, counts binary"
+_FIRST = ("kind int, batch long, id {kind}, held_out boolean, token binary, at int, n long, coded double, numbers binary, counts binary, "
+          "doubts binary")
 
 
-def _first_pass(df: DataFrame, centres: np.ndarray, kind: str) -> DataFrame:
+def _first_pass(df: DataFrame, predictors, mixer: WordMixer, kind: str) -> DataFrame:
     """Per batch of documents: its different tokens (kind 0; n: training count) and its documents as token
-    numbers (kind 1; n: bytes)."""
+    numbers (kind 1; n: bytes).
+
+    ``coded`` is what a document's words cost by their contexts, were all of them known; ``doubts`` holds the
+    part of each of its tokens that no training document of the batch has, as those may be new."""
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for first, last, _, offsets in text_blocks(batch.column("text"), BATCH_BYTES):
                 ids, held = batch.column("id").slice(first, last - first), batch.column("held_out").slice(first, last - first)
-                styles, _, style, tokens, doc, token, count = batch_tokens(batch.column("text").slice(first, last - first), centres)
+                tokens, doc, token, count, coded, of_text = batch_tokens(batch.column("text").slice(first, last - first), mixer, predictors.value)
                 training = ~np.array(held.to_pylist(), bool)
                 taught = np.bincount(token, weights=count * training[doc], minlength=len(tokens)).astype(np.int64)
                 none = lambda t, n: pa.nulls(n, t)
                 n, m = len(tokens), last - first
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, number)), none(ids.type, n), none(pa.bool_(), n),
-                     pa.array(style.astype(np.int32)), pa.array(tokens, pa.binary()), pa.array(np.arange(n, dtype=np.int32)),
-                     pa.array(taught), none(pa.binary(), n), none(pa.binary(), n)], names=names)
+                     pa.array(tokens, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(taught),
+                     none(pa.float64(), n), *(none(pa.binary(), n) for _ in range(3))], names=names)
                 edges = np.searchsorted(doc, np.arange(m + 1)).tolist()
-                spans = list(zip(edges[:-1], edges[1:]))
+                spans, unsure = list(zip(edges[:-1], edges[1:])), taught[token] == 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(m, np.int32)), pa.array(np.full(m, number)), ids, held, pa.array(styles.astype(np.int32)),
-                     none(pa.binary(), m), none(pa.int32(), m), pa.array(np.diff(offsets)),
+                    [pa.array(np.ones(m, np.int32)), pa.array(np.full(m, number)), ids, held,
+                     none(pa.binary(), m), none(pa.int32(), m), pa.array(np.diff(offsets)), pa.array(of_text),
                      pa.array([_pack(np.diff(token[a:b], prepend=-1), np.uint16) for a, b in spans], pa.binary()),
-                     pa.array([_pack(count[a:b], np.uint8) for a, b in spans], pa.binary())], names=names)
+                     pa.array([_pack(count[a:b], np.uint8) for a, b in spans], pa.binary()),
+                     pa.array([coded[a:b][unsure[a:b]].astype(np.float32).tobytes() for a, b in spans], pa.binary())], names=names)
                 number += 1
 
-    names = ["kind", "batch", "id", "held_out", "style", "token", "at", "n", "numbers", "counts"]
+    names = ["kind", "batch", "id", "held_out", "token", "at", "n", "coded", "numbers", "counts", "doubts"]
     return df.mapInArrow(compute, _FIRST.format(kind=kind))
 
 
@@ -249,9 +215,13 @@ class Predictors:
     """What each slot says, as it is and without one zero or one one."""
 
     def __init__(self, counts: np.ndarray):
-        zeros, ones = counts.astype(np.float64)
-        self.plain = _said(zeros, ones)
-        self.without = np.concatenate([_said(np.maximum(zeros - 1, 0), ones), _said(zeros, np.maximum(ones - 1, 0))])
+        n = counts.shape[1]
+        self.plain, self.without = np.empty(n, np.uint16), np.empty(2 * n, np.uint16)
+        for a in range(0, n, 1 << 18):
+            zeros, ones = counts[:, a:a + (1 << 18)].astype(np.float64)
+            self.plain[a:a + (1 << 18)] = _said(zeros, ones)
+            self.without[a:a + len(zeros)] = _said(np.maximum(zeros - 1, 0), ones)
+            self.without[n + a:n + a + len(zeros)] = _said(zeros, np.maximum(ones - 1, 0))
 
 
 def _gather_counts(vocabulary: DataFrame) -> np.ndarray:
@@ -342,6 +312,159 @@ def _learn_mixer(vocabulary: DataFrame, counts, styles: int) -> Mixer:
     return mixer
 
 
+_WORD_OFFSETS = np.concatenate(([0], np.cumsum([1 << s for s in WORD_SLOTS])))
+_START = U(0x94D049BB133111EB)  # stands before the first word
+# The gate is the number of contexts whose slot has seen something: the weights of each to begin with.
+_WORD_START = np.array([[1.0, 0.0, 0.0], [0.4, 0.6, 0.3], [0.2, 0.4, 0.5]])
+
+
+class WordBits:
+    """Hash bits of tokens that follow each other: for every bit the slots of the predictors."""
+
+    def __init__(self, hashes: np.ndarray, firsts: np.ndarray):
+        self.code = word_codes(hashes)
+        one, two = np.empty_like(hashes), np.empty_like(hashes)
+        one[1:], one[firsts] = hashes[:-1], _START
+        two[1:], two[firsts] = one[:-1], _START
+        with np.errstate(over="ignore"):
+            self.contexts = (mix(one), mix(one * U(0x9FB21C651E98DF25) + mix(two + _START)))
+
+    def __len__(self) -> int:
+        return len(self.code)
+
+    def bits(self, a: int, b: int):
+        """(bit number, its value for each token from ``a`` to ``b``, slots of each predictor), bit by bit."""
+        code = self.code[a:b]
+        for at in range(0, WORD_BITS, NIBBLE):
+            head = (code >> (WORD_BITS - at)).astype(U) + U(1 << at)
+            with np.errstate(over="ignore"):
+                bases = [(((c[a:b] ^ (head * U(0x165667B19E3779F9))) * U(0xC2B2AE3D27D4EB4F) >> U(64 - size + NIBBLE)).astype(np.int64) << NIBBLE) + start
+                         for c, size, start in zip(self.contexts, WORD_SLOTS[1:], _WORD_OFFSETS[1:])]
+            node = np.ones(len(code), np.int64)
+            for i in range(at, at + NIBBLE):
+                bit = (code >> (WORD_BITS - 1 - i)) & 1
+                yield i, bit, [(code >> (WORD_BITS - i)) + (1 << i), *(base + node for base in bases)]
+                node = node * 2 + bit
+
+
+def word_codes(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes) >> U(64 - WORD_BITS)).astype(np.int64)
+
+
+class WordMixer:
+    """Gated weights of the predictors of known words; ``learn`` moves them after each chunk of tokens."""
+
+    def __init__(self):
+        self.weights = np.tile(_WORD_START[:, :, None], (WORD_BITS, 1, 1, LEVELS))  # by bit, gate, predictor and what its slot has seen
+        self.weights[:, :, 1:, 0] = 0.0
+
+    def run(self, tokens: WordBits, predictors: Predictors, learn: bool) -> np.ndarray:
+        """Natural log of the probability of each token's bits; if learning, each is predicted without its own counts."""
+        out, odds = np.empty(len(tokens)), _ODDS.astype(np.float32)
+        gates = len(self.weights[0])
+        table = lambda weights: (np.repeat(weights.swapaxes(0, 1), 256, axis=2) * _ODDS).reshape(len(WORD_SLOTS), -1).astype(np.float32)
+        tables = [table(w) for w in self.weights]
+        for a in range(0, len(tokens), WORD_CHUNK):
+            chance = 1.0
+            for b, bit, slots in tokens.bits(a, a + WORD_CHUNK):
+                said = [predictors.without[s + bit * _WORD_OFFSETS[-1]] if learn else predictors.plain[s] for s in slots]
+                gate = sum((what >= 256).astype(np.int64) for what in said[1:]) * (256 * LEVELS)
+                logit = sum(tables[b][k][gate + what] for k, what in enumerate(said))
+                p = np.clip(1 / (1 + np.exp(-logit)), 1e-5, 1 - 1e-5)
+                chance = chance * np.where(bit == 1, p, 1 - p).astype(np.float64)
+                if learn:
+                    wrong = bit - p
+                    for k, what in enumerate(said):
+                        at = (gate + what) >> 8
+                        moved = np.bincount(at, weights=wrong * odds[what], minlength=gates * LEVELS)
+                        often = np.maximum(1, np.bincount(at, minlength=gates * LEVELS))
+                        self.weights[b, :, k] += WORD_RATE * (moved / np.sqrt(often)).clip(-4, 4).reshape(gates, LEVELS)
+                    tables[b] = table(self.weights[b])
+            out[a:a + WORD_CHUNK] = np.log(chance)
+        return out
+
+
+def _word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[WordBits]:
+    for batch in batches:
+        for _, _, data, offsets in text_blocks(batch.column("text"), PART_BYTES):
+            hashes, *_, firsts = running_words(LOWER[data], offsets)
+            yield WordBits(hashes, firsts)
+
+
+def _count_words(training: DataFrame) -> np.ndarray:
+    """Counts of zeros and ones of every slot over the running text of all training documents, as two rows."""
+    size = int(_WORD_OFFSETS[-1])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(2 * size, np.int32)
+        for tokens in _word_blocks(batches):
+            for a in range(0, len(tokens), WORD_CHUNK):
+                for _, bit, slots in tokens.bits(a, a + WORD_CHUNK):
+                    for s in slots:
+                        np.add.at(found, s + bit * size, 1)
+        parts = found.reshape(2, -1, PACKED).swapaxes(0, 1)
+        for i in np.flatnonzero(parts.any(axis=(1, 2))):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([i], pa.int32()), "found": pa.array([parts[i].tobytes()], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in table.column("found"))
+        return pa.table({"part": table.column("part").slice(0, 1), "found": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    # A task leaves one row for each part of the slots; as many tasks as cores, whatever the input.
+    cores = training.sparkSession.sparkContext.defaultParallelism
+    sums = (training.coalesce(cores).mapInArrow(count, "part int, found binary")
+            .groupBy("part").applyInArrow(add, "part int, found binary"))
+    counts = np.zeros((2, size), np.float32)
+    for row in sums.toLocalIterator():
+        counts[:, row["part"] * PACKED:(row["part"] + 1) * PACKED] = np.frombuffer(row["found"], np.float32).reshape(2, -1)
+    return counts
+
+
+def _learn_words(training: DataFrame, predictors) -> WordMixer:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer, seen = WordMixer(), 0
+        for tokens in _word_blocks(batches):
+            mixer.run(tokens, predictors.value, True)
+            seen += len(tokens)
+        if seen:
+            values = np.concatenate([(mixer.weights * seen).ravel(), [seen]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["i", "v"])
+
+    mixer = WordMixer()
+    sums = training.mapInArrow(learn, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # as many as weights
+    if sums:
+        values = np.zeros(mixer.weights.size + 1)
+        for i, v in sums:
+            values[i] = v
+        mixer.weights = (values[:-1] / values[-1]).reshape(mixer.weights.shape)
+    return mixer
+
+
+def _token_codes(column: pa.Array) -> np.ndarray:
+    """The hash bits of some tokens, as they have them in running text."""
+    codes = [np.zeros(0, np.int64)]
+    for _, _, data, offsets in text_blocks(column, PART_BYTES):
+        hashes = span_hashes(prefix_sums(data), offsets[:-1], offsets[1:])
+        hashes[SPACE[data[offsets[:-1]]]] = U(0)  # the end
+        codes.append(word_codes(hashes))
+    return np.concatenate(codes)
+
+
+def _code_totals(vocabulary: DataFrame) -> np.ndarray:
+    """Training tokens by their hash bits."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(1 << WORD_BITS, np.int64)
+        for batch in batches:
+            np.add.at(found, _token_codes(batch.column("token")), batch.column("c").to_numpy())
+        used = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(found[used])], names=["code", "n"])
+
+    totals = np.zeros(1 << WORD_BITS)
+    for code, n in vocabulary.select("token", "c").mapInArrow(add, "code int, n long").groupBy("code").agg(F.sum("n")).collect():
+        totals[code] = n
+    return totals
+
+
 def held_out(key: str, parts: int = 7, rest: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % parts == rest, F.lit(False))
 
@@ -352,68 +475,53 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", withheld
     spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"),
                      (held_out(key) if withheld is None else withheld).alias("held_out"))
-
-    def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in text_blocks(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array([h.tobytes() for h in histogram(LOWER[data], offsets)], pa.binary())], names=["h"])
-
-    centres = fit_styles(materialize(rows.filter("NOT held_out").select("text").mapInArrow(histograms, "h binary")))
-    styles = len(centres)
-    first = materialize(_first_pass(rows, centres, kind))
-    tokens = first.filter("kind = 0").select("batch", "at", "style", "token", "n")
-    documents = first.filter("kind = 1").select(F.col("batch").alias("part"), "id", "held_out", "style", "n", "numbers", "counts")
-
-    by_style = tokens.groupBy("token").agg(
-        F.sum("n").alias("c"), *(F.sum(F.when(F.col("style") == s, F.col("n"))).alias(f"c{s}") for s in range(styles)))
-    counts_of = F.array(*(f"c{s}" for s in range(styles)))
-    first_style = F.array_position(F.transform(counts_of, lambda x: x.isNotNull()), True) - 1
-    vocabulary = materialize(
-        by_style.select("token", "c", first_style.alias("_first"), F.posexplode(counts_of).alias("style", "c_style"))
-        .filter("c_style IS NOT NULL").withColumn("leads", F.col("_first") == F.col("style")).drop("_first"))
-    known = vocabulary.filter("c_style > 0").groupBy("style").agg(
-        F.sum("c_style").alias("n"), F.count(F.lit(1)).alias("types"),
-        F.sum((F.col("c_style") == 1).cast("long")).alias("once"), F.sum((F.col("c") == 1).cast("long")).alias("new"), F.sum(
-            F.col("c_style") * (F.col("token") == F.lit(END)).cast("int")).alias("docs")).collect()
-    amount = {r["style"]: (r["n"], r["types"], r["docs"]) for r in known}
-    train_tokens, train_docs = sum(n for n, *_ in amount.values()), sum(d for *_, d in amount.values())
-    different = vocabulary.filter("c > 0 AND leads").count()
+    training = rows.filter("NOT held_out").select("text")
+    words = spark.sparkContext.broadcast(Predictors(_count_words(training)))  # fixed size: WORD_SLOTS
+    first = materialize(_first_pass(rows, words, _learn_words(training, words), kind))
+    tokens = first.filter("kind = 0").select("batch", "at", "token", "n")
+    documents = first.filter("kind = 1").select(F.col("batch").alias("part"), "id", "held_out", "n", "coded", "numbers", "counts", "doubts")
+
+    vocabulary = materialize(tokens.groupBy("token").agg(F.sum("n").alias("c")))
+    known = vocabulary.filter("c > 0").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("types"),
+                                           F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()
+    train_tokens, different = known["n"] or 0, known["types"]
     unit = np.log10(train_tokens + different + 1)
+    new_share = (known["once"] + 1) / (train_tokens + 2)
+    code_totals = spark.sparkContext.broadcast(_code_totals(vocabulary))  # fixed size: WORD_BITS
 
-    counts = spark.sparkContext.broadcast(_gather_counts(vocabulary))  # fixed size: SLOTS
-    mixer = _learn_mixer(vocabulary, counts, styles)
-    in_style = np.array([amount.get(s, (0, 0, 0))[0] for s in range(styles)], float)
-    types = np.array([amount.get(s, (0, 0, 0))[1] for s in range(styles)], float)
-    left_style = np.where(in_style > 0, DISCOUNT * types / np.maximum(1, in_style), 1.0)
-    new_share = (sum(r["new"] for r in known) + 1) / (sum(r["once"] for r in known) + 2) if train_tokens else 1.0
-    style_cost = np.log10((np.array([amount.get(s, (0, 0, 0))[2] for s in range(styles)], float) + 1) / (train_docs + styles))
+    taught = vocabulary.select("token", F.lit(0).alias("style"), F.col("c").alias("c_style"))
+    counts = spark.sparkContext.broadcast(_gather_counts(taught))  # fixed size: SLOTS
+    mixer = _learn_mixer(taught, counts, 1)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictors = Predictors(counts.value)
         for batch in batches:
-            names, style = batch.column("token").to_pylist(), batch.column("style").to_numpy()
-            c, c_style = batch.column("c").to_numpy().astype(float), batch.column("c_style").to_numpy()
-            spelled = [mixer.run(Spelling(names[a:a + 5000], style[a:a + 5000]), predictors, False) for a in range(0, len(names), 5000)]
-            p = new_share * np.exp(np.concatenate(spelled) if spelled else np.zeros(0))
-            p += (1 - new_share) * c / max(1, train_tokens)
-            p = left_style[style] * p + np.maximum(0, c_style - DISCOUNT) / np.maximum(1, in_style[style])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("token"), batch.column("style"), batch.column("c"),
-                 pa.array(np.log10(np.maximum(p, 1e-300)).astype(np.float32))], names=["token", "style", "c", "own"])
-
-    judged = vocabulary.select("token", "style", "c", "c_style").mapInArrow(judge, "token binary, style int, c long, own float")
-    looked_up = tokens.drop("n").join(judged, ["token", "style"]).select("batch", "at", "c", "own")
+            c = batch.column("c").to_numpy().astype(float)
+            # Of a known word what its hash bits leave open; its context has been counted already.
+            own = np.log10(1 - new_share) + np.log10(np.maximum(c, 1) / np.maximum(1, code_totals.value[_token_codes(batch.column("token"))]))
+            new = np.flatnonzero(c == 0)
+            for a in range(0, len(new), 5000):
+                some = batch.column("token").take(pa.array(new[a:a + 5000])).to_pylist()
+                spelled = mixer.run(Spelling(some, np.zeros(len(some), np.int64)), predictors, False)
+                own[new[a:a + 5000]] = np.log10(new_share) + spelled / np.log(10)
+            yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("c"), pa.array(own.astype(np.float32))], names=["token", "c", "own"])
+
+    judged = vocabulary.mapInArrow(judge, "token binary, c long, own float")
+    looked_up = tokens.join(judged, "token").select("batch", "at", (F.col("n") == 0).alias("unsure"), "c", "own")
 
     def total(docs: pa.Table, found: pa.Table) -> pa.Table:
         at, c = found.column("at").to_numpy(), found.column("c").to_numpy()
-        values = np.zeros((3, len(at)))
+        values, unsure, new = np.zeros((3, len(at))), np.zeros(len(at), bool), np.zeros(len(at), bool)
         values[:, at] = c > 0, np.log10(c + 1.0) - unit, found.column("own").to_numpy()
+        unsure[at], new[at] = found.column("unsure").to_numpy(zero_copy_only=False), c == 0
         out = np.zeros((4, docs.num_rows))
-        for i, (numbers, n) in enumerate(zip(docs.column("numbers"), docs.column("counts"))):
-            n = _unpack(n.as_py(), np.uint8)
+        for i, (numbers, n, doubts) in enumerate(zip(docs.column("numbers"), docs.column("counts"), docs.column("doubts"))):
+            n, number = _unpack(n.as_py(), np.uint8), np.cumsum(_unpack(numbers.as_py(), np.uint16)) - 1
             out[0, i] = n.sum()
-            out[1:, i] = values[:, np.cumsum(_unpack(numbers.as_py(), np.uint16)) - 1] @ n
-        out[3] += style_cost[docs.column("style").to_numpy()]
+            out[1:, i] = values[:, number] @ n
+            # New words are spelled: what their hash bits cost does not count.
+            out[3, i] -= np.frombuffer(doubts.as_py(), np.float32)[new[number[unsure[number]]]].sum(dtype=np.float64)
+        out[3] += docs.column("coded").to_numpy()
         size = np.maximum(1, docs.column("n").to_numpy())
         return pa.table({"id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": out[0].astype(np.int64),
                          "n_known": np.rint(out[1]).astype(np.int64), "base_score": out[2], "score": out[3],

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import plain
 import pytest
+from pyspark.sql import functions as F
 
 from sessionloom.llm import decontam, graph, lm, neardup, quotes, repeats, topk
 from sessionloom.llm.queries import QUERIES
@@ -212,6 +213,33 @@ def test_mixer_learns_from_repeated_words(spark):
     assert not np.array_equal(mixer.weights, start.weights)
 
 
+def test_known_words_are_scored_in_their_context(spark):
+    """A text scores higher than its words in another order, if training text has that order."""
+    order = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(order[i % 12:] + order[:i % 12]), False) for i in range(60)]
+    rows += [(100, " ".join(order), True), (101, " ".join(order[::-1]), True), (102, " ".join(order) + " unseen", True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, withheld boolean").repartition(3)
+    found = {r["doc_id"]: r for r in lm.score_texts(df, withheld=F.col("withheld")).collect()}
+    assert math.isclose(found[100]["base_score"], found[101]["base_score"])
+    assert found[100]["score"] > found[101]["score"] + 1
+    assert found[102]["n_tokens"] - found[102]["n_known"] == 1 and found[102]["score"] < found[100]["score"]
+
+
+def test_bits_of_words_are_a_probability():
+    """The codes that may follow two words add up to one."""
+    n = 1 << lm.WORD_BITS
+    texts = lm.WordBits(np.arange(1, 301, dtype=np.uint64) % np.uint64(7), np.arange(0, 300, 3))
+    counts = np.zeros((2, lm._WORD_OFFSETS[-1]), np.float32)
+    for _, bit, slots in texts.bits(0, 300):
+        for s in slots:
+            np.add.at(counts, (bit, s), 1)
+    predictors, mixer, every = lm.Predictors(counts), lm.WordMixer(), lm.WordBits(np.ones(n, np.uint64), np.array([0]))
+    mixer.run(texts, predictors, True)
+    every.code = np.arange(n)
+    every.contexts = tuple(np.full(n, c[4]) for c in texts.contexts)
+    assert math.isclose(np.exp(mixer.run(every, predictors, False)).sum(), 1, abs_tol=1e-4)
+
+
 # -- repeats --------------------------------------------------------------------------------
 def test_run_length_index():
     random.seed(1)
