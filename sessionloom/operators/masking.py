@@ -42,6 +42,12 @@ def last_item_target(values, items=None) -> Column:
     return F.transform(labels, lambda x, i: F.when(i == place, x).otherwise(F.lit(PAD).cast("bigint")))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row: a column that a function of list
+    elements names would be put into it by the optimizer and computed for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _pick(positions: Column, *key) -> Column:
     """One of the positions, by the hash of the key; null if there are none."""
     return F.get(positions, F.pmod(hashed_int(*key), F.greatest(F.size(positions), F.lit(1)).cast("bigint")).cast("int"))
@@ -57,8 +63,8 @@ def _leave_one(df: DataFrame, values: str, key: Column, seed: int) -> DataFrame:
     real = _length(F.col(values))
     df = df.withColumn("_at", _marked(F.col("_mask")))
     shown = F.when(F.size("_at") == real, _pick(F.col("_at"), key, "show", seed))
-    df = df.withColumn("_shown", F.coalesce(shown.cast("int"), F.lit(-1)))
-    return df.withColumn("_mask", F.transform("_mask", lambda m, i: m & (i != F.col("_shown"))))
+    return df.withColumn("_mask", _once(F.coalesce(shown.cast("int"), F.lit(-1)), lambda at: F.transform(
+        "_mask", lambda m, i: m & (i != at))))
 
 
 def _labels(df: DataFrame, values: str, out: str) -> DataFrame:
@@ -84,11 +90,11 @@ def mlm_targets(df: DataFrame, session: str, values: str, p: float = 0.15, seed:
         return df.withColumn(out, F.transform(longer, lambda x, i: F.when(
             (i == length) & (length > 0), F.get(items, length - 1)).otherwise(zero)))
     real = _marked(F.transform(items, lambda x: x != PAD))
-    df = df.withColumn("_forced", F.coalesce(_pick(real, key, "force", seed).cast("int"), F.lit(-1)))
-    df = df.withColumn("_mask", F.transform(items, lambda x, i: (x != PAD) & (
-        (uniform(key, i, seed) < p) | (i == F.col("_forced")))))
+    forced = F.coalesce(_once(real, lambda at: _pick(at, key, "force", seed)).cast("int"), F.lit(-1))
+    df = df.withColumn("_mask", _once(forced, lambda at: F.transform(items, lambda x, i: (x != PAD) & (
+        (uniform(key, i, seed) < p) | (i == at)))))
     df = _leave_one(df, values, key, seed)
-    return _labels(df, values, out).drop("_forced", "_mask", "_at", "_shown")
+    return _labels(df, values, out).drop("_mask", "_at")
 
 
 def span_targets(df: DataFrame, session: str, values: str, p: float = 1 / 6, max_span: int = 5,
@@ -100,32 +106,44 @@ def span_targets(df: DataFrame, session: str, values: str, p: float = 1 / 6, max
     item is masked, and one is shown again if all are.
     """
     items, key = F.col(values), F.col(session)
-    length = _length(items)
-    steps = F.sequence(F.lit(1), F.greatest(F.ceil(length * p).cast("int") + 1, F.lit(1)))
 
     def draw(step: Column) -> Column:
-        span = uniform_int(1, max_span, key, step, "span", seed)
-        context = F.floor(span / p)
-        offset = uniform_int(F.lit(0), context - span, key, step, "place", seed)
-        return F.struct(span.alias("span"), context.alias("context"), offset.alias("offset"))
+        def place(span: Column) -> Column:
+            context = F.floor(span / p)
+            offset = uniform_int(F.lit(0), context - span, key, step, "place", seed)
+            return F.struct(span.alias("span"), context.alias("context"), offset.alias("offset"))
+
+        return _once(uniform_int(1, max_span, key, step, "span", seed), place)
 
-    df = df.withColumn("_draws", F.transform(steps, draw))
     empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    spans = F.aggregate(
-        "_draws", F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans")),
-        lambda acc, d: F.struct(
-            (acc["at"] + d["context"]).alias("at"),
-            F.when(acc["at"] < length, F.array_append(acc["spans"], F.struct(
-                (acc["at"] + d["offset"]).alias("start"),
-                (acc["at"] + d["offset"] + d["span"]).alias("stop")))).otherwise(acc["spans"]).alias("spans")))
-    df = df.withColumn("_spans", spans["spans"])
-    df = df.withColumn("_mask", F.transform(items, lambda x, i: (x != PAD) & F.exists(
-        "_spans", lambda s: (i >= s["start"]) & (i < s["stop"]))))
+
+    def spans(length: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.greatest(F.ceil(length * p).cast("int") + 1, F.lit(1)))
+        return F.aggregate(
+            F.transform(steps, draw), F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans")),
+            lambda acc, d: F.struct(
+                (acc["at"] + d["context"]).alias("at"),
+                F.when(acc["at"] < length, F.array_append(acc["spans"], F.struct(
+                    (acc["at"] + d["offset"]).alias("start"),
+                    (acc["at"] + d["offset"] + d["span"]).alias("stop")))).otherwise(acc["spans"]).alias("spans")))["spans"]
+
+    flags = _once(_once(_length(items), spans), _flags)
+    df = df.withColumn("_mask", _once(flags, lambda inside: F.transform(items, lambda x, i: (x != PAD) & F.coalesce(
+        F.get(inside, i), F.lit(False)))))
     real = _marked(F.transform(items, lambda x: x != PAD))
-    df = df.withColumn("_forced", F.when(~F.exists("_mask", lambda m: m), _pick(real, key, "force", seed).cast("int")))
-    df = df.withColumn("_mask", F.transform("_mask", lambda m, i: m | F.coalesce(i == F.col("_forced"), F.lit(False))))
+    forced = F.when(~F.exists("_mask", lambda m: m), _once(real, lambda at: _pick(at, key, "force", seed)).cast("int"))
+    df = df.withColumn("_mask", _once(forced, lambda at: F.transform("_mask", lambda m, i: m | F.coalesce(i == at, F.lit(False)))))
     df = _leave_one(df, values, key, seed)
-    return _labels(df, values, out).drop("_draws", "_spans", "_mask", "_forced", "_at", "_shown")
+    return _labels(df, values, out).drop("_mask", "_at")
+
+
+def _flags(spans: Column) -> Column:
+    """Whether each row lies in a span, up to the end of the last one; spans ascend and do not overlap."""
+    def run(span: Column, i: Column) -> Column:
+        before = span["start"] - F.coalesce(F.get(spans, i - 1)["stop"], F.lit(0))
+        return F.concat(F.array_repeat(F.lit(False), before.cast("int")), F.array_repeat(F.lit(True), (span["stop"] - span["start"]).cast("int")))
+
+    return F.flatten(F.transform(spans, run))
 
 
 def corrupt_items(df: DataFrame, session: str, values: str, labels: str, max_id: int | Column,
