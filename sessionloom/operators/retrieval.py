@@ -19,20 +19,30 @@ from sessionloom.operators.ranking import topk
 
 # Items per block of the score matrix.
 ITEM_BLOCK = 4_096
+# Sessions whose scores with a block are held at a time.
+SCORE_ROWS = 512
 
 
-def _best(ids: np.ndarray, items: np.ndarray, scores: np.ndarray, k: int, skip_self: bool) -> pd.DataFrame:
-    """Top k items of each row of a score block; equal scores go by item."""
+def _best(ids: np.ndarray, items: np.ndarray, scores: np.ndarray, k: int, skip_self: bool, least: np.ndarray | None = None) -> pd.DataFrame:
+    """Top k items of each row of a score block; equal scores go by item.
+
+    ``least`` is a score below which no item of the row counts; nothing is sorted but what reaches it, or the row's k-th score."""
     order_items = np.argsort(items, kind="stable")
-    items, scores = items[order_items], scores[:, order_items]
-    own = (ids[:, None] == items[None, :]) & skip_self
-    # One more than k, as an own item goes afterwards; other infinite scores stay.
-    cut = min(k + int(skip_self), scores.shape[1])
+    if (np.diff(order_items) != 1).any():
+        items, scores = items[order_items], scores[:, order_items]
+    if skip_self:
+        mine = np.flatnonzero(np.isin(ids, items))
+        scores[mine] = np.where(ids[mine][:, None] == items[None, :], np.nan, scores[mine])
+    rows, places = np.nonzero(scores >= (-np.inf if least is None else least[:, None]))
+    if len(rows) > 4 * k * len(ids) and scores.shape[1] > k > 0:
+        kth = np.partition(np.where(np.isnan(scores), -np.inf, scores), -k, axis=1)[:, -k]
+        rows, places = np.nonzero(scores >= (kth if least is None else np.maximum(kth, least))[:, None])
+    found = scores[rows, places]
     # Items are in order, so a stable sort by score breaks ties by item.
-    best = np.argsort(np.where(own, np.inf, -scores), axis=1, kind="stable")[:, :cut]
-    out = pd.DataFrame({"session": np.repeat(ids, cut), "item": items[best].ravel(),
-                        "score": np.take_along_axis(scores, best, axis=1).ravel()})
-    return plain_strings(out[~np.take_along_axis(own, best, axis=1).ravel() & ~np.isnan(out["score"])])
+    order = np.lexsort((-found, rows))
+    rows, places, found = rows[order], places[order], found[order]
+    best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return plain_strings(pd.DataFrame({"session": ids[rows[best]], "item": items[places[best]], "score": found[best]}))
 
 
 def score_by_vectors(sessions: DataFrame, items: DataFrame, k: int, session: str = "session",
@@ -69,7 +79,8 @@ def _item_blocks(items: DataFrame, size: int) -> DataFrame:
 
 
 def _reach(sessions: DataFrame, found: DataFrame, longest: list[float], k: int, scale: float) -> DataFrame:
-    """Sessions with ``_reach``: how many item blocks may hold one of their k best items.  ``longest``, one number per block, falls."""
+    """Sessions with ``_reach``: how many item blocks may hold one of their k best items, and ``_kth``, the score these
+    have to reach.  ``longest``, one number per block, falls."""
     kth = found.groupBy("session").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("_kth"))
     kind = sessions.schema["session"].dataType.simpleString()
     vectors = sessions.schema["vector"].dataType.simpleString()
@@ -83,9 +94,9 @@ def _reach(sessions: DataFrame, found: DataFrame, longest: list[float], k: int,
                 least = known / (own * (1 + 1e-9))      # of an item's length; above zero only
             sure = np.isfinite(least) & (known > 0)
             reach = np.where(sure, np.searchsorted(falling, -np.where(sure, least, 0.0), "right"), len(longest))
-            yield batch[["session", "vector"]].assign(_reach=reach.astype(np.int32))
+            yield batch[["session", "vector"]].assign(_reach=reach.astype(np.int32), _kth=batch["_kth"])
 
-    return (sessions.join(kth, "session", "left").mapInPandas(count, f"session {kind}, vector {vectors}, _reach int")
+    return (sessions.join(kth, "session", "left").mapInPandas(count, f"session {kind}, vector {vectors}, _reach int, _kth double")
             .filter("_reach > 1"))
 
 
@@ -112,10 +123,15 @@ def _meet(sessions: DataFrame, blocks: DataFrame, tiles: DataFrame, k: int, scal
     def meet(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if not len(mine) or not len(theirs):
             return pd.DataFrame({"session": [], "item": [], "score": []})
-        return _best(mine["session"].to_numpy(), theirs["item"].to_numpy(),
-                     matrix(mine["vector"]) @ matrix(theirs["item_vector"]).T * scale, k, skip_self)
-
-    return (ls.select("_g", "_sb", "_ib", "session", "vector").groupBy("_g", "_sb", "_ib")
+        theirs = theirs.sort_values("item", kind="stable")
+        ids, vectors, others = mine["session"].to_numpy(), matrix(mine["vector"]), matrix(theirs["item_vector"]).T
+        least = mine["_kth"].fillna(-np.inf).to_numpy(float)
+        return pd.concat([_best(ids[a:a + SCORE_ROWS], theirs["item"].to_numpy(), vectors[a:a + SCORE_ROWS] @ others * scale, k, skip_self,
+                                least[a:a + SCORE_ROWS]) for a in range(0, len(ids), SCORE_ROWS)])
+
+    if "_kth" not in sessions.columns:
+        ls = ls.withColumn("_kth", F.lit(None).cast("double"))
+    return (ls.select("_g", "_sb", "_ib", "session", "vector", "_kth").groupBy("_g", "_sb", "_ib")
             .cogroup(rs.select("_g", "_sb", "_ib", "item", "item_vector").groupBy("_g", "_sb", "_ib")).applyInPandas(meet, schema))
 
 

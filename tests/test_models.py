@@ -118,6 +118,24 @@ def test_blocks_of_short_items_are_skipped(spark):
     assert retrieval._tiles(asked, 1000, 1).count() <= 4 + 1
 
 
+def test_only_scores_that_count_are_sorted():
+    """The best of a block by a known bound, of ties and odd scores, equal those of a whole sort."""
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        scores = rng.integers(-3, 4, (20, 30)).astype(float)
+        scores[rng.random((20, 30)) < 0.05] = rng.choice([np.nan, np.inf, -np.inf])
+        ids, items = rng.permutation(50)[:20], rng.permutation(50)[:30]
+        least, want = np.full(20, -np.inf), []
+        for i, row in enumerate(scores):
+            ranked = sorted((-x, t) for x, t in zip(row, items) if t != ids[i] and not np.isnan(x))[:4]
+            want += [(ids[i], t, -x) for x, t in ranked]
+            if len(ranked) == 4:
+                least[i] = -ranked[-1][0]
+        for bound in (None, least):
+            found = retrieval._best(ids, items, scores.copy(), 4, True, bound)
+            assert sorted(map(tuple, found.itertuples(index=False))) == sorted(want)
+
+
 def test_predict_rejects_too_many(spark):
     with pytest.raises(ValueError):
         retrieval.predict(spark.createDataFrame([(1, [1])], "session int, items array<int>"), lambda b: None, k=9, top_k=5)
