@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from sessionloom.constants import GROUP_SIMILARITY
 from sessionloom.functions.vectors import l2_distance, l2_norm
 from sessionloom.operators.moments import vector_aggregate, vector_scatter
-from sessionloom.operators.pairs import TILE, matrix, number_points, plain_strings, tile_pairs
+from sessionloom.operators.pairs import TILE, distances, matrix, number_points, plain_strings, tile_pairs
 from sessionloom.operators.scale import broadcast_if_small, materialize, same_keys, small_table
 
 # Similarities are ranked as integers of this many bits, ``_STEP`` bits per pass.
 _BITS, _STEP = 44, 11
+# Points to a tile of similarities: a point is sent once for every tile of its group, in each pass.
+SIMILARITY_TILE = 2048
 
 
 def group_sizes(words: DataFrame, group: str = "id") -> DataFrame:
@@ -41,7 +43,7 @@ def _quantized_pairs(left: pd.DataFrame, right: pd.DataFrame | None) -> tuple[np
 
 
 def group_similarity(words: DataFrame, group: str = "id", key: str = "message",
-                     vector: str = "embedding", tile: int = TILE) -> DataFrame:
+                     vector: str = "embedding", tile: int = SIMILARITY_TILE) -> DataFrame:
     """Size, and mean, median and population deviation of the pairwise cosine similarities.
 
     Similarities are taken to 2**-44 for the median.  A group that fits one tile is done at
@@ -151,6 +153,7 @@ def centroid_label(words: DataFrame, keys: Sequence[str] = ("id",), order: str =
 def _spanning_forest(points: np.ndarray, longest: float) -> list[tuple[int, int, float]]:
     """Edges of a minimum spanning tree that are not longer than ``longest`` (Prim)."""
     n = len(points)
+    far = distances(points, points)
     best = np.full(n, np.inf)
     source = np.zeros(n, dtype=np.int64)
     free = np.ones(n, dtype=bool)
@@ -158,7 +161,7 @@ def _spanning_forest(points: np.ndarray, longest: float) -> list[tuple[int, int,
     current = 0
     for _ in range(n - 1):
         free[current] = False
-        reach = np.sqrt(((points - points[current]) ** 2).sum(axis=1))
+        reach = far[current]
         closer = free & (reach < best)
         best[closer] = reach[closer]
         source[closer] = current
@@ -245,17 +248,16 @@ def silhouette(points: DataFrame, clusters: DataFrame, group: str = "id", key: s
     def one_way(name, rows, others):
         a, b = matrix(rows[vector]), matrix(others[vector])
         codes, starts = np.unique(others["cluster"].to_numpy(), return_inverse=True)
-        counts = np.bincount(starts)
+        counts, order = np.bincount(starts), np.argsort(starts, kind="stable")
+        edges = np.cumsum(counts) - counts
         size_of = dict(zip(others["cluster"], others["_size"]))
         whole = np.array([size_of[c] == n for c, n in zip(codes, counts)])
         frames = []
         block = 64
         for at in range(0, len(a), block):
             part = rows.iloc[at:at + block]
-            far = np.sqrt(((a[at:at + block, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-            sums = np.zeros((len(part), len(codes)))
-            for c in range(len(codes)):
-                sums[:, c] = far[:, starts == c].sum(axis=1)
+            far = distances(a[at:at + block], b)
+            sums = np.add.reduceat(far[:, order], edges, axis=1)
             mine = part["cluster"].to_numpy()[:, None] == codes[None, :]
             closed = whole[None, :] & ~mine
             nearest = np.where(closed, sums / counts[None, :], np.inf).min(axis=1)
@@ -269,12 +271,12 @@ def silhouette(points: DataFrame, clusters: DataFrame, group: str = "id", key: s
         out[group] = name
         return out
 
-    def distances(name, left, right):
+    def both_ways(name, left, right):
         if right is None:
             return one_way(name, left, left)
         return pd.concat([one_way(name, left, right), one_way(name, right, left)])
 
-    found = tile_pairs(numbered, group, distances,
+    found = tile_pairs(numbered, group, both_ways,
                        f"{key} {ktype}, cluster {ktype}, s double, closed boolean, {group} {gtype}",
                        [key, vector, "cluster", "_size"], tile)
     sums = found.groupBy(group, key, "cluster", "closed").agg(
@@ -340,7 +342,7 @@ def build_dictionary(words: DataFrame, similarity: float = GROUP_SIMILARITY,
     share one label; other groups are clustered first and get a label per cluster.
     """
     single, rest = single_member_labels(words)
-    stats = small_table(group_similarity(rest, tile=tile).select("id", "median_similarity"))
+    stats = small_table(group_similarity(rest, tile=max(tile, SIMILARITY_TILE)).select("id", "median_similarity"))
     rated = rest.join(stats, "id")
     alike = rated.filter(F.col("median_similarity") > similarity).drop("median_similarity")
     mixed = materialize(rated.filter(~(F.col("median_similarity") > similarity)).drop("median_similarity"))

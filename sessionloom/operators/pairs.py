@@ -61,3 +61,17 @@ def plain_strings(frame: pd.DataFrame) -> pd.DataFrame:
 
 def matrix(series: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in series])
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of ``a`` to all of ``b``.
+
+    Squares come from one matrix product; where little is left of the lengths, so that digits cancel, they
+    are summed from the differences instead."""
+    long, wide = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    squares = long[:, None] + wide[None, :] - 2 * (a @ b.T)
+    i, j = np.nonzero(~(squares > 1e-3 * (long[:, None] + wide[None, :])))
+    for at in range(0, len(i), 1 << 16):
+        some = slice(at, at + (1 << 16))
+        squares[i[some], j[some]] = ((a[i[some]] - b[j[some]]) ** 2).sum(axis=1)
+    return np.sqrt(squares)

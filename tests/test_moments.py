@@ -8,6 +8,7 @@ import pytest
 
 from sessionloom.operators import dictionary, features
 from sessionloom.operators.moments import vector_aggregate, vector_scatter
+from sessionloom.operators.pairs import distances
 
 
 @pytest.mark.parametrize("how", ["sum", "mean", "max", "min"])
@@ -72,3 +73,18 @@ def test_similarity_of_a_group_over_several_tiles(spark):
         assert math.isclose(row["median_similarity"], np.median(values), abs_tol=1e-9)
         same = found[tile, 2]
         assert same["length"] == 40 and same["std_dev_similarity"] < 1e-12 and math.isclose(same["mean_similarity"], 1, abs_tol=1e-12)
+
+
+def test_distances_of_near_rows():
+    """Rows that are equal or nearly so keep the digits that a matrix product would lose."""
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(30, 8)) * 100
+    b = np.concatenate([a[:10], a[10:20] + 1e-7, rng.normal(size=(10, 8)), np.zeros((1, 8))])
+    want = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    assert np.allclose(distances(a, b), want, rtol=1e-11, atol=0)
+    assert not distances(b, b).diagonal().any()
+
+
+def test_tiles_of_similarities_are_large():
+    """A point of a group of 60,000 is sent at most 30 times a pass."""
+    assert 60_000 / dictionary.SIMILARITY_TILE < 30
