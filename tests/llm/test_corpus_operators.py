@@ -240,6 +240,43 @@ def test_bits_of_words_are_a_probability():
     assert math.isclose(np.exp(mixer.run(every, predictors, False)).sum(), 1, abs_tol=1e-4)
 
 
+def test_nibbles_give_what_single_bits_give():
+    """Counts by leaf and lookups by path equal counting and mixing bit by bit."""
+    random.seed(8)
+    texts = lm.WordBits(np.array([random.randint(1, 40) for _ in range(3000)], np.uint64), np.arange(0, 3000, 50))
+    size, n = int(lm._WORD_OFFSETS[-1]), len(texts)
+    counts, leaves = np.zeros((2, size), np.int64), np.zeros(size, np.int64)
+    for _, bit, slots in texts.bits(0, n):
+        for s in slots:
+            np.add.at(counts, (bit, s), 1)
+    for leaf in texts.leaves(0, n):
+        np.add.at(leaves, leaf, 1)
+    assert np.array_equal(lm.node_counts(leaves), counts)
+    predictors, mixer, odds = lm.Predictors(counts.astype(np.float32)), lm.WordMixer(), lm._ODDS.reshape(lm.LEVELS, 256)
+    for learn in (False, True):
+        want, start = np.zeros(n), mixer.weights.copy()
+        for b, bit, slots in texts.bits(0, n):
+            said = [predictors.without[s + bit * size] if learn else predictors.plain[s] for s in slots]
+            gate = sum((what >= 256).astype(int) for what in said[1:])
+            logit = sum(start[b, gate, k, what >> 8] * odds[0, what & 255] for k, what in enumerate(said))
+            p = np.clip(1 / (1 + np.exp(-logit)), 1e-5, 1 - 1e-5)
+            want += np.log(np.where(bit == 1, p, 1 - p))
+        assert np.allclose(mixer.run(texts, predictors, learn), want, rtol=1e-4)
+    assert not np.array_equal(mixer.weights, start)
+
+
+def test_counts_of_a_task_have_one_number_per_slot(spark, monkeypatch):
+    """What a counting task leaves is half of what it would be with zeros and ones of every slot."""
+    sent = []
+    whole = lm.node_counts
+    monkeypatch.setattr(lm, "node_counts", lambda leaves: sent.append(leaves.shape) or whole(leaves))
+    training = spark.createDataFrame([("a b a b",), ("b",), (None,)], "text string")
+    counts = lm._count_words(training)
+    assert sent == [(lm._WORD_OFFSETS[-1],)]
+    # Eight tokens, the ends among them, each with one bit at the root of every predictor's tree.
+    assert counts.shape == (2, lm._WORD_OFFSETS[-1]) and counts[:, 1].sum() == 8 and counts.sum() == 8 * lm.WORD_BITS * len(lm.WORD_SLOTS)
+
+
 # -- repeats --------------------------------------------------------------------------------
 def test_run_length_index():
     random.seed(1)
