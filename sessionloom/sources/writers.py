@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sessionloom.operators.ordered import global_number
 from sessionloom.operators.scale import materialize, once, small_table
 
+CHUNK_FOLDERS = 1000  # of session chunks, at most
+
 # Columns and types of a training row.
 TRAINING_TYPES = {
     "session_id": "string",
@@ -30,17 +32,27 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def session_chunks(df: DataFrame, per_chunk: int = 10_000, session: str = "session") -> DataFrame:
     """Add ``chunk``: sessions in order of their id, ``per_chunk`` of them each."""
-    ids = materialize(df.select(session).distinct())
+    return _with_chunk(df, materialize(df.select(session).distinct()), per_chunk, session)
+
+
+def _with_chunk(df: DataFrame, ids: DataFrame, per_chunk: int, session: str) -> DataFrame:
     numbered = global_number(ids, [session], "_n").select(
         session, F.floor((F.col("_n") - 1) / per_chunk).alias("chunk"))
     return df.join(small_table(numbered), session)
 
 
-def write_session_chunks(df: DataFrame, path: str, per_chunk: int = 10_000, session: str = "session") -> None:
-    """One folder per chunk.  A folder holds whole sessions; a huge one may span several files."""
-    chunked = session_chunks(df, per_chunk, session)
-    # Rebalancing gives a chunk few files and still cuts a chunk that is far too large.
-    chunked.hint("rebalance", "chunk").write.mode("overwrite").partitionBy("chunk").parquet(path)
+def write_session_chunks(df: DataFrame, path: str, per_chunk: int = 10_000, session: str = "session", folders: int = CHUNK_FOLDERS) -> None:
+    """Chunks in folders ``first_chunk=...``, one each up to ``folders`` chunks, else runs of consecutive ones.
+
+    A chunk lies in one folder and holds whole sessions; a huge one may span several files.  A folder costs as much as thousands
+    of rows, so their number does not follow the input.  Rows are sorted by chunk, so a filter on ``chunk`` reads little else."""
+    ids = materialize(df.select(session).distinct())
+    chunks = -(-ids.count() // per_chunk)  # from the files' footers
+    width = max(1, -(-chunks // folders))
+    chunked = _with_chunk(df, ids, per_chunk, session).withColumn("first_chunk", F.col("chunk") - F.pmod(F.col("chunk"), F.lit(width)))
+    # Rebalancing gives a folder few files and still cuts one that is far too large.
+    (chunked.hint("rebalance", "first_chunk").sortWithinPartitions("first_chunk", "chunk")
+     .write.mode("overwrite").partitionBy("first_chunk").parquet(path))
 
 
 def training_rows(df: DataFrame) -> DataFrame:
