@@ -221,13 +221,15 @@ def _(spark, sf):
 
 
 def _live_inputs(spark, sf):
-    log = V.log0(spark, sf).withColumn("ts", F.date_format("ts", "MM/dd/yyyy HH:mm:ss '0.'SSSSSS '+0000'"))
-    kept = materialize(V.modeling_log(spark, sf))
+    # Every step writes a part of the log and looks up in the side tables: all of them are computed once.
+    raw = materialize(V.log0(spark, sf, spread=True))
+    log = raw.withColumn("ts", F.date_format("ts", "MM/dd/yyyy HH:mm:ss '0.'SSSSSS '+0000'"))
+    kept = materialize(V.modeling_log(spark, sf, raw))
     item = kept.withColumn("item", M.strip_command_ids("message"))
     info = V.side0(item).select("message_content", "classification", "target")
     words = item.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     vocabulary = words.select("item", F.length("item").cast("bigint").alias("item_id"))
-    return log, V.dict0(kept), V.pairs0(spark), vocabulary, info
+    return log, *(materialize(side) for side in (V.dict0(kept), V.pairs0(spark), vocabulary, info))
 
 
 @query("live_filter", with_(LIVE_RESULT, "SELECT * FROM live_result"))

@@ -43,10 +43,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def log0(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log0(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """The raw log.  Category and message are computed once per row: behind ``inline`` no
-    later filter is pushed down with a copy of their long expressions."""
-    return table(spark, sf_dir, "events").selectExpr("*", f"{LOG_K} AS k").selectExpr(
+    later filter is pushed down with a copy of their long expressions.
+
+    ``spread``: rows are dealt out first, as a file of few row groups is read by as few tasks."""
+    events = table(spark, sf_dir, "events")
+    if spread:
+        events = events.select("event_id", "ts", "user_id", "event_type", "props").repartition("event_id", "user_id", "ts")
+    return events.selectExpr("*", f"{LOG_K} AS k").selectExpr(
         "CAST(user_id AS STRING) AS session", "ts", "event_id AS seq",
         f"inline(array(struct({LOG_CAT} AS cat, {LOG_MESSAGE} AS message)))")
 
@@ -55,9 +60,9 @@ def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefilter(log0(spark, sf_dir))
 
 
-def modeling_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filtered log with undone work removed."""
-    raw = log0(spark, sf_dir)
+def modeling_log(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
+    """The filtered log with undone work removed; ``raw`` is the raw log where it has been computed already."""
+    raw = log0(spark, sf_dir) if raw is None else raw
     return undo_redo(prefilter(raw), source=raw)
 
 

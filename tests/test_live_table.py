@@ -1,10 +1,13 @@
 """Live tables on feeds without an order of their own, zero vectors, infinite scores, repeated keys."""
 
+import datetime
 import json
 import math
 
 from sessionloom.functions import vectors
 from sessionloom.operators import dictionary, lookups, retrieval
+from sessionloom.operators.scale import once
+from sessionloom.plans import catalog_rank
 from sessionloom.streaming.live import LiveTable, live_history
 
 
@@ -34,6 +37,17 @@ def test_rows_without_seq_are_ordered_as_read(spark, tmp_path):
     assert [r["message"] for r in live.current().orderBy("seq").collect()] == ["m0", "m1"]
 
 
+def test_inputs_of_the_live_queries_are_computed_once(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    events = [(i, at, i % 3, "click", 1.0, f'{{"k": {i}}}') for i in range(20)] + [(None, at, 1, "view", 1.0, '{"k": 1}')]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(events, schema).write.parquet(str(tmp_path / "events.parquet"))
+    log, *sides = catalog_rank._live_inputs(spark, str(tmp_path))
+    assert not any("events.parquet" in file for file in log.inputFiles())
+    assert all(once(side) is side for side in sides)
+    assert log.count() == len(events) and log.columns == ["session", "ts", "seq", "cat", "message"]
+
+
 def test_history(spark):
     rows = spark.createDataFrame([("a", 2, 1, "y"), ("a", 1, 9, "x"), ("b", 1, 1, "z")], "session string, timestamp int, seq int, item_id string")
     assert sorted(map(tuple, live_history(rows).collect())) == [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")]
