@@ -85,6 +85,29 @@ def pair_confidence(support: DataFrame, minimum: float = C.PAIR_MIN_CONFIDENCE,
             .filter((F.col("sup1_group_sum") >= rare_support) | (F.col("confidence") > rare_confidence)))
 
 
+class _Open:
+    """Places of events of which some are gone; a run of gone ones is passed over at once, however often it is met."""
+
+    def __init__(self, gone: np.ndarray):
+        self.next = (np.arange(len(gone) + 1) + np.append(gone, False)).tolist()
+
+    def close(self, at: int) -> None:
+        self.next[at] = at + 1
+
+    def first(self, at: int, stop: int, n: int) -> list[int]:
+        """The first ``n`` open places from ``at`` to ``stop`` (exclusive)."""
+        following, found = self.next, []
+        while len(found) < n:
+            while at != following[at]:
+                following[at] = following[following[at]]
+                at = following[at]
+            if at >= stop:
+                break
+            found.append(at)
+            at += 1
+        return found
+
+
 def _dropped_in(rows: pd.DataFrame, before: int | None, after: int | None, n_next: int,
                 n_prev: int) -> list[int]:
     """Backward scan over the commands of one tile: the labels they drop."""
@@ -94,22 +117,30 @@ def _dropped_in(rows: pd.DataFrame, before: int | None, after: int | None, n_nex
     e_label, e_ts, e_text = labels[low], times[low], rows["text"].to_numpy()[low]
     gone = rows["gone"].to_numpy().astype(bool)[low]
     known = rows["allowed"].to_numpy()
+    # Mostly labels go by time: then a command's events follow each other, and none of the others is looked at.
+    rising = not pd.isnull(e_ts).any() and bool((e_ts[1:] >= e_ts[:-1]).all())
+    still = _Open(gone)
     dropped: list[int] = []
     for at in np.flatnonzero(rows["home"].to_numpy().astype(bool) & ~low)[::-1]:
         label, ts, allowed = labels[at], times[at], known[at]
         lo = 0 if before is None else int(np.searchsorted(e_label, label - before, "left"))
         hi = len(e_label) if after is None else int(np.searchsorted(e_label, label + after, "right"))
-        open_ = ~gone[lo:hi]
-        later = e_ts[lo:hi] >= ts
-        near = [*np.flatnonzero(open_ & later)[:n_next], *np.flatnonzero(open_ & ~later)[:n_prev]]
+        if rising:
+            cut = lo + int(np.searchsorted(e_ts[lo:hi], ts, "left"))
+            near = [*still.first(cut, hi, n_next), *still.first(lo, cut, n_prev)]
+        else:
+            open_ = ~gone[lo:hi]
+            later = e_ts[lo:hi] >= ts
+            near = [lo + int(i) for i in (*np.flatnonzero(open_ & later)[:n_next], *np.flatnonzero(open_ & ~later)[:n_prev])]
         if not near:
             dropped.append(int(label))
         elif allowed is not None:
-            match = next((lo + i for i in near if e_text[lo + i] in allowed), None)
+            match = next((i for i in near if e_text[i] in allowed), None)
             if match is None:
                 dropped.append(int(label))
             else:
                 gone[match] = True
+                still.close(match)
                 dropped.append(int(e_label[match]))
     return dropped
 

@@ -3,9 +3,12 @@
 import random
 
 import brute
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sessionloom import constants as C
 from sessionloom.operators import redundancy, sessions, workflows
 from sessionloom.operators.ordered import global_number
 from sessionloom.operators.retrieval import pack_batches
@@ -139,6 +142,18 @@ def test_greedy_cover_over_many_tiles(spark, monkeypatch):
     assert got == brute.merge_first([r[3] for r in rows], [["A", "B", "A"], ["B", "A"]])
 
 
+def test_a_command_does_not_look_at_all_events_of_its_session(monkeypatch):
+    n, looked = 2000, []
+    find = np.flatnonzero
+    monkeypatch.setattr(redundancy.np, "flatnonzero", lambda x: looked.append(len(x)) or find(x))
+    rows = pd.DataFrame({"cat": [C.LOW_LEVEL, "Tool"] * (n // 2), "label": range(n), "ts": [f"{i:05d}" for i in range(n)], "text": ["e", "t"] * (n // 2),
+                         "gone": False, "home": True, "allowed": [["e"]] * n})
+    dropped = redundancy._dropped_in(rows, None, None, 5, 1)
+    # The last command takes the first event; every other one takes the event behind it, which is open still.
+    assert sorted(dropped) == [0, *range(2, n, 2)]
+    assert sum(looked) < 5 * n
+
+
 @pytest.mark.parametrize("tile,window", [(20_000, (10, 30)), (45, (10, 30)), (12, (3, 8)), (20_000, (None, None)), (25, (None, None))])
 def test_replace_low_level(spark, tile, window):
     rng = random.Random(9)
