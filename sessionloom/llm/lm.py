@@ -95,16 +95,23 @@ def batch_tokens(column: pa.Array, mixer: WordMixer, predictors: Predictors):
         coded = mixer.run(WordBits(hashes, firsts), predictors, False) / np.log(10)
         of_text.append(np.add.reduceat(coded, firsts))
         pairs, entry, counts = np.unique(doc * len(keys) + number, return_inverse=True, return_counts=True)
-        parts.append((keys, *np.where(spans < 0, -1, spans + begin), pairs // len(keys) + first, pairs % len(keys) + size, counts,
-                      np.bincount(entry, weights=coded)))
+        # What lasts until the end of the batch has the type it is written with, or a narrow one.
+        parts.append((keys, *np.where(spans < 0, -1, spans + begin), (pairs // len(keys) + first).astype(np.int32),
+                      (pairs % len(keys) + size).astype(np.int32), counts.astype(np.int32), np.bincount(entry, weights=coded).astype(np.float32)))
         texts.append(data.tobytes())
         size, begin = size + len(keys), begin + len(data)
-    keys, starts, ends, doc, number, count, coded = (np.concatenate(x) for x in zip(*parts))
+    columns = [list(x) for x in zip(*parts)]
+    del parts
+    # Each column gives up its parts as it is joined.
+    keys, starts, ends, doc, number, count, coded = (np.concatenate(columns.pop(0)) for _ in range(len(columns)))
+    whole = b"".join(texts)
+    del texts
     _, first, merged = np.unique(keys, return_index=True, return_inverse=True)
+    starts, ends, number = starts[first], ends[first], merged.astype(np.int32)[number]
+    del keys, merged
     # A document lies in one part, whose keys are sorted too: its numbers still ascend.
-    whole = b"".join(texts)
-    tokens = [END if a < 0 else whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-    return tokens, doc, merged[number], count, coded, np.concatenate(of_text)
+    tokens = [END if a < 0 else whole[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+    return tokens, doc, number, count, coded, np.concatenate(of_text)
 
 
 def _pack(values: np.ndarray, kind: type) -> bytes:

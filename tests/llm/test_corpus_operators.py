@@ -3,10 +3,13 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +193,23 @@ def test_scores_of_odd_rows(spark):
     assert {r["train_tokens"] for r in untaught} == {0} and all(math.isfinite(r["score"]) for r in untaught)
 
 
+def test_a_batch_takes_little_memory_for_its_text():
+    random.seed(3)
+    names = [f"w{random.randrange(10**6)}" for _ in range(30_000)]
+    texts = [" ".join(names[int(len(names) * random.random() ** 3)] for _ in range(400)) for _ in range(1500)]
+    column, size = pa.array(texts, pa.string()), sum(len(t) for t in texts)
+    predictors = lm.Predictors(np.zeros((2, int(lm._WORD_OFFSETS[-1])), np.float32))
+    predictors.paths(False)
+    tracemalloc.start()
+    tokens, doc, token, count, coded, of_text = lm.batch_tokens(column, lm.WordMixer(), predictors)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * size
+    found = Counter({(d, tokens[t]): n for d, t, n in zip(doc.tolist(), token.tolist(), count.tolist())})
+    assert found == Counter((d, w) for d, t in enumerate(texts) for w in [*(x.encode() for x in t.split(" ")), lm.END])
+    assert len(of_text) == len(texts) and np.allclose(np.bincount(doc, weights=coded), of_text, rtol=1e-4)
+
+
 def test_spelling_is_a_probability():
     """Over all bytes that can follow, the first bytes of a token add up to one."""
     tokens = [bytes([c]) for c in range(256)]
