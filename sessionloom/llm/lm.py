@@ -65,6 +65,19 @@ def running_words(data: np.ndarray, offsets: np.ndarray):
     return hashes, starts, ends, owner, np.cumsum(np.bincount(owner, minlength=rows) + 1) - np.bincount(owner, minlength=rows) - 1
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted different hashes, where one of each lies, and the place of every hash among them.
+
+    Any of some equal ones will do, so they need not be kept in order as ``np.unique`` does."""
+    order = np.argsort(hashes)
+    ranked = hashes[order]
+    new = np.ones(len(hashes), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    number = np.empty(len(hashes), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], number
+
+
 def distinct_tokens(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, rows: int):
     """The different tokens of some texts, and the place of every token among them.
 
@@ -76,7 +89,7 @@ def distinct_tokens(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, ow
     last = np.ones(len(hashes), bool)
     last[place] = False
     doc[last] = np.arange(rows)
-    keys, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    keys, first, number = distinct(hashes)
     spans, word = np.full((2, len(keys)), -1), np.flatnonzero(~last[first])
     spans[:, word] = np.stack([starts, ends])[:, first[word] - doc[first[word]]]
     return keys, spans, doc, number
@@ -106,7 +119,7 @@ def batch_tokens(column: pa.Array, mixer: WordMixer, predictors: Predictors):
     keys, starts, ends, doc, number, count, coded = (np.concatenate(columns.pop(0)) for _ in range(len(columns)))
     whole = b"".join(texts)
     del texts
-    _, first, merged = np.unique(keys, return_index=True, return_inverse=True)
+    _, first, merged = distinct(keys)
     starts, ends, number = starts[first], ends[first], merged.astype(np.int32)[number]
     del keys, merged
     # A document lies in one part, whose keys are sorted too: its numbers still ascend.
