@@ -111,7 +111,9 @@ def exact_topk(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
 
     def tiles(asked: DataFrame) -> DataFrame:
         every = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-        return every.join(vectors, "block")
+        # Spark takes the exploded side for as small as the packed file it is read from, and would send all tiles
+        # through the driver to broadcast them.
+        return every.hint("merge").join(vectors.hint("merge"), "block")
 
     def local_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

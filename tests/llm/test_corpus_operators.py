@@ -169,6 +169,15 @@ def test_topk_with_odd_vectors(spark, scale):
     assert topk.exact_topk(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_does_not_broadcast_tiles(spark):
+    """Packed queries are a small file, but every block of vectors meets a copy of them."""
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "vec_id long, embedding array<double>")
+    found = topk.exact_topk(df, df, k=2, vector_block=4, query_block=8)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [block" in plan and "BroadcastHashJoin [block" not in plan
+    assert found.count() == 120
+
+
 # -- language model -------------------------------------------------------------------------
 def test_scores_query(spark):
     texts = texts_of(spark)
