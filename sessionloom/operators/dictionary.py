@@ -14,6 +14,7 @@ from sessionloom.functions.vectors import l2_distance, l2_norm
 from sessionloom.operators.moments import vector_aggregate, vector_scatter
 from sessionloom.operators.pairs import TILE, distances, matrix, number_points, plain_strings, tile_pairs
 from sessionloom.operators.scale import broadcast_if_small, materialize, same_keys, small_table
+from sessionloom.operators.strips import STRIP, nested_components, nested_silhouettes
 
 # Similarities are ranked as integers of this many bits, ``_STEP`` bits per pass.
 _BITS, _STEP = 44, 11
@@ -304,45 +305,50 @@ EPS_GRID = tuple(round(0.05 + 0.05 * i, 2) for i in range(10))
 
 
 def tune_eps(words: DataFrame, grid: Sequence[float] = EPS_GRID, group: str = "id",
-             key: str = "message", vector: str = "embedding", tile: int = TILE
+             key: str = "message", vector: str = "embedding", tile: int = STRIP
              ) -> tuple[DataFrame, DataFrame]:
     """Best bound per group by silhouette, and the clusters at that bound.
 
-    The forest up to the largest bound is built once; every bound of the grid only filters
-    it.  A penalised bound is the worst choice; ties go to the smallest bound.
+    The components of all bounds come from one pass over the pairs of a group and their silhouettes from a second
+    one: clusters of a larger bound are unions of those of a smaller one, so a distance is taken once for
+    all of them.  A penalised bound is the worst choice; ties go to the smallest bound.
     """
+    bounds = sorted({float(e) for e in grid})
     points = materialize(number_points(words.select(group, key, vector), group, [key]))
-    edges = materialize(near_edges(points, group, key, vector, max(grid), tile))
-    bounds = F.explode(F.array(*[F.lit(float(e)) for e in grid])).alias("eps")
-    gkey = F.struct(F.col(group), F.col("eps"))
-    nodes = points.select(group, key, vector, bounds).withColumn("_g", gkey).drop(group, "eps")
-    links = edges.select("*", bounds).filter(F.col("distance") <= F.col("eps")).withColumn(
-        "_g", gkey).select("_g", "a", "b")
-    nodes = materialize(nodes.withColumn("_g", F.to_json("_g")))
-    links = links.withColumn("_g", F.to_json("_g"))
-    clusters = materialize(components(nodes, links, "_g", key).withColumnRenamed("root", "cluster"))
-    scores = silhouette(nodes, clusters, "_g", key, vector, tile)
-    gtype = words.schema[group].dataType.simpleString()
-    parsed = F.from_json("_g", f"`{group}` {gtype}, eps double")
-    opened = scores.select(parsed[group].alias(group), parsed["eps"].alias("eps"), "clusters", "score", "penalty")
-    worth = F.when(F.col("penalty"), -1.0).otherwise(F.round("score", 12))
-    best = materialize(opened.groupBy(group).agg(
-        F.min_by(F.struct("eps", "clusters", "score"), F.struct(-worth, F.col("eps"))).alias("_b"))
-        .select(group, "_b.*"))
-    chosen = (clusters.select(parsed[group].alias(group), parsed["eps"].alias("eps"), key, "cluster")
-              .join(broadcast_if_small(best.select(group, "eps")), [group, "eps"]))
-    return best, chosen.select(group, key, "cluster")
+    rooted = nested_components(points, group, key, vector, bounds, tile).withColumn("_order", F.reverse("_roots"))
+    ordered = materialize(number_points(rooted, group, ["_order", "_n"], "_m").drop("_order"))
+    clusters = F.array(*[F.sum((F.col("_roots")[i] == F.col("_n")).cast("bigint")) for i in range(len(bounds))])
+    shape = materialize(ordered.groupBy(group).agg(F.count(F.lit(1)).alias("_total"), clusters.alias("_clusters")))
+    sums = nested_silhouettes(ordered, shape, group, vector, len(bounds), tile)
+    scored = shape.alias("a").join(sums.alias("b"), same_keys("a", "b", [group]), "left").select("a.*", "b._sums")
+
+    def at(level: int):
+        count = F.col("_clusters")[level]
+        penalty = (count <= 1) | (count == F.col("_total"))
+        score = F.when(penalty, 1.0).otherwise(F.col("_sums")[level] / F.col("_total"))
+        worth = F.when(penalty, -1.0).otherwise(F.round(score, 12))
+        return F.struct((-worth).alias("_worse"), F.lit(bounds[level]).alias("eps"), count.alias("clusters"),
+                        score.alias("score"), F.lit(level + 1).alias("_level"))
+
+    best = materialize(scored.select(group, F.array_min(F.array(*map(at, range(len(bounds))))).alias("_b"))
+                       .select(group, "_b.eps", "_b.clusters", "_b.score", "_b._level"))
+    chosen = materialize(ordered.alias("p").join(broadcast_if_small(best).alias("b"), same_keys("p", "b", [group])).select(
+        F.col(f"p.{group}").alias(group), F.col(f"p.{key}").alias(key), F.element_at("p._roots", F.col("b._level")).alias("_root")))
+    names = chosen.groupBy(group, "_root").agg(F.min(key).alias("cluster"))
+    named = chosen.alias("p").join(names.alias("c"), same_keys("p", "c", [group, "_root"])).select(
+        F.col(f"p.{group}").alias(group), F.col(f"p.{key}").alias(key), "c.cluster")
+    return best.drop("_level"), named.distinct()
 
 
 def build_dictionary(words: DataFrame, similarity: float = GROUP_SIMILARITY,
-                     grid: Sequence[float] = EPS_GRID, tile: int = TILE) -> DataFrame:
+                     grid: Sequence[float] = EPS_GRID, tile: int = STRIP) -> DataFrame:
     """Dictionary with one label per message.
 
     Single-member groups use their translated text.  Groups with a high median similarity
     share one label; other groups are clustered first and get a label per cluster.
     """
     single, rest = single_member_labels(words)
-    stats = small_table(group_similarity(rest, tile=max(tile, SIMILARITY_TILE)).select("id", "median_similarity"))
+    stats = small_table(group_similarity(rest).select("id", "median_similarity"))
     rated = rest.join(stats, "id")
     alike = rated.filter(F.col("median_similarity") > similarity).drop("median_similarity")
     mixed = materialize(rated.filter(~(F.col("median_similarity") > similarity)).drop("median_similarity"))
