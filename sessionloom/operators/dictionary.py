@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.constants import GROUP_SIMILARITY
@@ -14,11 +14,11 @@ from sessionloom.functions.vectors import l2_distance, l2_norm
 from sessionloom.operators.moments import vector_aggregate, vector_scatter
 from sessionloom.operators.pairs import TILE, distances, matrix, number_points, plain_strings, tile_pairs
 from sessionloom.operators.scale import broadcast_if_small, materialize, same_keys, small_table
-from sessionloom.operators.strips import STRIP, nested_components, nested_silhouettes
+from sessionloom.operators.strips import STRIP, middle_ranks, nested_components, nested_silhouettes
 
-# Similarities are ranked as integers of this many bits, ``_STEP`` bits per pass.
-_BITS, _STEP = 44, 11
-# Points to a tile of similarities: a point is sent once for every tile of its group, in each pass.
+# Similarities are ranked as integers of this many bits.
+_BITS = 44
+# Points of a group whose similarities are taken at once; larger ones go by strips of twice as many, in each pass.
 SIMILARITY_TILE = 2048
 
 
@@ -33,14 +33,12 @@ def single_member_labels(words: DataFrame, group: str = "id") -> tuple[DataFrame
     return labelled, words.join(single, group, "left_anti")
 
 
-def _quantized_pairs(left: pd.DataFrame, right: pd.DataFrame | None) -> tuple[np.ndarray, np.ndarray]:
-    a = matrix(left["unit"])
-    if right is None:
-        values = (a @ a.T)[np.triu_indices(len(a), 1)]
-    else:
-        values = (a @ matrix(right["unit"]).T).ravel()
-    ranks = ((np.clip(values, -1.0, 1.0) + 1.0) / 2.0 * ((1 << _BITS) - 1)).astype(np.int64)
-    return values, ranks
+def _ranks(similarities: np.ndarray) -> np.ndarray:
+    cells = np.clip(similarities, -1.0, 1.0)
+    cells += 1.0
+    cells /= 2.0
+    cells *= (1 << _BITS) - 1
+    return cells.astype(np.int64)
 
 
 def group_similarity(words: DataFrame, group: str = "id", key: str = "message",
@@ -49,17 +47,21 @@ def group_similarity(words: DataFrame, group: str = "id", key: str = "message",
 
     Similarities are taken to 2**-44 for the median.  A group that fits one tile is done at
     once.  In larger groups mean and deviation follow from the mean vector and the centred scatter matrix
-    of the unit vectors, one pass over the rows, and the median from counting pairs in four
-    passes, so no list of pairs exists anywhere.
+    of the unit vectors, one pass over the rows, and the median from counting pairs, in two passes unless
+    very many are equal, so no list of pairs exists anywhere.
     """
     # A zero vector stays zero, so its similarities are 0.
-    unit = F.transform(F.col(vector).cast("array<double>"), lambda x: F.coalesce(F.try_divide(x, l2_norm(vector)), F.lit(0.0)))
+    # The length is bound once per vector; named inside, it would be taken anew for each of its elements.
+    unit = F.transform(F.array(l2_norm(vector)), lambda length: F.transform(
+        F.col(vector).cast("array<double>"), lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0))))[0]
     points = materialize(number_points(words.select(group, key, unit.alias("unit")), group, [key]))
     sizes = materialize(group_sizes(points, group).filter(F.col("size") >= 2))
     kind = points.schema[group].dataType.simpleString()
 
     def whole(table: pd.DataFrame) -> pd.DataFrame:
-        values, ranks = _quantized_pairs(table, None)
+        a = matrix(table["unit"])
+        values = (a @ a.T)[np.triu_indices(len(a), 1)]
+        ranks = _ranks(values)
         # The same cells as in the search over several tiles, so that one definition holds for all sizes.
         cells = np.sort(ranks)[[(len(ranks) - 1) // 2, len(ranks) // 2]]
         middle = float(np.mean((cells + 0.5) / ((1 << _BITS) - 1) * 2.0 - 1.0))
@@ -94,45 +96,15 @@ def group_similarity(words: DataFrame, group: str = "id", key: str = "message",
 
     moments = (vector_scatter(large_points, group, "unit").join(lengths, group)
                .mapInPandas(pair_moments, f"{group} {kind}, length bigint, mean_similarity double, std_dev_similarity double"))
-    asked = materialize(large.select(group, (F.col("size") * (F.col("size") - 1) / 2).cast("bigint").alias("n")))
-    medians = _large_medians(points, asked, group, kind, tile).withColumnRenamed("_median", "median_similarity")
+    medians = _large_medians(large_points, large, group, tile).withColumnRenamed("_median", "median_similarity")
     return small.unionByName(moments.join(medians, group).select(small.columns))
 
 
-def _large_medians(points: DataFrame, large: DataFrame, group: str, kind: str, tile: int) -> DataFrame:
+def _large_medians(points: DataFrame, large: DataFrame, group: str, tile: int) -> DataFrame:
     """Median of the pair similarities of groups of several tiles, by counting."""
-    # Two middle ranks (equal for an odd number of pairs), searched side by side.
-    middle = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))
-    search = materialize(large.select(group, F.posexplode(middle).alias("which", "rank"))
-                         .withColumn("prefix", F.lit(0).cast("bigint")))
-    for done in range(0, _BITS, _STEP):
-        targets = search.groupBy(group).agg(F.max(F.when(F.col("which") == 0, F.col("prefix"))).alias("p0"),
-                                            F.max(F.when(F.col("which") == 1, F.col("prefix"))).alias("p1"))
-        marked = points.alias("p").join(broadcast_if_small(materialize(targets)).alias("t"),
-                                        same_keys("p", "t", [group])).select("p.*", "t.p0", "t.p1")
-
-        def count(name, left, right, done=done):
-            _, ranks = _quantized_pairs(left, right)
-            head, cell = ranks >> (_BITS - done), (ranks >> (_BITS - done - _STEP)) & ((1 << _STEP) - 1)
-            frames = []
-            for which in (0, 1):
-                hits = np.bincount(cell[head == int(left[f"p{which}"].iloc[0])], minlength=1 << _STEP)
-                full = np.flatnonzero(hits)
-                frames.append(pd.DataFrame({group: [name] * len(full), "which": which,
-                                            "cell": full, "hits": hits[full]}))
-            return pd.concat(frames).astype({"which": "int32", "cell": "int64", "hits": "int64"})
-
-        cells = tile_pairs(marked, group, count, f"{group} {kind}, which int, cell bigint, hits bigint",
-                           ["unit", "p0", "p1"], tile)
-        totals = cells.groupBy(group, "which", "cell").agg(F.sum("hits").alias("hits"))
-        upto = F.sum("hits").over(Window.partitionBy(group, "which").orderBy("cell"))
-        placed = totals.withColumn("upto", upto).join(search, [group, "which"])
-        search = materialize(placed.filter(
-            (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("hits"))
-        ).select(group, "which", (F.col("rank") - (F.col("upto") - F.col("hits"))).alias("rank"),
-                 (F.col("prefix") * (1 << _STEP) + F.col("cell")).alias("prefix")))
-    value = (F.col("prefix") + 0.5) / float((1 << _BITS) - 1) * 2.0 - 1.0
-    return materialize(search.groupBy(group).agg(F.avg(value).alias("_median")))
+    found = middle_ranks(points, large, group, "unit", _ranks, _BITS, size=2 * tile)
+    low, high = ((F.col(c) + 0.5) / float((1 << _BITS) - 1) * 2.0 - 1.0 for c in ("_low", "_high"))
+    return found.select(group, ((low + high) / 2).alias("_median"))
 
 
 def centroid_label(words: DataFrame, keys: Sequence[str] = ("id",), order: str = "message",
@@ -316,7 +288,7 @@ def tune_eps(words: DataFrame, grid: Sequence[float] = EPS_GRID, group: str = "i
     bounds = sorted({float(e) for e in grid})
     points = materialize(number_points(words.select(group, key, vector), group, [key]))
     rooted = nested_components(points, group, key, vector, bounds, tile).withColumn("_order", F.reverse("_roots"))
-    ordered = materialize(number_points(rooted, group, ["_order", "_n"], "_m").drop("_order"))
+    ordered = materialize(number_points(rooted, group, ["_order", "_n"], "_m", source=points).drop("_order"))
     clusters = F.array(*[F.sum((F.col("_roots")[i] == F.col("_n")).cast("bigint")) for i in range(len(bounds))])
     shape = materialize(ordered.groupBy(group).agg(F.count(F.lit(1)).alias("_total"), clusters.alias("_clusters")))
     sums = nested_silhouettes(ordered, shape, group, vector, len(bounds), tile)

@@ -7,7 +7,7 @@ sent as bytes once per strip, not as a row per tile and bound.  Only summaries l
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -376,3 +376,101 @@ def nested_silhouettes(points: DataFrame, shape: DataFrame, group: str, vector:
 
     found = _strips(tiles, about, size, half=False).mapInArrow(score, f"_g {kind}, _sums array<double>")
     return found.groupBy(F.col("_g").alias(group)).agg(F.array(*(F.sum(F.col("_sums")[i]) for i in range(levels))).alias("_sums"))
+
+
+# -- ranks of similarities ---------------------------------------------------------------------
+def middle_ranks(points: DataFrame, asked: DataFrame, group: str, vector: str, rank_of: Callable[[np.ndarray], np.ndarray], bits: int,
+                 size: int = STRIP, step: int = 14, held: int = 1 << 22) -> DataFrame:
+    """Per group of ``asked`` the two middle ranks (``_low``, ``_high``) of the products of all pairs of its points.
+
+    ``rank_of`` turns products in [-1, 1] into whole numbers below 2**bits, in order.  A pass counts the pairs below the
+    range that is left and in its 2**step cells; once at most ``held`` pairs are left in a range they are fetched.
+    """
+    tiles = pack(points, group, vector, size)
+    key_type = to_arrow_schema(tiles.select("_g").schema).field(0).type
+    kind = tiles.schema["_g"].dataType.simpleString()
+    names = ["_g", "_total", "prefix", "shift", "below", "pairs"]
+    head = pa.schema([("_g", key_type), ("_total", pa.int64()), ("prefix", pa.int64()), ("shift", pa.int32()), ("below", pa.int64()), ("pairs", pa.int64())])
+    told = pa.schema([*head, ("cells", pa.binary()), ("ranks", pa.binary()), ("above", pa.int64())])
+    result = pa.schema([*head, ("_low", pa.int64()), ("_high", pa.int64())])
+    layout = f"_g {kind}, _total bigint, prefix bigint, shift int, below bigint, pairs bigint"
+    end = 1 << bits
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strip = last = None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array([last[n].as_py()], told.field(n).type) for n in names), pa.array([cells.tobytes()], pa.binary()),
+                 pa.array([np.concatenate([np.zeros(0, np.int64), *ranks]).tobytes()], pa.binary()), pa.array([above], pa.int64())], schema=told)
+
+        for row in _rows(batches):
+            tile = _points(row)
+            own = row["_step"].as_py() == 0
+            if own:
+                if strip is not None:
+                    yield done()
+                strip, last = tile, {n: row[n] for n in names}
+                shift, pairs = row["shift"].as_py(), row["pairs"].as_py()
+                low = row["prefix"].as_py() << shift
+                high, fetch = low + (1 << shift), pairs <= held or shift == 0
+                beyond = fetch and row["_total"].as_py() * (row["_total"].as_py() - 1) // 4 - row["below"].as_py() >= pairs
+                narrow = max(0, shift - step)
+                cells, ranks, above = np.zeros(1 << (shift - narrow), np.int64), [], end
+                # Products that may lie in the range: a rank is 2**(1 - bits) wide, and rounding moves it by few of them.
+                least, most = (low / end * 2 - 1 - 64 / end, high / end * 2 - 1 + 64 / end)
+            for at in range(0, len(strip), CHUNK):
+                part = strip[at:at + CHUNK]
+                values = part @ (tile[at + 1:] if own else tile).T
+                if own:     # of a tile with itself only the pairs (i, j) with i < j
+                    values = values[np.arange(at + 1, len(tile))[None, :] > np.arange(at, at + len(part))[:, None]]
+                values = values.ravel()
+                if beyond:
+                    over = rank_of(values[values >= most - 128 / end])
+                    above = min(above, int(over[over >= high].min(initial=end)))
+                if shift < bits:
+                    values = values[(values >= least) & (values <= most)]
+                found = rank_of(values)
+                found = found[(found >= low) & (found < high)]
+                if not fetch:
+                    cells += np.bincount((found >> narrow) - (low >> narrow), minlength=len(cells))
+                elif shift:
+                    ranks.append(found)
+        if strip is not None:
+            yield done()
+
+    def narrowed(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        total, prefix, shift, below, pairs = (rows[0][n] for n in names[1:])
+        everything = total * (total - 1) // 2
+        middle, low, high = ((everything - 1) // 2, everything // 2), None, None
+        if pairs <= held or shift == 0:
+            ranks = np.sort(np.concatenate([np.frombuffer(r["ranks"], np.int64) for r in rows]))
+            if shift and len(ranks) < pairs:
+                return result.empty_table()     # products that are no numbers have no middle
+            above = min(r["above"] for r in rows)
+            low, high = (above if m - below >= pairs else int(ranks[m - below]) if shift else prefix for m in middle)
+        else:
+            cells = sum(np.frombuffer(r["cells"], np.int64) for r in rows)
+            upto = np.cumsum(cells)
+            if upto[-1] < pairs:
+                return result.empty_table()
+            cell = int(np.searchsorted(upto, middle[0] - below, "right"))
+            bits_done = min(step, shift)
+            prefix, shift, pairs = (prefix << bits_done) + cell, shift - bits_done, int(cells[cell])
+            below += int(upto[cell]) - pairs
+            if shift == 0 and middle[1] - below < pairs:
+                low = high = prefix
+        values = [rows[0]["_g"], total, prefix, shift, below, pairs, low, high]
+        return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(values, result)], schema=result)
+
+    state = materialize(asked.select(F.col(group).alias("_g"), F.col("size").cast("bigint").alias("_total"), F.lit(0).cast("bigint").alias("prefix"), F.lit(bits).alias("shift"),
+                                     F.lit(0).cast("bigint").alias("below"), (F.col("size") * (F.col("size") - 1) / 2).cast("bigint").alias("pairs")))
+    finished = None
+    while not state.isEmpty():
+        counts = _strips(tiles, state, size, half=True).mapInArrow(count, f"{layout}, cells binary, ranks binary, above bigint")
+        after = materialize(counts.groupBy("_g").applyInArrow(narrowed, f"{layout}, _low bigint, _high bigint"))
+        ready = after.filter(F.col("_low").isNotNull()).select(F.col("_g").alias(group), "_low", "_high")
+        finished = ready if finished is None else finished.unionByName(ready)
+        state = after.filter(F.col("_low").isNull()).drop("_low", "_high")
+    return finished

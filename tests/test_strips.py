@@ -1,4 +1,4 @@
-"""Strips of packed points: components and silhouettes of groups over several tiles."""
+"""Strips of packed points: components, silhouettes and middle ranks of groups over several tiles."""
 
 import math
 import time
@@ -80,6 +80,22 @@ def test_points_are_sent_once_per_strip(spark):
     assert strips._strips(tiles, about, tile, half=False).count() == 6 * 7
 
 
+@pytest.mark.parametrize(("step", "held"), [(14, 1 << 22), (3, 5), (14, 50), (11, 1)])
+def test_middle_ranks(spark, step, held):
+    rng = np.random.default_rng(6)
+    groups = {"any": rng.normal(size=(23, 4)), "odd": rng.normal(size=(11, 4)),
+              "equal": np.ones((9, 4)), "sides": np.concatenate([np.ones((3, 4)), -np.ones((1, 4))]), "two": rng.normal(size=(2, 4))}
+    groups = {g: v / np.linalg.norm(v, axis=1, keepdims=True) for g, v in groups.items()}
+    points = number_points(frame(spark, groups), "id", ["message"])
+    sizes = dictionary.group_sizes(points)
+    found = {r["id"]: (r["_low"], r["_high"]) for r in strips.middle_ranks(
+        points, sizes, "id", "embedding", dictionary._ranks, 44, size=4, step=step, held=held).collect()}
+    for g, data in groups.items():
+        ranks = np.sort(dictionary._ranks((data @ data.T)[np.triu_indices(len(data), 1)]))
+        want = ranks[(len(ranks) - 1) // 2], ranks[len(ranks) // 2]
+        assert np.abs(np.array(found[g]) - want).max() <= 16      # digits of products differ with the shape of the matrices
+
+
 def test_largest_square_within_a_bound():
     for bound in (0.0, 0.1, 1.05, 1.2, 1.45, 1e-160, 1e150):
         square = strips._square_bound(bound)
@@ -95,3 +111,32 @@ def test_tuning_a_larger_group_in_time(spark):
     begin = time.time()
     best, _ = dictionary.tune_eps(words, [2.0 + 0.2 * i for i in range(10)])
     assert best.count() == 1 and time.time() - begin < 40
+
+
+def test_lengths_are_taken_once_per_vector(spark, monkeypatch):
+    """The length of a vector is outside the function of its elements, so that it is not taken again for each of them."""
+    plans = []
+    monkeypatch.setattr(dictionary, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    words = frame(spark, {"a": np.eye(3), "zero": np.zeros((2, 3))})
+    found = {r["id"]: r["mean_similarity"] for r in dictionary.group_similarity(words).collect()}
+    assert found == {"a": 0.0, "zero": 0.0}
+    inner = [line for line in plans[0].splitlines() if "try_divide" in line.lower() or "SQRT" in line]
+    assert inner and all(line.index("SQRT") < line.lower().index("lambdafunction") for line in inner if "SQRT" in line)
+
+
+def test_components_are_found_once(spark, groups, monkeypatch):
+    """Numbering the points again does not run the pass over all pairs a second time to look for large groups."""
+    counted = []
+    plain = strips.nested_components
+
+    def seen(*args, **kwargs):
+        found = plain(*args, **kwargs)
+        counted.append(found.semanticHash())
+        return found
+
+    from sessionloom.operators import ordered
+    looked, hot = [], ordered.hot_groups
+    monkeypatch.setattr(dictionary, "nested_components", seen)
+    monkeypatch.setattr(ordered, "hot_groups", lambda df, *rest: looked.append("_roots" in df.columns) or hot(df, *rest))
+    dictionary.tune_eps(frame(spark, {"a": groups["chain"]}), [0.1, 0.3], tile=8)
+    assert counted and looked and not any(looked)
